@@ -57,10 +57,11 @@ def in_blocks(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
 
 
 class Words:
-    """The words of a block of texts, lower-cased in A-Z: ``hash`` (64 bits) and ``doc`` (index of the text) of each."""
+    """The words of a block of texts, lower-cased in A-Z unless told otherwise: ``hash`` (64 bits) and ``doc`` (index of the text) of each."""
 
-    def __init__(self, texts: list[bytes]):
-        data = LOWER[np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)]
+    def __init__(self, texts: list[bytes], lower: bool = True):
+        data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+        data = LOWER[data] if lower else data
         space = IS_SPACE[data]
         starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
         up, down = _powers(len(data))
