@@ -57,23 +57,35 @@ def in_blocks(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
 
 
 class Words:
-    """The words of a block of texts, lower-cased in A-Z unless told otherwise: ``hash`` (64 bits) and ``doc`` (index of the text) of each."""
+    """The words of a block of texts: ``hash`` (64 bits), ``size`` (bytes) and ``doc`` (index of the text) of each.
 
-    def __init__(self, texts: list[bytes], lower: bool = True):
+    Letters A-Z are lower-cased unless told otherwise. ``breaks`` marks the bytes that part words.
+    """
+
+    def __init__(self, texts: list[bytes], lower: bool = True, breaks: np.ndarray = IS_SPACE):
         data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
         data = LOWER[data] if lower else data
-        space = IS_SPACE[data]
+        space = breaks[data]
         starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+        stops = np.flatnonzero(space & np.concatenate([[False], ~space[:-1]]))
         up, down = _powers(len(data))
         values = _BYTE_VALUES[data]
         values[space] = 0
         values *= up
-        sums = np.add.reduceat(values, starts) if len(starts) else np.zeros(0, np.uint64)
-        self.hash = mix(sums * down[starts])
+        self._starts, self._down = starts, down
+        self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
+        self.size = stops - starts
+        self.hash = mix((self._sums[stops] - self._sums[starts]) * down[starts])
         ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
         self.doc = np.searchsorted(ends, starts, side="right")
         self.count = np.bincount(self.doc, minlength=len(texts))
 
+    def prefix(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first ``n`` bytes of the words that have as many, and which words those are."""
+        which = np.flatnonzero(self.size >= n)
+        at = self._starts[which]
+        return mix((self._sums[at + n] - self._sums[at]) * self._down[at]), which
+
 
 def binary_column(batch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]

@@ -20,7 +20,7 @@ class Lookup:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys, kind="stable")
         self.keys, self.values = keys[order], values[order]
-        self.bits = max(1, int(len(keys)).bit_length())
+        self.bits = max(16, int(len(keys)).bit_length())
         tops = self.keys >> np.uint64(64 - self.bits)
         self.starts = np.searchsorted(tops, np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
 

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .quality import op1_quality_classifier
 from .simhash import op9_simhash_near_dedup
+from .toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op3_toxicity": op3_toxicity,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
     }
 
