@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from .quality import op1_quality_classifier
 from .simhash import op9_simhash_near_dedup
 from .toxicity import op3_toxicity
+from .warc import OP4_SQL, op4_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op3_toxicity": op3_toxicity,
+        "op4_warc": op4_warc,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_warc": OP4_SQL,
+    }
