@@ -13,10 +13,10 @@ from .lookup import Lookup, pair_key
 from .storage import stored, table
 
 #: About so many bytes of labelled text are fitted on at most, drawn by a hash of the id.
-FIT_BYTES = 32_000_000
+FIT_BYTES = 24_000_000
 #: Learners that each see a part of the sample; after an epoch their states are averaged.
-LEARNERS, EPOCHS = 4, 6
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 3.0, 0.5
+LEARNERS, EPOCHS = 6, 6
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.5, 0.1
 #: Words are also taken by their first so many bytes, so that inflected forms of a word share a feature.
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.7
@@ -42,49 +42,54 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(docs)
 
 
-def feature_rows(labelled: DataFrame) -> DataFrame:
-    """``learner``, ``order``, ``y``, ``x`` (distinct hashes) of each labelled text (``doc_id``, ``text``, ``y``)."""
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(11))
-    plain = labelled.select(
-        F.pmod(order, F.lit(LEARNERS)).cast("int").alias("learner"), order.alias("order"),
-        F.col("y").cast("int").alias("y"), F.col("text").cast("binary").alias("_t"),
-    )
-
-    def run(batches):
-        for b in batches:
-            out = [np.unique(features([t])[0]).view(np.int64) for t in binary_column(b, "_t")]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.list_(pa.int64()))], names=["learner", "order", "y", "x"])
-
-    return plain.mapInArrow(run, "learner int, order long, y int, x array<long>")
-
-
-def _epoch(rows: pd.DataFrame, state: dict[int, tuple[float, float]], seed: int) -> pd.DataFrame:
-    """One pass of FTRL-proximal over a learner's rows; state: z and n by key, key 0 the intercept."""
+def _pack(rows: pd.DataFrame) -> pd.DataFrame:
+    """A learner's part of the sample in arrays: features that a single text of it has are left out, as L1 leaves none of them."""
     rows = rows.sort_values("order")
-    x = [np.asarray(a, dtype=np.int64) for a in rows["x"]]
-    keys = np.unique(np.concatenate([np.zeros(1, np.int64), *x]))
+    x = [np.unique(features([bytes(t or b"")])[0]) for t in rows["text"]]
+    keys, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *x]), return_counts=True)
+    keys = keys[count > 1]
+    parts = []
+    for a in x:
+        at = np.searchsorted(keys, a)
+        at = at[np.take(keys, at, mode="clip") == a] if len(keys) else at[:0]
+        parts.append(at.astype(np.int32))
+    sizes = np.array([len(a) for a in parts], dtype=np.int32)
+    flat = np.concatenate([np.zeros(0, np.int32), *parts])
+    return pd.DataFrame({
+        "keys": [keys.tobytes()], "sizes": [sizes.tobytes()], "x": [flat.tobytes()], "y": [rows["y"].to_numpy(np.int8).tobytes()],
+    })
+
+
+def _epoch(keys: np.ndarray, x: list[np.ndarray], y: np.ndarray, state: tuple, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One pass of FTRL-proximal over a learner's texts. ``state``: keys in order, z and n; key 0 is the intercept."""
+    keys = np.concatenate([np.zeros(1, np.uint64), keys])
     z, n = np.zeros(len(keys)), np.zeros(len(keys))
-    for i, k in enumerate(keys.tolist()):
-        if k in state:
-            z[i], n[i] = state[k]
-    x = [np.append(np.searchsorted(keys, a), np.searchsorted(keys, 0)) for a in x]
-    zero = np.searchsorted(keys, 0)
-    y = rows["y"].to_numpy()
+    at = np.searchsorted(state[0], keys)
+    known = np.take(state[0], at, mode="clip") == keys if len(state[0]) else np.zeros(len(keys), bool)
+    z[known], n[known] = state[1][at[known]], state[2][at[known]]
     for i in np.random.default_rng(seed).permutation(len(y)):
-        at = x[i]
+        at = np.append(x[i] + 1, 0)
         zs, root = z[at], np.sqrt(n[at])
-        l1 = np.where(at == zero, 0.0, L1)
+        l1 = np.full(len(at), L1)
+        l1[-1] = 0.0
         w = -np.sign(zs) * np.maximum(np.abs(zs) - l1, 0) / ((BETA + root) / ALPHA + L2)
         g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y[i]
         grown = n[at] + g * g
         z[at] += g - (np.sqrt(grown) - root) / ALPHA * w
         n[at] = grown
-    return pd.DataFrame({"k": keys, "z": z, "n": n, "learner": rows["learner"].iloc[0] if len(rows) else 0})
+    return keys, z, n
 
 
 def _learner(held, epoch: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return _epoch(rows, held.value, epoch)
+    def run(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                keys, sizes, flat = (np.frombuffer(row[c], d) for c, d in (("keys", np.uint64), ("sizes", np.int32), ("x", np.int32)))
+                x = np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
+                k, z, n = _epoch(keys, x, np.frombuffer(row["y"], np.int8), held.value, epoch)
+                # far below what L1 leaves a key starts anew, which keeps the state small
+                kept = (np.abs(z) > L1 / 2) | (k == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(k[kept].view(np.int64)), pa.array(z[kept]), pa.array(n[kept])], names=["k", "z", "n"])
 
     return run
 
@@ -92,25 +97,30 @@ def _learner(held, epoch: int):
 def fit(labelled: DataFrame) -> tuple[Lookup, float]:
     """Weights and intercept from ``labelled`` (``doc_id``, ``text``, ``y``), a bounded sample.
 
-    Every learner runs over its part from the state of the epoch before; a key's state is then averaged over the
-    learners that met it. Keys far below the weight that L1 leaves are not sent on.
+    The sample is dealt to the learners once. Each runs over its part from the state of the epoch before; a
+    key's state is then averaged over the learners that have it.
     """
-    sample = stored(feature_rows(labelled), "tox-sample")
-    state: dict[int, tuple[float, float]] = {}
-    spark = sample.sparkSession
+    spark = labelled.sparkSession
+    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(11))
+    rows = labelled.select(
+        F.pmod(order, F.lit(LEARNERS)).cast("int").alias("learner"), order.alias("order"), F.col("y").cast("int").alias("y"),
+        F.col("text").cast("binary").alias("text"),
+    )
+    sample = stored(rows.groupBy("learner").applyInPandas(_pack, "keys binary, sizes binary, x binary, y binary"), "tox-sample")
+    state = (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
     for epoch in range(EPOCHS):
         held = spark.sparkContext.broadcast(state)
-
-        out = sample.groupBy("learner").applyInPandas(_learner(held, epoch), "k long, z double, n double, learner int")
-        mean = out.groupBy("k").agg((F.sum("z") / F.count("*")).alias("z"), (F.sum("n") / F.count("*")).alias("n"))
-        # a key whose |z| is under L1 has no weight; those far below start anew, which keeps the state small
-        rows = mean.where((F.abs("z") > L1 / 2) | (F.col("k") == 0)).toArrow().to_pydict()
-        state = {k: (a, b) for k, a, b in zip(rows["k"], rows["z"], rows["n"], strict=True)}
-    zero = state.pop(0, (0.0, 0.0))
-    weigh = lambda z, n, l1: -np.sign(z) * max(abs(z) - l1, 0) / ((BETA + n**0.5) / ALPHA + L2)
-    kept = {k: w for k, (z, n) in state.items() if (w := weigh(z, n, L1))}
-    keys = np.array(list(kept), dtype=np.int64).view(np.uint64)
-    return Lookup(keys, np.array(list(kept.values()), dtype=np.float64)), float(weigh(zero[0], zero[1], 0.0))
+        out = sample.mapInArrow(_learner(held, epoch), "k long, z double, n double")
+        mean = out.groupBy("k").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()
+        k = mean.column("k").to_numpy().view(np.uint64)
+        by = np.argsort(k)
+        state = (k[by], mean.column("z").to_numpy()[by], mean.column("n").to_numpy()[by])
+    keys, z, n = state
+    cut = np.where(keys == 0, 0.0, L1)
+    w = -np.sign(z) * np.maximum(np.abs(z) - cut, 0) / ((BETA + np.sqrt(n)) / ALPHA + L2)
+    intercept = float(w[keys == 0].sum())
+    kept = (w != 0) & (keys != 0)
+    return Lookup(keys[kept], w[kept]), intercept
 
 
 def score_texts(texts: list[bytes], weights: Lookup, intercept: float) -> np.ndarray:
