@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .gif import op6_gif_media
 from .quality import op1_quality_classifier
 from .simhash import op9_simhash_near_dedup
 from .toxicity import op3_toxicity
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": op1_quality_classifier,
         "op3_toxicity": op3_toxicity,
         "op4_warc": op4_warc,
+        "op6_gif_media": op6_gif_media,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
     }
 
