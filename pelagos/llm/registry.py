@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .gif import op6_gif_media
+from .packing import op10_best_fit_packing
 from .quality import op1_quality_classifier
 from .simhash import op9_simhash_near_dedup
+from .substring import op7_substring_dedup
 from .toxicity import op3_toxicity
 from .warc import OP4_SQL, op4_warc
 
@@ -19,7 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_warc": op4_warc,
         "op6_gif_media": op6_gif_media,
+        "op7_substring_dedup": op7_substring_dedup,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
+        "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
