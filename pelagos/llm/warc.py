@@ -176,25 +176,28 @@ def record_marks(candidates: DataFrame) -> DataFrame:
     return marks.join(ends, ["path", "owner"], "left")
 
 
-_HEADERS = [("page_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("declared_digest", pa.string()), ("url", pa.string()), ("payload", pa.binary())]
+_HEADERS = [("page_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("declared_digest", pa.string()), ("url", pa.string())]
+_HEADER_SCHEMA = ", ".join(f"{n} string" for n, _ in _HEADERS)
+_BODY = [("body_at", pa.int64()), ("body_size", pa.int64()), ("value", pa.binary())]
 _URN = re.compile(r"<urn:page:(.*)>")
 
 
-def parse_record(value: bytes) -> tuple | None:
-    """The fields of a record without its magic; None where it is cut off."""
+def parse_record(value: bytes) -> tuple:
+    """The header fields of a record without its magic, where its payload starts (from 1), its size and ``value``; no size where it is cut off."""
     needed = _needed(value)
     if needed is None or len(value) < needed - 4:
-        return None
-    head, _, rest = value.partition(b"\r\n\r\n")
+        return (None,) * 7 + (value,)
+    end = value.find(b"\r\n\r\n")
     fields = {}
-    for line in head.decode("utf-8", "replace").split("\r\n"):
+    for line in value[:end].decode("utf-8", "replace").split("\r\n"):
         name, _, text = line.partition(":")
         fields[name.strip().lower()] = text.strip()
-    block = rest[: needed - 4 - len(head) - 4]
     urn = lambda x: (m[1] or None) if (m := _URN.fullmatch(fields.get(x, ""))) else None
+    http = value.find(b"\r\n\r\n", end + 4, needed - 4)
+    body = http + 4 if http >= 0 else needed - 4
     return (
         urn("warc-record-id"), fields.get("warc-type"), urn("warc-refers-to"), fields.get("warc-payload-digest", "").removeprefix("sha256:"),
-        fields.get("warc-target-uri"), block.partition(b"\r\n\r\n")[2],
+        fields.get("warc-target-uri"), body + 1, needed - 4 - body, value,
     )
 
 
@@ -212,21 +215,22 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     def place(batches):
         for rows in _placed(batches):
-            yield _batch(rows, [*_PLACE, ("value", pa.binary())])
+            yield _batch([(p, k, at, *parse_record(v)) for p, k, at, v in rows], [*_PLACE, *_HEADERS, *_BODY])
 
-    pieces = _segments(spark, path).mapInArrow(place, "path string, block long, at long, value binary")
+    body = f"{_HEADER_SCHEMA}, body_at long, body_size long, value binary"
+    pieces = _segments(spark, path).mapInArrow(place, f"path string, block long, at long, {body}")
     pieces = pieces.join(stored(odd, "odd").withColumn("odd", F.lit(True)), ["path", "block", "at"], "left")
     # parts of one record: those of its segments that start before its end, in order
     parts = pieces.where("odd and off < owner_end").groupBy("path", "owner").agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("p"))
     joined = parts.select(F.expr(f"reduce(transform(p, x -> x.value), cast(null as binary), (a, b) -> if(a is null, b, concat(a, X'{MAGIC.encode().hex()}', b)))").alias("value"))
-    whole = pieces.where("odd is null").select("value").union(joined)
 
     def parse(batches):
         for b in batches:
-            rows = [r for v in b.column(0).to_pylist() if (r := parse_record(v))]
-            yield _batch(rows, _HEADERS)
+            yield _batch([parse_record(v) for v in b.column(0).to_pylist()], [*_HEADERS, *_BODY])
 
-    return whole.mapInArrow(parse, "page_id string, record_type string, refers_to string, declared_digest string, url string, payload binary")
+    names = [n for n, _ in _HEADERS + _BODY]
+    whole = pieces.where("odd is null").select(*names).union(joined.mapInArrow(parse, body)).where("body_size is not null")
+    return whole.select(*names[:5], F.expr("substring(value, cast(body_at as int), cast(body_size as int))").alias("payload"))
 
 
 def archived_pages(spark: SparkSession, path: str) -> DataFrame:
