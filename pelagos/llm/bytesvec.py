@@ -59,11 +59,13 @@ def in_blocks(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
 class Words:
     """The words of a block of texts: ``hash`` (64 bits), ``size`` (bytes) and ``doc`` (index of the text) of each.
 
-    Letters A-Z are lower-cased unless told otherwise. ``breaks`` marks the bytes that part words.
+    Letters A-Z are lower-cased unless told otherwise. ``breaks`` marks the bytes that part words; ``gap`` line
+    ends stand before each text, which starts at ``text_at`` in ``data``. Words start at ``start``.
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = True, breaks: np.ndarray = IS_SPACE):
-        data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    def __init__(self, texts: list[bytes], lower: bool = True, breaks: np.ndarray = IS_SPACE, gap: int = 1):
+        sep = b"\n" * gap
+        data = np.frombuffer(sep + sep.join(texts) + b"\n", dtype=np.uint8)
         data = LOWER[data] if lower else data
         space = breaks[data]
         starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
@@ -72,18 +74,19 @@ class Words:
         values = _BYTE_VALUES[data]
         values[space] = 0
         values *= up
-        self._starts, self._down = starts, down
+        self.data, self.start, self._down = data, starts, down
         self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
         self.size = stops - starts
         self.hash = mix((self._sums[stops] - self._sums[starts]) * down[starts])
-        ends = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
-        self.doc = np.searchsorted(ends, starts, side="right")
+        sizes = np.array([len(t) + gap for t in texts], dtype=np.int64)
+        self.text_at = np.cumsum(sizes) - sizes + gap
+        self.doc = np.searchsorted(self.text_at, starts, side="right") - 1
         self.count = np.bincount(self.doc, minlength=len(texts))
 
     def prefix(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the first ``n`` bytes of the words that have as many, and which words those are."""
         which = np.flatnonzero(self.size >= n)
-        at = self._starts[which]
+        at = self.start[which]
         return mix((self._sums[at + n] - self._sums[at]) * self._down[at]), which
 
 
