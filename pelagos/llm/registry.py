@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .gif import op6_gif_media
+from .lm_scoring import op5_lm_scoring
 from .packing import op10_best_fit_packing
 from .quality import op1_quality_classifier
 from .simhash import op9_simhash_near_dedup
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": op1_quality_classifier,
         "op3_toxicity": op3_toxicity,
         "op4_warc": op4_warc,
+        "op5_lm_scoring": op5_lm_scoring,
         "op6_gif_media": op6_gif_media,
         "op7_substring_dedup": op7_substring_dedup,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
