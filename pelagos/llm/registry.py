@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op2_decontamination
 from .gif import op6_gif_media
 from .lm_scoring import op5_lm_scoring
 from .packing import op10_best_fit_packing
@@ -19,6 +20,7 @@ from .warc import OP4_SQL, op4_warc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_decontamination": op2_decontamination,
         "op3_toxicity": op3_toxicity,
         "op4_warc": op4_warc,
         "op5_lm_scoring": op5_lm_scoring,
