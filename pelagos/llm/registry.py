@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op2_decontamination
 from .gif import op6_gif_media
+from .html_extraction import op8_html_extraction
 from .lm_scoring import op5_lm_scoring
 from .packing import op10_best_fit_packing
 from .quality import op1_quality_classifier
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_lm_scoring": op5_lm_scoring,
         "op6_gif_media": op6_gif_media,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_html_extraction": op8_html_extraction,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
