@@ -302,3 +302,8 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE) ->
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and the sequences that hold them."""
     return pack(table(spark, sf_dir, "documents"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in their sequences."""
+    return pack(docs)

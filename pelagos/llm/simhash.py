@@ -13,6 +13,8 @@ from .components import connected_components
 from .storage import stored, table
 
 BITS = 64
+#: The pipeline's stage: words of a shingle, differing bits at most, segments of the ring.
+STAGE_SHINGLE, STAGE_RADIUS, STAGE_SEGMENTS = 5, 3, 5
 
 
 def fingerprint_of(text: bytes, shingle: int) -> int:
@@ -144,3 +146,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, segments
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint of three-word shingles and its component at two differing bits or fewer."""
     return near_duplicates(table(spark, sf_dir, "documents")).drop("_th")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id, once where its row is repeated.
+
+    Fingerprints are of five-word shingles here. Rows without a doc_id stay where their group has no doc_id at all.
+    """
+    groups = stored(near_duplicates(docs, STAGE_SHINGLE, STAGE_RADIUS, STAGE_SEGMENTS), "groups")
+    keys = groups.groupBy("doc_id", "_th").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
+    lost = keys.where("not (doc_id <=> component_id)")
+    twice = keys.where("doc_id <=> component_id and n > 1")
+    odd = stored(lost.union(twice).select("doc_id", "_th", "n", (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("lost")), "odd")
+    key = "_th"
+    while key in {c.lower() for c in docs.columns}:
+        key = "_" + key
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    same = keyed["doc_id"].eqNullSafe(odd["doc_id"]) & (keyed[key] == odd["_th"])
+    alone = keyed.join(odd, same, "left_anti")
+    again = keyed.join(odd.where("not lost"), same, "left_semi").dropDuplicates(["doc_id", key])
+    return alone.union(again).select(*docs.columns)
