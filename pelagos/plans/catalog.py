@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list = []
+from pelagos.plans import restrictions
+
+_MODULES = [restrictions]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
