@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pelagos.plans import restrictions
+from pelagos.plans import catalogues, restrictions
 
-_MODULES = [restrictions]
+_MODULES = [restrictions, catalogues]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
