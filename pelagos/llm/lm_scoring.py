@@ -15,7 +15,7 @@ from .storage import stored, table
 from .toxicity import remainder
 
 #: Grams of one shard of the tree, and words whose counts all tasks hold: both bound what is sent to a task.
-SHARD_GRAMS, FREQUENT_WORDS = 3_000_000, 4_000_000
+SHARD_GRAMS, FREQUENT_WORDS = 2_000_000, 1_000_000
 #: Grams of one part of the tree as it is built.
 PART_GRAMS = 200_000
 BLOCK_BYTES = 2 << 20
@@ -187,6 +187,7 @@ def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, part_grams: int =
     least = 1 << least
     got = words.where(F.col("c") >= least).toArrow()
     common = Lookup(got.column("k").to_numpy().view(np.uint64), got.column("c").to_numpy())
+    del got
     plain = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_t"))
     fields = ["doc_id", "_th", "n_tokens", "n_known", "base", "n_bytes", "score", "rare"]
     parts = None
