@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pelagos.plans import catalogues, restrictions
+from pelagos.plans import catalogues, places, restrictions, series
 
-_MODULES = [restrictions, catalogues]
+_MODULES = [restrictions, catalogues, places, series]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
