@@ -13,28 +13,36 @@ from .components import connected_components
 from .storage import stored, table
 
 BITS = 64
-#: The pipeline's stage: words of a shingle, differing bits at most, segments of the ring.
-STAGE_SHINGLE, STAGE_RADIUS, STAGE_SEGMENTS = 5, 3, 5
+#: The pipeline's stage: words of a shingle, similarity of the shingle sets, differing bits at most, segments of the ring, keys of a text.
+STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_RADIUS, STAGE_SEGMENTS, STAGE_KEYS = 5, 0.8, 22, 8, 4
 
 
-def fingerprint_of(text: bytes, shingle: int) -> int:
-    """Unsigned fingerprint of a text: XXH64 (seed 42) of each word shingle, repeats included, then the majority of every bit."""
+def shingle_hashes(text: bytes, shingle: int) -> list[int]:
+    """XXH64 (seed 42) of each word shingle in order, repeats included; a shorter text is one shingle, one without words has none."""
     words = text.lower().split()  # bytes.lower changes A-Z only; bytes.split takes space and 9 to 13
     if not words:
-        return 0
+        return []
+    line = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *(ends[: len(words) - shingle]).tolist()]
-        of = xxhash.xxh64_intdigest
-        hashes = [of(line[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(line, 42)]
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *(ends[: len(words) - shingle]).tolist()]
+    of = xxhash.xxh64_intdigest
+    return [of(line[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
+
+
+def majority(hashes: list[int]) -> int:
+    """The bits set in over half of the hashes."""
     counts = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(hashes), 65_536):
         part = np.array(hashes[i : i + 65_536], dtype=">u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big") if hashes else 0
+
+
+def fingerprint_of(text: bytes, shingle: int) -> int:
+    """Unsigned fingerprint of a text: the majority of every bit over its shingles."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -148,12 +156,96 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("_th")
 
 
+def _sketches(docs: DataFrame, shingle: int, keys: int) -> DataFrame:
+    """``doc_id``, ``_th``, ``_fp`` and ``_keys``, the smallest shingle hashes of the text (0 for one without words)."""
+    plain = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_t"))
+
+    def run(batches):
+        for b in batches:
+            known: dict[bytes, tuple[int, list[int]]] = {}
+            out = []
+            for t in binary_column(b, "_t"):
+                if t not in known:
+                    hashes = shingle_hashes(t, shingle)
+                    known[t] = majority(hashes), sorted(set(hashes))[:keys] or [0]
+                out.append(known[t])
+            fp = pa.array(np.array([x[0] for x in out], dtype=np.uint64).view(np.int64))
+            small = pa.array([np.array(x[1], dtype=np.uint64).view(np.int64) for x in out], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, small], names=["doc_id", "_th", "_fp", "_keys"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return plain.mapInArrow(run, f"doc_id {kind}, _th long, _fp long, _keys array<bigint>")
+
+
+def _ring(a: Column, b: Column, radius: int, segments: int) -> Column:
+    """Whether from some segment on every chain stays within its part of the radius."""
+    x = a.bitwiseXOR(b)
+    d = [F.bit_count(x.bitwiseAND(_signed(m))) for m in _masks(segments)]
+    starts = F.lit(False)
+    for i in range(segments):
+        chain, total = F.lit(True), F.lit(0)
+        for n in range(1, segments + 1):
+            total = total + d[(i + n - 1) % segments]
+            chain = chain & (total <= n * radius // segments)
+        starts = starts | chain
+    return starts
+
+
+def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY, radius: int = STAGE_RADIUS, segments: int = STAGE_SEGMENTS, keys: int = STAGE_KEYS, block_limit: int = 64) -> DataFrame:
+    """``doc_id``, ``_th``, ``component_id`` per row: texts whose shingle sets have a Jaccard similarity of ``similarity`` link.
+
+    Such texts differ in ten of 64 bits on average, which no short list of fingerprint segments can promise to
+    find. So pairs meet through one of their ``keys`` smallest shingle hashes (texts at 0.8 share none of four
+    in one case of several hundred), are pruned by the ring test and the Hamming distance, and decided on the
+    shingle sets themselves. A block of more than ``block_limit`` texts is not paired off: its members meet its
+    two ends, in each of their blocks. Texts without words are alike; so are equal texts, whatever their rows.
+    """
+    rows = stored(_sketches(docs, shingle, keys), "sketches")
+    nodes = stored(rows.groupBy("_th").agg(F.min("doc_id").alias("first"), F.min("_fp").alias("_fp"), F.min("_keys").alias("_keys")), "nodes")
+    blocks = nodes.select(F.explode("_keys").alias("key"), F.struct(F.col("_th").alias("t"), F.col("_fp").alias("f")).alias("x"))
+    ends = blocks.groupBy("key").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).where("n > 1")
+    met = stored(blocks.join(ends, "key"), "blocks")
+    small = met.where(F.col("n") <= block_limit).select("key", "x")
+    paired = small.alias("l").join(small.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.x.t") < F.col("r.x.t"))).select(F.col("l.x").alias("a"), F.col("r.x").alias("b"))
+    large = met.where(F.col("n") > block_limit)
+    paired = paired.union(large.select(F.col("lo").alias("a"), F.col("x").alias("b"))).union(large.select(F.col("x").alias("a"), F.col("hi").alias("b")))
+    near = paired.where("a.t < b.t").where(_ring(F.col("a.f"), F.col("b.f"), radius, segments)).where(F.bit_count(F.col("a.f").bitwiseXOR(F.col("b.f"))) <= radius)
+    near = stored(near.select(F.col("a.t").alias("a"), F.col("b.t").alias("b")).distinct(), "near")
+    wanted = stored(near.select(F.col("a").alias("_th")).union(near.select("b")).distinct(), "wanted")
+    texts = docs.select(F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_t")).join(wanted, "_th", "left_semi").dropDuplicates(["_th"])
+
+    def sets(batches):
+        for b in batches:
+            made = [np.unique(np.array(shingle_hashes(t, shingle), dtype=np.uint64)).tobytes() for t in binary_column(b, "_t")]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["_th", "s"])
+
+    held = stored(texts.mapInArrow(sets, "_th long, s binary"), "sets")
+    both = near.join(held.select(F.col("_th").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("_th").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+
+    def alike(x: bytes, y: bytes) -> bool:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        return shared >= similarity * (len(x) + len(y) - shared) - 1e-9
+
+    def decide(batches):
+        for b in batches:
+            keep = pa.array([alike(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+
+    links = stored(both.mapInArrow(decide, "a long, b long"), "links")
+    named = nodes.select("_th", "first").join(connected_components(links), F.col("_th") == F.col("node"), "left")
+    rooted = named.select("_th", "first", F.coalesce("root", "_th").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.select("doc_id", "_th").join(rooted.join(least, "root").select("_th", "component_id"), "_th")
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id, once where its row is repeated.
 
-    Fingerprints are of five-word shingles here. Rows without a doc_id stay where their group has no doc_id at all.
+    Copies are texts of a similarity of 0.8 or more on five-word shingles, and what they reach. Rows without a
+    doc_id stay where their group has no doc_id at all.
     """
-    groups = stored(near_duplicates(docs, STAGE_SHINGLE, STAGE_RADIUS, STAGE_SEGMENTS), "groups")
+    groups = stored(similar_texts(docs), "groups")
     keys = groups.groupBy("doc_id", "_th").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
     lost = keys.where("not (doc_id <=> component_id)")
     twice = keys.where("doc_id <=> component_id and n > 1")

@@ -167,3 +167,43 @@ def test_fingerprints_and_components(spark):
         assert got[i]["fingerprint"] == f"{fp:016x}"
     assert [got[i]["component_id"] for i in (0, 1, 2, 3, 4, 6, 7, None)] == [0, 0, 0, 3, 3, 6, 6, 3]
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("limit", [64, 2])
+def test_similar_texts_against_all_pairs(spark, limit):
+    rng = random.Random(limit)
+    vocab = ["v%d" % i for i in range(400)]
+    docs = [(i, " ".join(rng.choices(vocab, k=rng.randint(3, 120)))) for i in range(30)]
+    for i in range(60):
+        w = rng.choice(docs)[1].split()
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        docs.append((100 + i, " ".join(w)))
+    docs += [(300, None), (301, ""), (302, " \n"), (None, docs[0][1]), (5, docs[5][1])]
+    rng.shuffle(docs)
+    sets = [frozenset(simhash.shingle_hashes((t or "").encode(), 5)) for _, t in docs]
+    top = list(range(len(docs)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a in range(len(docs)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                top[root(a)] = root(b)
+    want = {}
+    for i, (k, _) in enumerate(docs):
+        group = [docs[j][0] for j in range(len(docs)) if root(j) == root(i) and docs[j][0] is not None]
+        want.setdefault(k, set()).add(min(group) if group else None)
+    d = spark.createDataFrame([(k, t, "x") for k, t in docs], "doc_id long, text string, first string").repartition(3)
+    got = {}
+    for r in simhash.similar_texts(d, block_limit=limit).collect():
+        got.setdefault(r["doc_id"], set()).add(r["component_id"])
+    assert got.keys() == want.keys()
+    if limit == 64:
+        assert got == want
+    else:
+        assert sum(got[k] == want[k] for k in want) >= 0.9 * len(want)
+    assert simhash.similar_texts(d.limit(0)).collect() == []
