@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pelagos.plans import catalogues, places, restrictions, series
+from pelagos.plans import catalogues, places, reconcile, restrictions, series
 
-_MODULES = [restrictions, catalogues, places, series]
+_MODULES = [restrictions, catalogues, places, series, reconcile]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
