@@ -217,8 +217,9 @@ def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, part_grams: int =
                             docs_of = of[~hit]
                             order = np.argsort(docs_of, kind="stable")
                             ends = np.searchsorted(docs_of[order], np.arange(j - i + 1))
+                            keys = keys[order]
                             for d in range(j - i):
-                                rare[i + d] = keys[order][ends[d] : ends[d + 1]]
+                                rare[i + d] = keys[ends[d] : ends[d + 1]]
                     if part_of is not None:
                         mine = part_of[_unit(key, depth)] == shard
                         key, doc = key[mine], doc[mine]
