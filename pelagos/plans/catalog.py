@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pelagos.plans import catalogues, extraction, places, reconcile, restrictions, series
+from pelagos.plans import catalogues, extraction, places, reconcile, restrictions, series, stateful
 
-_MODULES = [restrictions, catalogues, places, series, reconcile, extraction]
+_MODULES = [restrictions, catalogues, places, series, reconcile, extraction, stateful]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
