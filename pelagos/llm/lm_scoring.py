@@ -15,7 +15,7 @@ from .storage import stored, table
 from .toxicity import remainder
 
 #: Grams of one shard of the tree, and words whose counts all tasks hold: both bound what is sent to a task.
-SHARD_GRAMS, FREQUENT_WORDS = 2_000_000, 1_000_000
+SHARD_GRAMS, FREQUENT_WORDS = 800_000, 1_000_000
 #: Grams of one part of the tree as it is built.
 PART_GRAMS = 200_000
 BLOCK_BYTES = 1 << 20
@@ -153,16 +153,17 @@ def context_tree(counts: DataFrame, depth: int = DEPTH, part_grams: int = PART_G
 
     built = stored(dealt.groupBy("part").applyInPandas(down, "part int, depth int, keys binary, lengths binary"), "tree")
     shards = max(1, -(-total // shard_grams))
-    part_of = np.array([r[0] for r in spark.range(1 << 16).select(F.pmod(F.xxhash64("id"), F.lit(parts))).collect()])
+    part_of = spark.range(1 << 16).select("id", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("p")).orderBy("id").toArrow().column("p").to_numpy()
     for s in range(shards):
-        rows = built.where(F.pmod("part", F.lit(shards)) == s).toArrow().to_pylist()
         tables = list(top)
         for d in range(2, depth + 1):
-            mine = [r for r in rows if r["depth"] == d]
-            keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in mine)])
-            lengths = np.concatenate([np.zeros((0, 8), np.float32), *(np.frombuffer(r["lengths"], np.float32).reshape(-1, 8) for r in mine)])
+            mine = built.where((F.pmod("part", F.lit(shards)) == s) & (F.col("depth") == d)).select("keys", "lengths").toArrow()
+            keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in mine.column("keys"))])
+            lengths = np.concatenate([np.zeros((0, 8), np.float32), *(np.frombuffer(x.as_buffer(), np.float32).reshape(-1, 8) for x in mine.column("lengths"))])
+            del mine
             order = np.argsort(keys)
             tables.append((keys[order], lengths[order]))
+            del keys, lengths, order
         yield s, shards, Tree(tables), (part_of % shards if shards > 1 else None)
 
 
@@ -185,8 +186,9 @@ def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, part_grams: int =
         least -= 1
         room -= by_size[least]["v"] if least in by_size else 0
     least = 1 << least
-    got = words.where(F.col("c") >= least).toArrow()
-    common = Lookup(got.column("k").to_numpy().view(np.uint64), got.column("c").to_numpy())
+    is_end = F.col("k") == int(np.array([END]).view(np.int64)[0])
+    got = words.where((F.col("c") >= least) | is_end).toArrow()
+    common = Lookup(got.column("k").to_numpy().view(np.uint64), got.column("c").to_numpy().astype(np.float64))
     del got
     plain = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_t"))
     fields = ["doc_id", "_th", "n_tokens", "n_known", "base", "n_bytes", "score", "rare"]
@@ -199,7 +201,7 @@ def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, part_grams: int =
             for b in batches:
                 texts = binary_column(b, "_t")
                 out = {c: np.zeros(len(texts), dtype=np.int64) for c in ("n_tokens", "n_known", "n_bytes")} | {c: np.zeros(len(texts)) for c in ("base", "score")}
-                rare: list = [None] * len(texts)
+                rare, sizes = [np.zeros(0, np.int64)], np.zeros(len(texts), dtype=np.int64)
                 for i, j in in_blocks(texts, BLOCK_BYTES):
                     w = Words(texts[i:j])
                     key, doc = grams(w, j - i, depth)
@@ -212,20 +214,19 @@ def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, part_grams: int =
                         out["n_known"][i:j] = np.bincount(of[hit], minlength=j - i)
                         if hit.any():
                             out["base"][i:j] = np.bincount(of[hit], weights=np.log10(common.values[at[hit]] + 1.0), minlength=j - i)
-                        if least > 1:
-                            keys = np.append(w.hash, np.full(j - i, END)).view(np.int64)[~hit]
-                            docs_of = of[~hit]
-                            order = np.argsort(docs_of, kind="stable")
-                            ends = np.searchsorted(docs_of[order], np.arange(j - i + 1))
-                            keys = keys[order]
-                            for d in range(j - i):
-                                rare[i + d] = keys[ends[d] : ends[d + 1]]
+                        # words come text by text; the end is always among the common ones
+                        few = ~hit[: len(w.hash)] if least > 1 else np.zeros(0, bool)
+                        if few.any():
+                            rare.append(w.hash[few].view(np.int64))
+                            sizes[i:j] = np.bincount(w.doc[few], minlength=j - i)
                     if part_of is not None:
                         mine = part_of[_unit(key, depth)] == shard
                         key, doc = key[mine], doc[mine]
                     out["score"][i:j] = np.bincount(doc, weights=rows.log10(key), minlength=j - i)
                 cols = [pa.array(out[c]) for c in ("n_tokens", "n_known", "base", "n_bytes", "score")]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, pa.array(rare, pa.list_(pa.int64()))], names=fields)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rare)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, lists], names=fields)
 
         ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _th long, n_tokens long, n_known long, base double, n_bytes long, score double, rare array<bigint>"
         part = stored(plain.mapInArrow(run, ddl), "lm-scores")
@@ -235,7 +236,7 @@ def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, part_grams: int =
     )
     each = each.withColumn("_copies", (F.col("_n") / shards).cast("long"))
     if least > 1:
-        few = words.where(F.col("c") < least)
+        few = words.where((F.col("c") < least) & ~is_end)
         tail = parts.select("doc_id", "_th", F.explode("rare").alias("k")).join(few, "k")
         tail = tail.groupBy(F.col("doc_id").alias("_d"), F.col("_th").alias("_h")).agg(F.count("*").alias("_k"), F.sum(F.log10(F.col("c") + 1.0)).alias("_b"))
         each = each.join(tail, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_h")), "left")
