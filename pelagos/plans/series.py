@@ -13,13 +13,17 @@ from pelagos.plans.base import round_sql, table
 from pelagos.plans.places import _LEGS_SQL, _legs
 
 W_ = W.Window
-_MICROS = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
 
 
+def _micros():
+    """``ts`` in microseconds since 1970, whatever the session's time zone."""
+    return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+
+
 def _station(order=("ts", "event_id")):
     return W_.partitionBy("user_id").orderBy(*order)
 
@@ -86,7 +90,7 @@ def below_threshold_runs(spark, sf):
 def linear_interpolate(spark, sf):
     """The value at fixed hours, on the line between the readings around, or that of the nearest end."""
     e = _events(spark, sf).where("event_type = 'click'")
-    s = e.groupBy(F.col("user_id") % 20, "ts").agg(F.avg("value").alias("v")).withColumnRenamed("(user_id % 20)", "st").select("st", _MICROS.alias("t"), "v")
+    s = e.groupBy(F.col("user_id") % 20, "ts").agg(F.avg("value").alias("v")).withColumnRenamed("(user_id % 20)", "st").select("st", _micros().alias("t"), "v")
     span = s.groupBy("st").agg(F.min("t").alias("a"), F.max("t").alias("z"))
     grid = span.select("st", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("i"), (F.col("a") + F.expr("div(z - a, 20)") * (F.col("i") - 2)).alias("t"))
     u = s.withColumn("i", F.lit(None).cast("int")).unionByName(grid.withColumn("v", F.lit(None).cast("double")))
@@ -124,7 +128,7 @@ _TIDE = (("M2", 620.0, 28.9841042, 110.0), ("S2", 210.0, 30.0, 140.0), ("N2", 13
 
 def tide_height(spark, sf):
     """Mean level and the sum of the constituents' cosines."""
-    e = _events(spark, sf).withColumn("h", _MICROS / 3.6e9)
+    e = _events(spark, sf).withColumn("h", _micros() / 3.6e9)
     e = e.withColumn("h", F.col("h") - F.floor(F.col("h") / 10000) * 10000)
     total = reduce(lambda a, c: a + c[1] * F.cos(F.radians(F.lit(c[2]) * F.col("h") - c[3])), _TIDE, F.lit(900.0))
     return e.select("event_id", half_up(total, 3).alias("mm"))
