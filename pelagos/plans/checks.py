@@ -12,7 +12,6 @@ from pelagos.operators import spatial as S
 from pelagos.plans.base import feed, lat, lat_sql, lng, lng_sql, round_sql, table
 from pelagos.plans.places import _BOX_SQL, _GRID_SQL, _LEGS_SQL, _boxes, _grid, _legs
 from pelagos.plans.restrictions import NORM_SQL
-from pelagos.plans.stateful import rate_limit
 
 W_ = W.Window
 # The ellipsoid's radius and squared eccentricity, and the scale of the projection.
@@ -188,7 +187,6 @@ QUERIES = {
     "snap_cell": (snap_cell, f"WITH {_GRID_SQL}, n AS (SELECT a.r, a.c, b.r AS r2, b.c AS c2, row_number() OVER (PARTITION BY a.r, a.c ORDER BY greatest(abs(b.r - a.r), abs(b.c - a.c)), b.r - a.r, b.c - a.c) AS k FROM g a JOIN g b ON abs(b.r - a.r) <= 3 AND abs(b.c - a.c) <= 3 WHERE a.v >= 4980 AND b.v < 4980) SELECT r, c, r2, c2 FROM n WHERE k = 1"),
     "grid_distance": (grid_distance, f"WITH {_GRID_SQL} SELECT a.r, a.c, {round_sql('sqrt(min((b.r - a.r) * (b.r - a.r) + (b.c - a.c) * (b.c - a.c)))', 6)} AS cells FROM g a JOIN g b ON abs(b.r - a.r) <= 4 AND abs(b.c - a.c) <= 4 WHERE a.v < 4980 AND b.v >= 4980 GROUP BY 1, 2"),
     "mask_impact": (mask_impact, f"WITH {_GRID_SQL} SELECT r, {round_sql('100.0::DOUBLE * count(*) FILTER (WHERE v >= 4900) / count(*)', 4)} AS pct FROM g GROUP BY r ORDER BY pct DESC, r LIMIT 10"),
-    "rate_limit_anchored": (rate_limit, None),
     "bidirectional_fk": (bidirectional_fk, "SELECT count(*) AS n, 'without orders' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT count(DISTINCT o_custkey), 'without customer' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)"),
     "required_if": (required_if, "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderkey % 6 = 0) AS faults FROM orders GROUP BY 1"),
 }
