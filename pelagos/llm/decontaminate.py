@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import stored, table
+from .storage import small, stored, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Windows as similar as that differ from their item in ten bits on average, three more or fewer as a rule.
@@ -109,8 +109,8 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, shingle: int = SHI
     starts = inside.where(first <= last).select("_a", "_b", "item_id", "size", "k", "n", "w", F.explode(F.sequence(first, last)).alias("s"))
     held = starts.groupBy("_a", "_b", "item_id", "size", "k", "n", "w", "s").agg(F.count("*").alias("m")).where(F.col("m") >= least)
     windows = stored(held.select("_a", "_b", "size", "k", "s").distinct(), "windows")
-    some = windows.groupBy("_a", "_b").agg(F.collect_set(F.struct("size", "k", "s")).alias("at"))
-    whole = texts.join(some, ["_a", "_b"]).dropDuplicates(["_a", "_b"])
+    some = stored(windows.groupBy("_a", "_b").agg(F.collect_set(F.struct("size", "k", "s")).alias("at")), "texts-with-windows")
+    whole = texts.join(small(some), ["_a", "_b"]).dropDuplicates(["_a", "_b"])
     one = whole.select("_a", "_b", "_w", F.explode("at").alias("x")).select("_a", "_b", "x.*", F.expr("slice(_w, x.s + 1, x.size)").alias("_v"))
     sh = F.coalesce(*(F.when(F.col("k") == k, _shingles("_v", k)) for k in range(1, shingle + 1)))
     rows = stored(one.select("_a", "_b", "size", "k", "s", F.explode(sh).alias("h")), "window-shingles")
@@ -155,5 +155,5 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
         names = ["_" + n for n in names]
     keyed = docs.withColumns({names[0]: a, names[1]: b})
     match = (keyed[names[0]] == found["_a"]) & (keyed[names[1]] == found["_b"])
-    return keyed.join(found, match, "left_anti").select(*docs.columns)
+    return keyed.join(small(found), match, "left_anti").select(*docs.columns)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .bytesvec import binary_column
 from .components import connected_components
-from .storage import stored, table
+from .storage import small, stored, table
 
 BITS = 64
 #: The pipeline's stage: words of a shingle, similarity of the shingle sets, differing bits at most, segments of the ring, keys of a text.
@@ -205,14 +205,14 @@ def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: flo
     blocks = nodes.select(F.explode("_keys").alias("key"), F.struct(F.col("_th").alias("t"), F.col("_fp").alias("f")).alias("x"))
     ends = blocks.groupBy("key").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).where("n > 1")
     met = stored(blocks.join(ends, "key"), "blocks")
-    small = met.where(F.col("n") <= block_limit).select("key", "x")
-    paired = small.alias("l").join(small.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.x.t") < F.col("r.x.t"))).select(F.col("l.x").alias("a"), F.col("r.x").alias("b"))
+    paired_off = met.where(F.col("n") <= block_limit).select("key", "x")
+    paired = paired_off.alias("l").join(paired_off.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.x.t") < F.col("r.x.t"))).select(F.col("l.x").alias("a"), F.col("r.x").alias("b"))
     large = met.where(F.col("n") > block_limit)
     paired = paired.union(large.select(F.col("lo").alias("a"), F.col("x").alias("b"))).union(large.select(F.col("x").alias("a"), F.col("hi").alias("b")))
     near = paired.where("a.t < b.t").where(_ring(F.col("a.f"), F.col("b.f"), radius, segments)).where(F.bit_count(F.col("a.f").bitwiseXOR(F.col("b.f"))) <= radius)
     near = stored(near.select(F.col("a.t").alias("a"), F.col("b.t").alias("b")).distinct(), "near")
     wanted = stored(near.select(F.col("a").alias("_th")).union(near.select("b")).distinct(), "wanted")
-    texts = docs.select(F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_t")).join(wanted, "_th", "left_semi").dropDuplicates(["_th"])
+    texts = docs.select(F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_t")).join(small(wanted), "_th", "left_semi").dropDuplicates(["_th"])
 
     def sets(batches):
         for b in batches:
@@ -255,6 +255,6 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         key = "_" + key
     keyed = docs.withColumn(key, F.xxhash64("text"))
     same = keyed["doc_id"].eqNullSafe(odd["doc_id"]) & (keyed[key] == odd["_th"])
-    alone = keyed.join(odd, same, "left_anti")
-    again = keyed.join(odd.where("not lost"), same, "left_semi").dropDuplicates(["doc_id", key])
+    alone = keyed.join(small(odd), same, "left_anti")
+    again = keyed.join(small(odd.where("not lost")), same, "left_semi").dropDuplicates(["doc_id", key])
     return alone.union(again).select(*docs.columns)

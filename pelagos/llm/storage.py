@@ -28,6 +28,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of up to some hundred bytes that are sent to all tasks rather than joined by a shuffle of the texts.
+SMALL_ROWS = 300_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df``, a written table, marked for broadcast if it has been counted to be small; else Spark shuffles both sides."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def with_row_key(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Adds ``_id`` (the key as text; null has a value of its own) and ``_th`` (a hash of the text).
 
