@@ -15,6 +15,8 @@ from .storage import small, stored, table
 BITS = 64
 #: The pipeline's stage: words of a shingle, similarity of the shingle sets, differing bits at most, segments of the ring, keys of a text.
 STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_RADIUS, STAGE_SEGMENTS, STAGE_KEYS = 5, 0.8, 22, 8, 4
+#: Rounds of hubs end when the members of crowded blocks that are still apart have so many pairs for each place in a small block.
+HUB_WORK = 20_000
 
 
 def shingle_hashes(text: bytes, shingle: int) -> list[int]:
@@ -157,24 +159,25 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sketches(docs: DataFrame, shingle: int, keys: int) -> DataFrame:
-    """``doc_id``, ``_th``, ``_fp`` and ``_keys``, the smallest shingle hashes of the text (0 for one without words)."""
+    """``doc_id``, ``_th``, ``_node`` (digest of the set of shingles), ``_fp`` and ``_keys``, the smallest shingle hashes of the text (0 for one without words)."""
     plain = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_t"))
 
     def run(batches):
         for b in batches:
-            known: dict[bytes, tuple[int, list[int]]] = {}
+            known: dict[bytes, tuple[int, int, np.ndarray]] = {}
             out = []
             for t in binary_column(b, "_t"):
                 if t not in known:
                     hashes = shingle_hashes(t, shingle)
-                    known[t] = majority(hashes), sorted(set(hashes))[:keys] or [0]
+                    held = np.unique(np.array(hashes, dtype=np.uint64))
+                    known[t] = xxhash.xxh64_intdigest(held.tobytes(), 42), majority(hashes), held[:keys] if len(held) else np.zeros(1, np.uint64)
                 out.append(known[t])
-            fp = pa.array(np.array([x[0] for x in out], dtype=np.uint64).view(np.int64))
-            small = pa.array([np.array(x[1], dtype=np.uint64).view(np.int64) for x in out], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, small], names=["doc_id", "_th", "_fp", "_keys"])
+            node, fp = (pa.array(np.array([x[i] for x in out], dtype=np.uint64).view(np.int64)) for i in (0, 1))
+            small = pa.array([x[2].view(np.int64) for x in out], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, fp, small], names=["doc_id", "_th", "_node", "_fp", "_keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return plain.mapInArrow(run, f"doc_id {kind}, _th long, _fp long, _keys array<bigint>")
+    return plain.mapInArrow(run, f"doc_id {kind}, _th long, _node long, _fp long, _keys array<bigint>")
 
 
 def _ring(a: Column, b: Column, radius: int, segments: int) -> Column:
@@ -191,36 +194,20 @@ def _ring(a: Column, b: Column, radius: int, segments: int) -> Column:
     return starts
 
 
-def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY, radius: int = STAGE_RADIUS, segments: int = STAGE_SEGMENTS, keys: int = STAGE_KEYS, block_limit: int = 64) -> DataFrame:
-    """``doc_id``, ``_th``, ``component_id`` per row: texts whose shingle sets have a Jaccard similarity of ``similarity`` link.
-
-    Such texts differ in ten of 64 bits on average, which no short list of fingerprint segments can promise to
-    find. So pairs meet through one of their ``keys`` smallest shingle hashes (texts at 0.8 share none of four
-    in one case of several hundred), are pruned by the ring test and the Hamming distance, and decided on the
-    shingle sets themselves. A block of more than ``block_limit`` texts is not paired off: its members meet its
-    two ends, in each of their blocks. Texts without words are alike; so are equal texts, whatever their rows.
-    """
-    rows = stored(_sketches(docs, shingle, keys), "sketches")
-    nodes = stored(rows.groupBy("_th").agg(F.min("doc_id").alias("first"), F.min("_fp").alias("_fp"), F.min("_keys").alias("_keys")), "nodes")
-    blocks = nodes.select(F.explode("_keys").alias("key"), F.struct(F.col("_th").alias("t"), F.col("_fp").alias("f")).alias("x"))
-    ends = blocks.groupBy("key").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).where("n > 1")
-    met = stored(blocks.join(ends, "key"), "blocks")
-    paired_off = met.where(F.col("n") <= block_limit).select("key", "x")
-    paired = paired_off.alias("l").join(paired_off.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.x.t") < F.col("r.x.t"))).select(F.col("l.x").alias("a"), F.col("r.x").alias("b"))
-    large = met.where(F.col("n") > block_limit)
-    paired = paired.union(large.select(F.col("lo").alias("a"), F.col("x").alias("b"))).union(large.select(F.col("x").alias("a"), F.col("hi").alias("b")))
-    near = paired.where("a.t < b.t").where(_ring(F.col("a.f"), F.col("b.f"), radius, segments)).where(F.bit_count(F.col("a.f").bitwiseXOR(F.col("b.f"))) <= radius)
-    near = stored(near.select(F.col("a.t").alias("a"), F.col("b.t").alias("b")).distinct(), "near")
-    wanted = stored(near.select(F.col("a").alias("_th")).union(near.select("b")).distinct(), "wanted")
-    texts = docs.select(F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_t")).join(small(wanted), "_th", "left_semi").dropDuplicates(["_th"])
+def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of ``pairs`` (``a``, ``b``: nodes) those whose shingle sets have the similarity."""
+    near = stored(pairs.distinct(), "near")
+    wanted = stored(near.select(F.col("a").alias("_node")).union(near.select("b")).distinct().join(nodes.select("_node", "_th"), "_node"), "wanted")
+    keyed = docs.select(F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_t"))
+    texts = keyed.join(small(wanted), "_th").dropDuplicates(["_th"]).select("_node", "_t")
 
     def sets(batches):
         for b in batches:
             made = [np.unique(np.array(shingle_hashes(t, shingle), dtype=np.uint64)).tobytes() for t in binary_column(b, "_t")]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["_th", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["_node", "s"])
 
-    held = stored(texts.mapInArrow(sets, "_th long, s binary"), "sets")
-    both = near.join(held.select(F.col("_th").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("_th").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+    held = stored(texts.mapInArrow(sets, "_node long, s binary"), "sets")
+    both = near.join(held.select(F.col("_node").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("_node").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def alike(x: bytes, y: bytes) -> bool:
         x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -232,11 +219,71 @@ def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: flo
             keep = pa.array([alike(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
-    links = stored(both.mapInArrow(decide, "a long, b long"), "links")
-    named = nodes.select("_th", "first").join(connected_components(links), F.col("_th") == F.col("node"), "left")
-    rooted = named.select("_th", "first", F.coalesce("root", "_th").alias("root"))
+    return stored(both.mapInArrow(decide, "a long, b long"), "links")
+
+
+def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    found = nodes.select("_node").join(connected_components(links), F.col("_node") == F.col("node"), "left")
+    return stored(found.select("_node", F.coalesce("root", "_node").alias("root")), "roots")
+
+
+def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY, radius: int = STAGE_RADIUS, segments: int = STAGE_SEGMENTS, keys: int = STAGE_KEYS, block_limit: int = 64) -> DataFrame:
+    """``doc_id``, ``_th``, ``component_id`` per row: texts whose shingle sets have a Jaccard similarity of ``similarity`` link.
+
+    Such texts differ in ten of 64 bits on average, which no short list of fingerprint segments can promise to
+    find. So pairs meet through one of their ``keys`` smallest shingle hashes (texts at 0.8 share none of four
+    in one case of several hundred), are pruned by the ring test and the Hamming distance, and decided on the
+    shingle sets themselves. Texts with equal sets are one node, whatever their rows.
+
+    A block of more than ``block_limit`` nodes is not paired off at once, as in a family of copies nearly all pairs
+    are alike: its members meet hubs, which joins most of them. Two members of one component need not meet any
+    more, so only members outside their block's largest component then meet all the others: no pair of different
+    components is left out, and the components are those of all pairs.
+    """
+    rows = stored(_sketches(docs, shingle, keys), "sketches")
+    nodes = stored(rows.groupBy("_node").agg(F.min("doc_id").alias("first"), F.min("_th").alias("_th"), F.first("_fp").alias("_fp"), F.first("_keys").alias("_keys")), "nodes")
+    blocks = nodes.select(F.explode("_keys").alias("key"), F.struct(F.col("_node").alias("t"), F.col("_fp").alias("f")).alias("x"))
+    ends = blocks.groupBy("key").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).where("n > 1")
+    met = stored(blocks.join(ends, "key"), "blocks")
+
+    def may(a: Column, b: Column) -> Column:
+        return _ring(a["f"], b["f"], radius, segments) & (F.bit_count(a["f"].bitwiseXOR(b["f"])) <= radius)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        ordered = pairs.where("a.t <> b.t").where(may(F.col("a"), F.col("b")))
+        return _alike(docs, nodes, ordered.select(F.least("a.t", "b.t").alias("a"), F.greatest("a.t", "b.t").alias("b")), shingle, similarity)
+
+    paired_off = met.where(F.col("n") <= block_limit).select("key", "x")
+    paired = paired_off.alias("l").join(paired_off.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.x.t") < F.col("r.x.t")) & may(F.col("l.x"), F.col("r.x"))).select(F.col("l.x").alias("a"), F.col("r.x").alias("b"))
+    large = met.where(F.col("n") > block_limit)
+    paired = paired.union(large.select(F.col("lo").alias("a"), F.col("x").alias("b"))).union(large.select(F.col("x").alias("a"), F.col("hi").alias("b")))
+    links = linked(paired)
+    roots = _rooted(nodes, links)
+    large = stored(large.select("key", "x", "n"), "crowded")
+    before = None
+    while True:
+        at = stored(large.join(roots, F.col("x.t") == F.col("_node")).select("key", "x", "n", "root"), "crowded")
+        sizes = at.groupBy("key", "root").agg(F.count("*").alias("m"))
+        major = sizes.groupBy("key").agg(F.max(F.struct("m", "root")).alias("major"))
+        others = stored(at.join(major, "key").where(F.col("root") != F.col("major.root")), "others")
+        work = others.agg(F.sum("n")).first()[0]
+        if not work:
+            break
+        last = work <= block_limit * HUB_WORK or (before is not None and 2 * work > before)
+        if last:
+            pairs = others.alias("l").join(at.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root")) & may(F.col("l.x"), F.col("r.x")))
+            pairs = pairs.select(F.col("l.x").alias("a"), F.col("r.x").alias("b"))
+        else:
+            hubs = others.groupBy("key").agg(F.min(F.struct(F.xxhash64("x.t", F.lit(work)).alias("h"), "x", "root")).alias("hub"))
+            pairs = at.join(hubs, "key").where(F.col("root") != F.col("hub.root")).select(F.col("hub.x").alias("a"), F.col("x").alias("b"))
+        links = stored(links.union(linked(pairs)), "links")
+        roots = _rooted(nodes, links)
+        before = work
+        if last:
+            break
+    rooted = nodes.select("_node", "first").join(roots, "_node")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.select("doc_id", "_th").join(rooted.join(least, "root").select("_th", "component_id"), "_th")
+    return rows.select("doc_id", "_th", "_node").join(rooted.join(least, "root").select("_node", "component_id"), "_node").select("doc_id", "_th", "component_id")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

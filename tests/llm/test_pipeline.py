@@ -207,3 +207,37 @@ def test_similar_texts_against_all_pairs(spark, limit):
     else:
         assert sum(got[k] == want[k] for k in want) >= 0.9 * len(want)
     assert simhash.similar_texts(d.limit(0)).collect() == []
+
+
+def similar_components(texts):
+    """Components of all pairs of texts at 0.8 or more, by brute force: the smallest index of each text's group."""
+    sets = [frozenset(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    top = list(range(len(texts)))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                top[y] = x
+    return {i: root(i) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("limit,work", [(64, 0), (2, 0), (2, 20_000)])
+def test_crowded_blocks_lose_no_pair(spark, monkeypatch, limit, work):
+    # 100 texts share a notice that makes up most of them; pairs of them are near copies of each other only
+    monkeypatch.setattr(simhash, "HUB_WORK", work)
+    rng = random.Random(limit + work)
+    say = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    notice, texts = say(90), []
+    for _ in range(50):
+        own = say(60)
+        texts += [" ".join(notice + own), " ".join(notice + own[:-2] + say(2))]
+    want = similar_components(texts)
+    assert len(set(want.values())) == 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs, block_limit=limit).collect()} == want
