@@ -13,8 +13,12 @@ from .components import connected_components
 from .storage import small, stored, table
 
 BITS = 64
-#: The pipeline's stage: words of a shingle, similarity of the shingle sets, differing bits at most, segments of the ring, keys of a text.
-STAGE_SHINGLE, STAGE_SIMILARITY, STAGE_RADIUS, STAGE_SEGMENTS, STAGE_KEYS = 5, 0.8, 22, 8, 4
+#: The pipeline's stage: words of a shingle, similarity of the shingle sets.
+STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
+#: One text in so many is sampled for common shingles, those in so many of its texts count as common, and so many are kept.
+SAMPLE, SAMPLE_COMMON, MOST_COMMON = 16, 8, 500_000
+#: The hashes of a set are counted in two to this power parts of their range.
+PARTS_BITS = 6
 #: Rounds of hubs end when the members of crowded blocks that are still apart have so many pairs for each place in a small block.
 HUB_WORK = 20_000
 
@@ -158,45 +162,73 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("_th")
 
 
-def _sketches(docs: DataFrame, shingle: int, keys: int) -> DataFrame:
-    """``doc_id``, ``_th``, ``_node`` (digest of the set of shingles), ``_fp`` and ``_keys``, the smallest shingle hashes of the text (0 for one without words)."""
+def _common(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes (first row) of shingles that many texts share and in how many texts of a sample (second row), ordered by hash.
+
+    They only order a text's shingles, so that prefixes hold rare ones: any order finds the same pairs.
+    """
+    th = F.xxhash64("text")
+    plain = docs.select(th.alias("_th"), F.col("text").cast("binary").alias("_t")).where(F.pmod("_th", F.lit(SAMPLE)) == 0)
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(np.array(shingle_hashes(t, shingle), dtype=np.uint64)) for t in dict.fromkeys(binary_column(b, "_t"))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], names=["h"])
+
+    counts = plain.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_COMMON)
+    t = counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()
+    h, n = t.column(0).to_numpy().view(np.uint64), t.column(1).to_numpy().astype(np.uint64)
+    order = np.argsort(h)
+    return np.stack([h[order], n[order]])
+
+
+def _prefix(held: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of a set's hashes, the rarest first, that two sets of the similarity share one of them."""
+    if not len(held):
+        return np.zeros(1, np.uint64)
+    rank = np.zeros(len(held), np.uint64)
+    if common.shape[1]:
+        at = np.minimum(np.searchsorted(common[0], held), common.shape[1] - 1)
+        rank = np.where(common[0][at] == held, common[1][at], np.uint64(0))
+    size = len(held) - int(np.ceil(similarity * len(held) - 1e-6)) + 1
+    return held[np.lexsort((held, rank))[:size]]
+
+
+def _sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``doc_id``, ``_th``, and of the text's set of shingles ``_node`` (its digest), ``_n`` (its size), ``_parts`` (how many hashes lie in each part of their range) and ``_keys`` (its prefix)."""
     plain = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_t"))
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
 
     def run(batches):
         for b in batches:
-            known: dict[bytes, tuple[int, int, np.ndarray]] = {}
+            known: dict[bytes, tuple[int, int, np.ndarray, np.ndarray]] = {}
             out = []
             for t in binary_column(b, "_t"):
                 if t not in known:
-                    hashes = shingle_hashes(t, shingle)
-                    held = np.unique(np.array(hashes, dtype=np.uint64))
-                    known[t] = xxhash.xxh64_intdigest(held.tobytes(), 42), majority(hashes), held[:keys] if len(held) else np.zeros(1, np.uint64)
+                    held = np.unique(np.array(shingle_hashes(t, shingle), dtype=np.uint64))
+                    parts = np.bincount((held >> np.uint64(64 - PARTS_BITS)).astype(np.int64), minlength=1 << PARTS_BITS).astype(np.int32)
+                    known[t] = xxhash.xxh64_intdigest(held.tobytes(), 42), len(held), parts, _prefix(held, common.value, similarity).view(np.int64)
                 out.append(known[t])
-            node, fp = (pa.array(np.array([x[i] for x in out], dtype=np.uint64).view(np.int64)) for i in (0, 1))
-            small = pa.array([x[2].view(np.int64) for x in out], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, fp, small], names=["doc_id", "_th", "_node", "_fp", "_keys"])
+            node = pa.array(np.array([x[0] for x in out], dtype=np.uint64).view(np.int64))
+            n = pa.array([x[1] for x in out], pa.int64())
+            parts, keys = pa.array([x[2] for x in out], pa.list_(pa.int32())), pa.array([x[3] for x in out], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, n, parts, keys], names=["doc_id", "_th", "_node", "_n", "_parts", "_keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return plain.mapInArrow(run, f"doc_id {kind}, _th long, _node long, _fp long, _keys array<bigint>")
+    return plain.mapInArrow(run, f"doc_id {kind}, _th long, _node long, _n long, _parts array<int>, _keys array<bigint>")
 
 
-def _ring(a: Column, b: Column, radius: int, segments: int) -> Column:
-    """Whether from some segment on every chain stays within its part of the radius."""
-    x = a.bitwiseXOR(b)
-    d = [F.bit_count(x.bitwiseAND(_signed(m))) for m in _masks(segments)]
-    starts = F.lit(False)
-    for i in range(segments):
-        chain, total = F.lit(True), F.lit(0)
-        for n in range(1, segments + 1):
-            total = total + d[(i + n - 1) % segments]
-            chain = chain & (total <= n * radius // segments)
-        starts = starts | chain
-    return starts
+def _needed(a: Column, b: Column, similarity: float) -> Column:
+    """How many members two sets of these sizes share at least if they have the similarity."""
+    return F.ceil((a + b) * (similarity / (1 + similarity)) - 1e-6)
 
 
 def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Of ``pairs`` (``a``, ``b``: nodes) those whose shingle sets have the similarity."""
-    near = stored(pairs.distinct(), "near")
+    x, y = (nodes.select(F.col("_node").alias(k), F.col("_n").alias(f"n{k}"), F.col("_parts").alias(f"p{k}")) for k in "ab")
+    most = F.aggregate(F.zip_with("pa", "pb", lambda p, q: F.least(p, q)), F.lit(0), lambda p, q: p + q)
+    near = pairs.distinct().join(x, "a").join(y, "b").where(most >= _needed(F.col("na"), F.col("nb"), similarity))
+    near = stored(near.select("a", "b"), "near")
     wanted = stored(near.select(F.col("a").alias("_node")).union(near.select("b")).distinct().join(nodes.select("_node", "_th"), "_node"), "wanted")
     keyed = docs.select(F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_t"))
     texts = keyed.join(small(wanted), "_th").dropDuplicates(["_th"]).select("_node", "_t")
@@ -227,27 +259,31 @@ def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return stored(found.select("_node", F.coalesce("root", "_node").alias("root")), "roots")
 
 
-def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY, radius: int = STAGE_RADIUS, segments: int = STAGE_SEGMENTS, keys: int = STAGE_KEYS, block_limit: int = 64) -> DataFrame:
+def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY, block_limit: int = 64) -> DataFrame:
     """``doc_id``, ``_th``, ``component_id`` per row: texts whose shingle sets have a Jaccard similarity of ``similarity`` link.
 
     Such texts differ in ten of 64 bits on average, which no short list of fingerprint segments can promise to
-    find. So pairs meet through one of their ``keys`` smallest shingle hashes (texts at 0.8 share none of four
-    in one case of several hundred), are pruned by the ring test and the Hamming distance, and decided on the
-    shingle sets themselves. Texts with equal sets are one node, whatever their rows.
+    find. So pairs meet through prefixes: of a set x in one order of all shingles, rare ones first, the first
+    |x| - ceil(0.8 |x|) + 1, of which two sets that are alike share one. They are pruned by bounds on what the sets
+    can share (from their sizes, the place of the first common shingle and the counts of hashes by range), which
+    lose no pair, and decided on the sets themselves. Texts with equal sets are one node, whatever their rows.
 
     A block of more than ``block_limit`` nodes is not paired off at once, as in a family of copies nearly all pairs
     are alike: its members meet hubs, which joins most of them. Two members of one component need not meet any
     more, so only members outside their block's largest component then meet all the others: no pair of different
     components is left out, and the components are those of all pairs.
     """
-    rows = stored(_sketches(docs, shingle, keys), "sketches")
-    nodes = stored(rows.groupBy("_node").agg(F.min("doc_id").alias("first"), F.min("_th").alias("_th"), F.first("_fp").alias("_fp"), F.first("_keys").alias("_keys")), "nodes")
-    blocks = nodes.select(F.explode("_keys").alias("key"), F.struct(F.col("_node").alias("t"), F.col("_fp").alias("f")).alias("x"))
-    ends = blocks.groupBy("key").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).where("n > 1")
+    rows = stored(_sketches(docs, shingle, similarity), "sketches")
+    same = [F.first(c).alias(c) for c in ("_n", "_parts", "_keys")]
+    nodes = stored(rows.groupBy("_node").agg(F.min("doc_id").alias("first"), F.min("_th").alias("_th"), *same), "nodes")
+    x = F.struct(F.col("_node").alias("t"), F.col("_n").alias("n"), F.col("pos").alias("p"))
+    blocks = nodes.select("_node", "_n", F.posexplode("_keys").alias("pos", "key")).select("key", x.alias("x"))
+    ends = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = stored(blocks.join(ends, "key"), "blocks")
 
     def may(a: Column, b: Column) -> Column:
-        return _ring(a["f"], b["f"], radius, segments) & (F.bit_count(a["f"].bitwiseXOR(b["f"])) <= radius)
+        # at the first shingle that both have, no more than it and what follows can be shared
+        return F.least(a["n"] - a["p"], b["n"] - b["p"]) >= _needed(a["n"], b["n"], similarity)
 
     def linked(pairs: DataFrame) -> DataFrame:
         ordered = pairs.where("a.t <> b.t").where(may(F.col("a"), F.col("b")))
@@ -255,11 +291,9 @@ def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: flo
 
     paired_off = met.where(F.col("n") <= block_limit).select("key", "x")
     paired = paired_off.alias("l").join(paired_off.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.x.t") < F.col("r.x.t")) & may(F.col("l.x"), F.col("r.x"))).select(F.col("l.x").alias("a"), F.col("r.x").alias("b"))
-    large = met.where(F.col("n") > block_limit)
-    paired = paired.union(large.select(F.col("lo").alias("a"), F.col("x").alias("b"))).union(large.select(F.col("x").alias("a"), F.col("hi").alias("b")))
     links = linked(paired)
     roots = _rooted(nodes, links)
-    large = stored(large.select("key", "x", "n"), "crowded")
+    large = stored(met.where(F.col("n") > block_limit), "crowded")
     before = None
     while True:
         at = stored(large.join(roots, F.col("x.t") == F.col("_node")).select("key", "x", "n", "root"), "crowded")

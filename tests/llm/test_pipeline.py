@@ -241,3 +241,32 @@ def test_crowded_blocks_lose_no_pair(spark, monkeypatch, limit, work):
     assert len(set(want.values())) == 50
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs, block_limit=limit).collect()} == want
+
+
+def test_repeated_lines_and_late_keys(spark):
+    rng = random.Random(4)
+    say = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    hashes = lambda w: simhash.shingle_hashes(" ".join(w).encode(), 5)
+    texts = []
+    # a line repeated many times: alike as sets, but over 22 bits apart where repeats are counted
+    while len(texts) < 8:
+        w = say(300)
+        v = w + w[-10:] * 100
+        a, b = hashes(w), hashes(v)
+        if (simhash.majority(a) ^ simhash.majority(b)).bit_count() > 22:
+            assert jaccard(set(a), set(b)) > 0.9
+            texts += [" ".join(w), " ".join(v)]
+    # at 0.8 or more, but none of the four smallest hashes is shared
+    while len(texts) < 12:
+        w = say(120)
+        v = list(w)
+        for i in (20, 60):
+            v[i] = "x" + v[i]
+        a, b = hashes(w), hashes(v)
+        if jaccard(set(a), set(b)) >= 0.8 and not set(sorted(a)[:4]) & set(sorted(b)[:4]):
+            texts += [" ".join(w), " ".join(v)]
+    want = similar_components(texts)
+    assert len(set(want.values())) == 6
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs).collect()} == want
