@@ -13,7 +13,7 @@ from .storage import stored, table
 
 #: A word starts a chunk where the gear hash of the 16 bytes before it is in the lowest fifth, and after 20 words at the latest.
 WORDS_PER_CHUNK, MOST_WORDS = 5, 20
-#: Chunks known from elsewhere are removed where so many words of them follow one another.
+#: Runs of chunks of so many words are removed where they are known as runs.
 LEAST_WORDS = 12
 BLOCK_BYTES = 1 << 20
 _WINDOW = 16
@@ -52,15 +52,35 @@ class Chunks:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash * powers[:n])])
         self.doc, self.words = w.doc[heads], tails - heads
         self.digest = mix((sums[tails] - sums[heads]) * back[heads] + self.words.astype(np.uint64))
+        self._back = back
+        self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.digest * powers[: len(heads)])])
         self.start = w.start[heads] - w.text_at[self.doc]
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
         nxt = np.append(self.start[1:], 0)
         last = np.append(self.doc[1:] != self.doc[:-1], True) if len(heads) else np.zeros(0, bool)
         self.end = np.where(last, lengths[self.doc], nxt[: len(heads)])
 
+    def runs(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First chunk, last chunk and digest of the shortest runs of ``least`` words from and up to each chunk of a text.
 
-def chunk_rows(docs: DataFrame, key: str) -> DataFrame:
-    """``key`` and ``digest``: the different chunks of each row of ``docs``."""
+        Any longer run is covered by those within it.
+        """
+        n = len(self.doc)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        total = np.concatenate([[0], np.cumsum(self.words)])
+        at = np.arange(n)
+        a = np.concatenate([at, np.searchsorted(total, total[1:] - least, "right") - 1])
+        z = np.concatenate([np.searchsorted(total, total[:-1] + least) - 1, at])
+        whole = (a >= 0) & (z < n)
+        a, z = a[whole], z[whole]
+        code = np.unique((a * n + z)[self.doc[a] == self.doc[z]])
+        a, z = code // n, code % n
+        return a, z, mix((self._sums[z + 1] - self._sums[a]) * self._back[a] + (z - a + 1).astype(np.uint64))
+
+
+def chunk_rows(docs: DataFrame, key: str, least: int) -> DataFrame:
+    """``key`` and ``digest``: the different runs of chunks (see ``Chunks.runs``) of each row of ``docs``."""
     plain = docs.select(key, F.col("text").cast("binary").alias("_t"))
 
     def run(batches):
@@ -68,8 +88,9 @@ def chunk_rows(docs: DataFrame, key: str) -> DataFrame:
             texts, keys = binary_column(b, "_t"), b.column(0).to_numpy()
             for i, j in in_blocks(texts, BLOCK_BYTES):
                 c = Chunks(texts[i:j])
-                order = np.lexsort((c.digest, c.doc))
-                doc, digest = c.doc[order], c.digest[order]
+                a, _, digest = c.runs(least)
+                order = np.lexsort((digest, c.doc[a]))
+                doc, digest = c.doc[a][order], digest[order]
                 new = np.ones(len(doc), dtype=bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i:j][doc[new]]), pa.array(digest[new].view(np.int64))], names=[key, "digest"])
@@ -77,9 +98,11 @@ def chunk_rows(docs: DataFrame, key: str) -> DataFrame:
     return plain.mapInArrow(run, f"{key} long, digest long")
 
 
-def _spans(c: Chunks, mine: slice, known: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """The byte ranges of one text to remove: runs of ``least`` words or more in chunks known from elsewhere or from before."""
-    digest, words = c.digest[mine], c.words[mine]
+def _spans(c: Chunks, runs: tuple[np.ndarray, np.ndarray, np.ndarray], mine: slice, known: np.ndarray) -> list[tuple[int, int]]:
+    """The byte ranges of one text to remove: its runs known as a whole from elsewhere or from before."""
+    first, last, digest = runs
+    mine_runs = slice(*np.searchsorted(first, [mine.start, mine.stop]))
+    first, last, digest = first[mine_runs] - mine.start, last[mine_runs] - mine.start, digest[mine_runs]
     if not len(digest):
         return []
     _, firsts = np.unique(digest, return_index=True)
@@ -87,18 +110,18 @@ def _spans(c: Chunks, mine: slice, known: np.ndarray, least: int) -> list[tuple[
     again[firsts] = False
     if len(known):
         again |= np.isin(digest, known)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], again.view(np.int8), [0]])))
-    total = np.concatenate([[0], np.cumsum(words)])
-    return [
-        (int(c.start[mine][a]), int(c.end[mine][z - 1])) for a, z in edges.reshape(-1, 2).tolist() if total[z] - total[a] >= least
-    ]
+    size = mine.stop - mine.start
+    depth = np.cumsum(np.bincount(first[again], minlength=size + 1) - np.bincount(last[again] + 1, minlength=size + 1))[:size]
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (depth > 0).view(np.int8), [0]])))
+    return [(int(c.start[mine][a]), int(c.end[mine][z - 1])) for a, z in edges.reshape(-1, 2).tolist()]
 
 
 def deduplicated(docs: DataFrame, least: int = LEAST_WORDS) -> tuple[DataFrame, list[str]]:
     """``docs`` with ``text`` rid of repeated passages, and three more columns whose names it returns too.
 
     They are the ``chunks`` of the text before, how many ``removed_bytes`` it lost and which byte ``spans`` of it.
-    A chunk stays in the document with the smallest doc_id that has it, at its first place there. Rows with one
+    A run of chunks of ``least`` words stays in the document with the smallest doc_id that has it, at its first
+    place there; chunks known one by one from several places are no run. Rows with one
     doc_id count as one document, so repeated rows stay alike; a null doc_id comes last. Null and empty texts stay
     as they are. Chunk rows and documents are joined by key; a chunk that a third of the documents share is
     pre-aggregated, and its rows are spread by their keys.
@@ -113,7 +136,7 @@ def deduplicated(docs: DataFrame, least: int = LEAST_WORDS) -> tuple[DataFrame,
 
     key, held, chunks, removed, spans = (free(n) for n in ("chunk_key", "chunk_held", "chunks", "removed_bytes", "spans"))
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
-    rows = chunk_rows(keyed, key)
+    rows = chunk_rows(keyed, key, least)
     first = rows.groupBy("digest").agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first < last").drop("last")
     shared = rows.join(stored(first, "shared"), "digest").where(F.col(key) != F.col("first"))
     known = shared.groupBy(key).agg(F.collect_set("digest").alias(held))
@@ -132,12 +155,13 @@ def deduplicated(docs: DataFrame, least: int = LEAST_WORDS) -> tuple[DataFrame,
             out, sizes, gone, cuts = list(raw), [], [], []
             for i, j in in_blocks(texts, BLOCK_BYTES):
                 c = Chunks(texts[i:j])
+                runs = c.runs(least)
                 bounds = np.searchsorted(c.doc, np.arange(j - i + 1))
                 for k in range(i, j):
                     mine = slice(bounds[k - i], bounds[k - i + 1])
                     got = lists[k]
                     found = np.asarray(got.values, dtype=np.int64).view(np.uint64) if got.is_valid else np.zeros(0, np.uint64)
-                    s = _spans(c, mine, found, least)
+                    s = _spans(c, runs, mine, found)
                     if s:
                         kept, last = [], 0
                         for a, z in s:

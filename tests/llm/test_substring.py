@@ -89,3 +89,21 @@ def test_words_of_a_block():
     w = Words([b"A b\tc", b"", b" dd "], gap=3)
     assert w.count.tolist() == [3, 0, 1] and w.doc.tolist() == [0, 0, 0, 2] and w.size.tolist() == [1, 1, 1, 2]
     assert w.prefix(2)[1].tolist() == [3]
+
+
+def test_known_chunks_of_several_texts_are_no_run(spark):
+    rng = random.Random(9)
+    passage = words(rng, 60)
+    c = substring.Chunks([passage.encode()])
+    parts = [passage.encode()[a:z].decode() for a, z in zip(c.start.tolist(), c.end.tolist())]
+    # each chunk is known from a text of its own, where the 16 bytes before it are the same
+    rows = [(i, f"{parts[i - 1] if i else ''}{parts[i]}" + words(rng, 40)) for i in range(len(parts)) if c.words[i] + (c.words[i - 1] if i else 0) < 12]
+    rows = [(k, t) for k, t in rows if len(t) > 40]
+    mixed = (1000, passage)
+    docs = spark.createDataFrame([*rows, mixed], "doc_id long, text string").repartition(3)
+    out, names = substring.deduplicated(docs)
+    got = {r["doc_id"]: r for r in out.collect()}
+    loose = brute([*rows, mixed])[mixed]
+    assert loose, "chunk by chunk the passage is known"
+    shared = [s for s in got[1000][names[2]]]
+    assert not shared and got[1000]["text"] == passage
