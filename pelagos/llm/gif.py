@@ -14,8 +14,10 @@ from pyspark.sql import types as T
 from .bytesvec import binary_column
 from .storage import table
 
-WIDTH, FRAME_ROWS, DELAY_CS, BINS = 64, 4096, 10, 16
-_CLEAR, _END, _RUN = 256, 257, 247
+WIDTH, FRAME_ROWS, DELAY_CS, BINS = 64, 64, 10, 16
+#: The sample that is not shown: the space.
+TRANSPARENT = 32
+_CLEAR, _END = 256, 257
 #: Rows of an interlaced image come in these passes: first row, step.
 _PASSES = ((0, 8), (4, 8), (2, 4), (1, 2))
 
@@ -33,24 +35,61 @@ class Frame:
     indices: np.ndarray  # height by width
 
 
-def pack_literals(samples: np.ndarray) -> bytes:
-    """An LZW stream of 8-bit samples whose codes all have 9 bits: single samples, cleared before the table grows."""
-    n = len(samples)
-    runs = -(-n // _RUN)
-    codes = np.full((runs, _RUN + 1), _CLEAR, dtype=np.uint16)
-    codes[:, 1:].flat[:n] = samples
-    codes = codes.ravel()[: n + runs]
-    count = n + runs + 1
-    full = np.zeros(-(-count // 8) * 8, dtype=np.uint16)
-    full[: count - 1] = codes
-    full[count - 1] = _END
-    c = full.reshape(-1, 8)
-    out = np.empty((len(c), 9), dtype=np.uint8)
-    out[:, 0] = c[:, 0] & 255
-    for j in range(1, 8):
-        out[:, j] = ((c[:, j - 1] >> (9 - j)) | (c[:, j] << j)) & 255
-    out[:, 8] = c[:, 7] >> 1
-    return out.tobytes()[: -(-count * 9 // 8)]
+def _widths(least: int, count: int) -> np.ndarray:
+    """How many bits each of the first ``count`` codes behind a clear has: the table grows by one entry a code from the second on."""
+    entries = np.minimum((1 << least) + 2 + np.maximum(np.arange(count) - 1, 0), 4096)
+    return least + 1 + sum((entries >= 1 << w).astype(np.int64) for w in range(least + 1, 12))
+
+
+_WIDTHS_8 = _widths(8, 4096)
+
+
+def lzw_codes(samples: bytes) -> list[int]:
+    """The codes of 8-bit samples: each the longest entry that the table has, a clear first and where the table is full."""
+    table: dict[int, int] = {}
+    entry, size, full = table.setdefault, (_END + 1) << 8, 4096 << 8
+    out = [_CLEAR << 8]
+    put = out.append
+    current, at, end = samples[0] << 8, 1, len(samples)  # codes are kept eight bits up, so that a sample goes below
+    while at < end:
+        room = (full - size) >> 8
+        if not room:
+            put(current)
+            put(_CLEAR << 8)
+            table.clear()
+            current, size = samples[at] << 8, (_END + 1) << 8
+            at += 1
+            continue
+        for b in samples[at : at + room]:  # each makes one entry at most
+            longer = entry(current | b, size)
+            if longer != size:
+                current = longer
+            else:
+                put(current)
+                current = b << 8
+                size += 256
+        at += room
+    put(current)
+    put(_END << 8)
+    return [c >> 8 for c in out]
+
+
+def pack_codes(codes: list[int]) -> bytes:
+    """Codes of 9 to 12 bits end to end, the lowest bits first."""
+    c = np.array(codes, dtype=np.int64)
+    at = np.arange(len(c))
+    clears = np.flatnonzero(c == _CLEAR)
+    # a clear itself still has the width of the table that it ends
+    since = at - clears[np.searchsorted(clears, at, side="left") - 1] - 1
+    since[0] = 0
+    width = _WIDTHS_8[np.minimum(since, len(_WIDTHS_8) - 1)]
+    ends = np.cumsum(width)
+    begin = ends - width
+    bits, byte = c << (begin & 7), begin >> 3
+    size = int(ends[-1] + 7) // 8
+    # no two codes share a bit, so sums put them together
+    out = sum(np.bincount(byte + i, weights=(bits >> 8 * i) & 255, minlength=size + 3) for i in range(3))
+    return out[:size].astype(np.uint8).tobytes()
 
 
 def _in_blocks(data: bytes) -> bytes:
@@ -62,19 +101,26 @@ def _in_blocks(data: bytes) -> bytes:
     return head.tobytes() + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-_GREYS = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
+_RAMP = np.arange(256, dtype=np.uint8)
+#: The common palette has greys; every other frame has one of its own.
+_GREYS = np.repeat(_RAMP, 3).tobytes()
+_COLOURS = np.stack([_RAMP, 255 - _RAMP, _RAMP * np.uint8(7)], axis=1).tobytes()
 
 
 def encode(payload: bytes, width: int = WIDTH, frame_rows: int = FRAME_ROWS) -> bytes:
-    """A GIF whose frames, one after the other, hold the bytes as grey samples; their number is a multiple of ``width``."""
+    """A GIF whose frames' samples are the bytes, one frame after the other; their number is a multiple of ``width``.
+
+    Frames take turns in palette (greys, colours) and disposal (left, cleared, taken back), spaces are transparent,
+    and a last frame of fewer rows lies at the foot of the canvas.
+    """
     rows = len(payload) // width
-    out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, frame_rows), 0xF7, 0, 0), _GREYS]
-    samples = np.frombuffer(payload, np.uint8)
-    for top in range(0, rows, frame_rows):
+    height = min(rows, frame_rows)
+    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), _GREYS]
+    for k, top in enumerate(range(0, rows, frame_rows)):
         part = min(frame_rows, rows - top)
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", 2 << 2, DELAY_CS, 0, 0))
-        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, part, 0) + b"\x08")
-        out.append(_in_blocks(pack_literals(samples[top * width : (top + part) * width])))
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", (1 + k % 3) << 2 | 1, DELAY_CS * (1 + k % 2), TRANSPARENT, 0))
+        out.append(b"\x2c" + struct.pack("<HHHHB", 0, height - part, width, part, 0x87 if k % 2 else 0) + (_COLOURS if k % 2 else b"") + b"\x08")
+        out.append(_in_blocks(pack_codes(lzw_codes(payload[top * width : (top + part) * width]))))
     out.append(b"\x3b")
     return b"".join(out)
 
@@ -87,60 +133,63 @@ def _read_blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
+def _expanded(codes: np.ndarray, clear: int) -> np.ndarray:
+    """The samples of the codes between two clears.
+
+    The entry that a code adds is its own samples and the next one, which stand together in the output. So a
+    later code copies from there: lengths and then sources are followed back to single samples by doubling.
+    """
+    at = np.arange(len(codes))
+    single = codes < clear
+    entry = np.where(single, at, codes - clear - 2)
+    if len(codes) and (entry >= at + single).any() or (codes[~single] < clear + 2).any():
+        raise ValueError("a code without an entry")
+    length, back = (~single).astype(np.int64), entry
+    while not single[back].all():
+        length += length[back]
+        back = back[back]
+    length += 1
+    begin = np.cumsum(length) - length
+    source = np.repeat(begin[entry] - begin, length) + np.arange(int(length.sum()))
+    while True:
+        older = source[source]
+        if np.array_equal(older, source):
+            break
+        source = older
+    samples = np.zeros(len(source), dtype=np.uint8)
+    samples[begin[single]] = codes[single]
+    return samples[source]
+
+
 def lzw(stream: bytes, least: int, count: int) -> np.ndarray:
     """The first ``count`` samples of a code stream with codes of ``least`` + 1 to 12 bits."""
-    if least == 8:
-        data = np.zeros(-(-(len(stream) + 1) // 9) * 9, dtype=np.uint16)
-        data[: len(stream)] = np.frombuffer(stream, np.uint8)
-        b = data.reshape(-1, 9)
-        codes = np.empty((len(b), 8), dtype=np.uint16)
-        for i in range(8):
-            codes[:, i] = ((b[:, i] >> i) | (b[:, i + 1] << (8 - i))) & 511
-        codes = codes.ravel()
-        stop = np.flatnonzero(codes == _END)
-        codes = codes[: stop[0]] if len(stop) else codes[: len(stream) * 8 // 9]
-        clears = np.flatnonzero(codes == _CLEAR)
-        gaps = np.diff(np.concatenate([clears, [len(codes)]]))
-        # where all codes are samples and none is wider than 9 bits, the samples are the codes
-        if len(clears) and clears[0] == 0 and gaps.max() <= 255 and not (codes > _END).any():
-            return codes[codes < 256][:count].astype(np.uint8)
-    return _lzw_general(stream, least, count)
-
-
-def _lzw_general(stream: bytes, least: int, count: int) -> np.ndarray:
+    if not 2 <= least <= 8:
+        raise ValueError("codes of that size are not allowed")
     clear = 1 << least
-    first = [bytes([i]) for i in range(clear)] + [b"", b""]
-    known, width, before = list(first), least + 1, None
-    out, size = [], 0
-    value = bits = 0
-    for byte in stream:
-        value |= byte << bits
-        bits += 8
-        while bits >= width:
-            code = value & ((1 << width) - 1)
-            value >>= width
-            bits -= width
-            if code == clear:
-                known, width, before = list(first), least + 1, None
-                continue
-            if code == clear + 1 or size >= count:
-                return np.frombuffer(b"".join(out)[:count], np.uint8)
-            if before is None:
-                text = known[code] if code < clear else b""
-            elif code < len(known):
-                text = known[code]
-            elif code == len(known):
-                text = before + before[:1]
-            else:
-                raise ValueError("a code without an entry")
-            if before is not None and len(known) < 4096:
-                known.append(before + text[:1])
-            if len(known) == 1 << width and width < 12:
-                width += 1
-            out.append(text)
-            size += len(text)
-            before = text
-    return np.frombuffer(b"".join(out)[:count], np.uint8)
+    data = np.concatenate([np.frombuffer(stream, np.uint8), np.zeros(3, np.uint8)]).astype(np.int64)
+    widths = _WIDTHS_8 if least == 8 else _widths(least, 4096)
+    out, held = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    at = since = size = 0  # the next bit, codes since the last clear, samples of finished tables
+    more = True
+    while more and size < count:
+        width = widths[np.minimum(np.arange(since, since + 1024), len(widths) - 1)]
+        begin = at + np.cumsum(width) - width
+        whole = int(np.searchsorted(begin + width, len(stream) * 8, side="right"))
+        begin, width = begin[:whole], width[:whole]
+        byte = begin >> 3
+        codes = (data[byte] | data[byte + 1] << 8 | data[byte + 2] << 16) >> (begin & 7) & ((1 << width) - 1)
+        marks = np.flatnonzero((codes == clear) | (codes == clear + 1))
+        held.append(codes[: marks[0]] if len(marks) else codes)
+        cleared = len(marks) > 0 and codes[marks[0]] == clear
+        more = cleared or not len(marks) and whole == 1024
+        if more:
+            last = marks[0] if cleared else whole - 1
+            at, since = int(begin[last] + width[last]), 0 if cleared else since + whole
+        if cleared or not more:
+            out.append(_expanded(np.concatenate(held), clear))
+            size += len(out[-1])
+            held = [np.zeros(0, np.int64)]
+    return np.concatenate(out)[:count]
 
 
 def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray, int]:
@@ -195,33 +244,34 @@ def _decode(data: bytes) -> tuple[int, int, list[Frame]]:
 
 def composed(width: int, height: int, frames: list[Frame]):
     """The canvas as shown at each frame: height by width by red, green, blue and opacity."""
-    canvas = np.zeros((height, width, 4), dtype=np.uint8)
+    canvas = np.zeros((height, width), dtype="<u4")  # a pixel's four bytes as one number
     for f in frames:
         h, w = max(0, min(f.height, height - f.top)), max(0, min(f.width, width - f.left))
-        place = (slice(f.top, f.top + h), slice(f.left, f.left + w))
-        before = canvas[place].copy() if f.disposal == 3 else None
+        place = canvas[f.top : f.top + h, f.left : f.left + w]
+        before = place.copy() if f.disposal == 3 else None
+        colours = np.full((256, 4), 255, dtype=np.uint8)
+        colours[:, :3] = 0
+        if len(f.palette):
+            colours[: len(f.palette), :3] = f.palette
+            colours[len(f.palette) :, :3] = f.palette[-1]
         index = f.indices[:h, :w]
-        if len(f.palette) and len(f.palette) < 256:
-            index = np.minimum(index, len(f.palette) - 1)
-        pixels = np.empty((h, w, 4), dtype=np.uint8)
-        pixels[..., :3] = f.palette[index] if len(f.palette) else 0
-        pixels[..., 3] = 255
+        pixels = colours.view("<u4").ravel()[index]
         if f.transparent >= 0:
-            seen = f.indices[:h, :w] != f.transparent
-            canvas[place][seen] = pixels[seen]
+            np.copyto(place, pixels, where=index != f.transparent)
         else:
-            canvas[place] = pixels
-        yield canvas
+            place[...] = pixels
+        yield canvas.view(np.uint8).reshape(height, width, 4)
         if f.disposal == 2:
-            canvas[place] = 0
+            place[...] = 0
         elif f.disposal == 3:
-            canvas[place] = before
+            place[...] = before
 
 
 def histograms(canvas: np.ndarray) -> list[list[int]]:
     """Per channel how many opaque pixels fall into each of 16 equal ranges."""
-    shown = canvas[canvas[..., 3] > 0]
-    return [np.bincount(shown[:, c] >> 4, minlength=BINS).tolist() for c in range(3)]
+    pixels = np.ascontiguousarray(canvas).view("<u4").ravel()
+    pixels = pixels[pixels > 0xFFFFFF].astype(np.int64)
+    return [np.bincount((pixels >> (8 * c + 4)) & 15, minlength=BINS).tolist() for c in range(3)]
 
 
 def payloads(docs: DataFrame, unit: int = WIDTH) -> DataFrame:
@@ -285,12 +335,14 @@ def with_frames(rows: DataFrame, media: str = "media") -> DataFrame:
 
 
 def op6_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's bytes stored as a GIF, read back, and the histogram of its grey samples."""
+    """Every document's bytes stored as a GIF and read back: digests, and the frames with times and colour histograms.
+
+    ``feature`` sums the histograms of what the frames show, by channel.
+    """
     rows = with_frames(with_media(payloads(table(spark, sf_dir, "documents"))))
-    total = F.expr("transform(sequence(1, 16), i -> reduce(frames, 0L, (a, f) -> a + element_at(f.red, i)))")
+    sums = [F.expr(f"array_join(transform(sequence(1, {BINS}), i -> reduce(frames, 0L, (a, f) -> a + element_at(f.{c}, i))), ',')") for c in ("red", "green", "blue")]
     return rows.select(
         "doc_id", "n_bytes", F.octet_length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(samples, -64)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), F.array_join(total.cast("array<string>"), ",").alias("feature"),
-        F.size("frames").alias("n_frames"),
+        F.sha2("media", 256).alias("media_sha256"), F.concat_ws(";", *sums).alias("feature"), "frames",
     )

@@ -47,12 +47,56 @@ def test_lzw_streams(least, n):
     assert gif.lzw(lzw_encode(samples.tolist(), least), least, n).tobytes() == samples.tobytes()
 
 
-@pytest.mark.parametrize("n", [1, 2, 246, 247, 248, 494, 495, 5000])
-def test_literal_streams(n):
-    samples = np.random.default_rng(n).integers(0, 256, n).astype(np.uint8)
-    stream = gif.pack_literals(samples)
-    assert gif.lzw(stream, 8, n).tobytes() == samples.tobytes()
-    assert gif._lzw_general(stream, 8, n).tobytes() == samples.tobytes()
+def plain_lzw(stream, least):
+    """The reader as the format describes it: one code after the other."""
+    bits = sum(b << 8 * i for i, b in enumerate(stream))
+    clear, out, width, before, table = 1 << least, b"", least + 1, b"", []
+    while True:
+        code = bits & (1 << width) - 1
+        bits >>= width
+        if code == clear:
+            table, width, before = [bytes([i]) for i in range(clear)] + [b"", b""], least + 1, b""
+            continue
+        if code == clear + 1:
+            return out
+        text = table[code] if code < len(table) else before + before[:1]
+        if before and len(table) < 4096:
+            table.append(before + text[:1])
+        if len(table) == 1 << width and width < 12:
+            width += 1
+        out, before = out + text, text
+
+
+@pytest.mark.parametrize("n,kinds", [(1, 256), (2, 1), (600, 256), (5000, 3), (9000, 256), (9000, 1)])
+def test_written_streams(n, kinds):
+    samples = np.random.default_rng(n).integers(0, kinds, n).astype(np.uint8).tobytes()
+    codes = gif.lzw_codes(samples)
+    stream = gif.pack_codes(codes)
+    assert plain_lzw(stream, 8) == samples and gif.lzw(stream, 8, n).tobytes() == samples
+    if kinds < 256 and n > 9:
+        assert max(codes) > 257 and len(stream) < n / 2  # entries of the table are used
+    if n == 9000 and kinds == 256:
+        assert codes.count(256) > 1  # a full table is cleared
+
+
+def test_written_frames_have_effect():
+    """Palettes, transparency and disposal of the written frames, against what they are meant to show."""
+    rng = np.random.default_rng(1)
+    payload = rng.choice(np.array([32, 65, 200], np.uint8), 64 * 150).tobytes()
+    width, height, frames = gif.decode(gif.encode(payload))
+    assert (width, height, len(frames)) == (64, 64, 3) and b"".join(f.indices.tobytes() for f in frames) == payload
+    assert [f.disposal for f in frames] == [1, 2, 3] and {f.transparent for f in frames} == {32} and [f.top for f in frames] == [0, 0, 42]
+    colour = [lambda v: (v, v, v), lambda v: (v, 255 - v, v * 7 % 256), lambda v: (v, v, v)]
+    canvas = [[(0, 0, 0, 0)] * 64 for _ in range(64)]
+    for f, shown, paint in zip(frames, gif.composed(width, height, frames), colour):
+        for y in range(f.height):
+            for x in range(64):
+                v = int(f.indices[y, x])
+                if v != 32:
+                    canvas[f.top + y][x] = (*paint(v), 255)
+        assert [[tuple(map(int, p)) for p in row] for row in shown] == canvas
+        if f.disposal == 2:
+            canvas = [[(0, 0, 0, 0)] * 64 for _ in range(64)]
 
 
 def frame(left, top, w, h, samples, disposal=0, transparent=None, delay=3, interlaced=False):
@@ -94,9 +138,17 @@ def test_documents(spark, tmp_path):
         assert (r["n_bytes"], r["payload_bytes"]) == (len(body), len(full))
         assert r["payload_sha256"] == hashlib.sha256(full).hexdigest()
         assert r["tail_crc32"] == zlib.crc32(full[-64:])
-        bins = np.bincount(np.frombuffer(full, np.uint8) >> 4, minlength=16)
-        assert r["feature"] == ",".join(map(str, bins))
-    assert got[4]["n_frames"] == 4 and got[1]["media_sha256"] == got[6]["media_sha256"]
+        bins = [np.zeros(16, np.int64) for _ in range(3)]
+        w, h, frames = gif.decode(gif.encode(full))
+        for shown in gif.composed(w, h, frames):
+            for c in range(3):
+                for v in shown[..., c][shown[..., 3] > 0].ravel() if len(full) < 1000 else ():
+                    bins[c][v >> 4] += 1
+        if len(full) < 1000:
+            assert r["feature"] == ";".join(",".join(map(str, b)) for b in bins)
+        assert [f["start_ms"] for f in r["frames"]] == np.cumsum([0, *(f.delay_cs * 10 for f in frames)])[:-1].tolist()
+    assert len(got[4]["frames"]) == -(-got[4]["payload_bytes"] // 4096) and got[1]["media_sha256"] == got[6]["media_sha256"]
+    assert got[4]["media_bytes"] < got[4]["payload_bytes"]
 
 
 def test_damaged_media(spark):
