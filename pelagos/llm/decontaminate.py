@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import small, stored, table
@@ -11,7 +11,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Windows as similar as that differ from their item in ten bits on average, three more or fewer as a rule.
 RADIUS, BLOCKS = 20, 7
 BITS = 64
-_LANES = 0x0001000100010001
+#: Counters of two bits share a long: bit j and bit 32 + j. A text has fewer words than a counter can hold.
+_HALF = 32
+_LANES = 1 << _HALF | 1
 
 
 def _words(text: str = "text") -> Column:
@@ -27,25 +29,54 @@ def _text_key(text: str = "text") -> list[Column]:
     return [F.xxhash64(text).alias("_a"), F.xxhash64(F.lit(1), F.col(text)).alias("_b")]
 
 
+def _shingles_of(words: str, most: int) -> Column:
+    """Shingles of column ``k`` words each."""
+    return F.coalesce(*(F.when(F.col("k") == k, _shingles(words, k)) for k in range(1, most + 1)))
+
+
 def benchmark_items(benchmark: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``item_id``, ``size`` (words), ``k`` (words of a shingle: all of them for shorter items), ``sh`` (hashes in order). Items without words are left out."""
     items = benchmark.select("item_id", _words().alias("_w")).where("size(_w) > 0").withColumn("k", F.least(F.size("_w"), F.lit(shingle)))
-    sh = F.coalesce(*(F.when(F.col("k") == k, _shingles("_w", k)) for k in range(1, shingle + 1)))
-    return items.select("item_id", F.size("_w").alias("size"), "k", sh.alias("sh")).distinct()
+    return items.select("item_id", F.size("_w").alias("size"), "k", _shingles_of("_w", shingle).alias("sh")).distinct()
 
 
-def fingerprints(rows: DataFrame, keys: list[str], h: str = "h") -> DataFrame:
-    """SimHash of the hashes ``h`` by ``keys``, repeats included: a bit is 1 if set in over half. Up to 65,535 hashes a key.
+def _lanes(h: str) -> list[Column]:
+    return [F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_LANES)) for j in range(_HALF)]
 
-    Four counters share a long: sixteen sums count all bits.
-    """
-    sums = [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_LANES))).alias(f"s{j}") for j in range(16)]
-    counted = rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
+
+def _majority(sums: list[Column], n: Column) -> Column:
+    """The fingerprint: a bit is 1 if it is set in over half of ``n`` hashes."""
     fp = F.lit(0).cast("long")
     for b in range(BITS):
-        ones = F.shiftrightunsigned(f"s{b % 16}", 16 * (b // 16)).bitwiseAND(F.lit(0xFFFF).cast("long"))
-        fp = fp.bitwiseOR(F.when(ones * 2 > F.col("n"), F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return counted.select(*keys, "n", fp.alias("fp"))
+        ones = F.shiftrightunsigned(sums[b % _HALF], _HALF * (b // _HALF)).bitwiseAND(F.lit((1 << _HALF) - 1))
+        fp = fp.bitwiseOR(F.when(ones * 2 > n, F.lit((1 << b) - (1 << 64 if b == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long")))
+    return fp
+
+
+def item_fingerprints(places: DataFrame) -> DataFrame:
+    """``item``, ``size``, ``w`` (shingles), ``item_fp``: SimHash of an item's shingles ``h``, repeats included."""
+    counted = places.groupBy("item", "size").agg(F.count("*").alias("w"), *(F.sum(c).alias(f"s{j}") for j, c in enumerate(_lanes("h"))))
+    return counted.select("item", "size", "w", _majority([F.col(f"s{j}") for j in range(_HALF)], F.col("w")).alias("item_fp"))
+
+
+_REGION = ["_a", "_b", "size", "k", "n", "begin"]
+
+
+def window_fingerprints(rows: DataFrame) -> DataFrame:
+    """SimHash of all windows of regions: ``rows`` has the shingles ``h`` of a region at ``q`` = 0, 1, ..., its window size and its last start ``to``.
+
+    Running sums count the bits up to every place, so a window's counts are what its end has more than its
+    start: the shingle that enters and the one that leaves. Adds ``e``, the last shingle of the window at ``q``.
+    """
+    so_far = Window.partitionBy(*_REGION).orderBy("q").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = stored(rows.select(*_REGION, "to", "q", "h", *(F.sum(c).over(so_far).alias(f"s{j}") for j, c in enumerate(_lanes("h")))), "running-sums")
+    last = F.least(F.col("q") + F.col("size") - F.col("k"), F.col("n") - F.col("k") - F.col("begin"))
+    before = [(F.col(f"s{j}") - c).alias(f"x{j}") for j, c in enumerate(_lanes("h"))]
+    starts = sums.where(F.col("begin") + F.col("q") <= F.col("to")).select(*_REGION, "q", last.alias("e"), *before)
+    ends = sums.select(*_REGION, F.col("q").alias("e"), *(f"s{j}" for j in range(_HALF)))
+    both = starts.join(ends, [*_REGION, "e"])
+    fp = _majority([F.col(f"s{j}") - F.col(f"x{j}") for j in range(_HALF)], F.col("e") - F.col("q") + 1)
+    return both.select(*_REGION, "q", "e", fp.alias("fp"))
 
 
 def _edges(blocks: int) -> list[tuple[int, int]]:
@@ -77,17 +108,29 @@ def _near_values(fp: str, radius: int, blocks: int) -> Column:
     return F.flatten(F.array(*parts))
 
 
+def _regions(marks: DataFrame) -> DataFrame:
+    """Ranges of window starts ``begin`` to ``to`` by text and window size: all whose windows hold a shingle of ``marks`` at least."""
+    first = F.greatest(F.col("p") - (F.col("size") - F.col("k")), F.lit(0))
+    last = F.least(F.col("p"), F.greatest(F.col("n") - F.col("size"), F.lit(0)))
+    text = ["_a", "_b", "size", "k", "n"]
+    starts = marks.select(*text, "p", first.alias("first"), last.alias("last")).where("first <= last")
+    order = Window.partitionBy(*text).orderBy("p")
+    apart = F.coalesce(F.col("first") > F.lag("last").over(order) + 1, F.lit(True)).cast("int")
+    numbered = starts.withColumn("apart", apart).withColumn("region", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*text, "region").agg(F.min("first").alias("begin"), F.max("last").alias("to")).drop("region")
+
+
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """Texts (``_a``, ``_b``) with a window like a benchmark item: ``item_id``, ``start_word``, ``n_words``, ``hamming``, ``similarity`` of the best.
 
-    Windows have the item's number of words, at every place of the text (the whole text where it is shorter).
-    Only windows that hold enough of an item's shingles to reach the similarity are fingerprinted: the test
-    counts shared shingles, so it loses none. Fingerprints meet those of items of that size through Hamming
-    blocks, and weighted Jaccard similarity of the shingles (repeats count) decides.
+    Windows have an item's number of words, at every place of the text (the whole text where it is shorter). All
+    are fingerprinted but those that share no shingle with any item of their size, whose similarity is zero.
+    Fingerprints meet those of the items of that size through Hamming blocks, which find all within ``radius``
+    bits, and weighted Jaccard similarity of the shingles (repeats count) decides.
     """
-    items = stored(benchmark_items(benchmark, shingle), "items")
-    places = items.select("item_id", "size", "k", F.posexplode("sh").alias("q", "h"))
-    weights = stored(places.groupBy("item_id", "size", "k", "h").agg(F.count("*").alias("c")), "item-shingles")
+    items = stored(benchmark_items(benchmark, shingle).withColumn("item", F.monotonically_increasing_id()), "items")
+    places = items.select("item", "size", "k", F.posexplode("sh").alias("q", "h"))
+    weights = stored(places.groupBy("item", "size", "k", "h").agg(F.count("*").alias("c")), "item-shingles")
     wanted = stored(weights.select("k", "h").distinct(), "wanted")
     texts = docs.where("text is not null").select(*_text_key(), _words().alias("_w"))
     hits = None
@@ -98,34 +141,26 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, shingle: int = SHI
     if hits is None:
         hits = texts.select("_a", "_b", F.lit(0).alias("n"), F.lit(0).alias("p"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("k")).where("false")
     hits = stored(hits.select("_a", "_b", "n", "p", "h", "k").distinct(), "hits")
-    least = F.ceil(F.col("w") * similarity - 1e-9)
-    sizes = weights.groupBy("item_id").agg(F.sum("c").alias("w"))
-    # what a text shares with an item bounds what any of its windows does
-    shared = hits.groupBy("_a", "_b", "k", "h").agg(F.count("*").alias("m")).join(weights, ["k", "h"])
-    shared = shared.groupBy("_a", "_b", "item_id", "size", "k").agg(F.sum(F.least("m", "c")).alias("m")).join(sizes, "item_id").where(F.col("m") >= least)
-    pairs = stored(shared.select("_a", "_b", "item_id", "size", "k", "w"), "pairs")
-    inside = hits.join(pairs, ["_a", "_b", "k"]).join(weights.select("item_id", "k", "h"), ["item_id", "k", "h"])
-    first, last = F.greatest(F.col("p") - (F.col("size") - F.col("k")), F.lit(0)), F.least(F.col("p"), F.greatest(F.col("n") - F.col("size"), F.lit(0)))
-    starts = inside.where(first <= last).select("_a", "_b", "item_id", "size", "k", "n", "w", F.explode(F.sequence(first, last)).alias("s"))
-    held = starts.groupBy("_a", "_b", "item_id", "size", "k", "n", "w", "s").agg(F.count("*").alias("m")).where(F.col("m") >= least)
-    windows = stored(held.select("_a", "_b", "size", "k", "s").distinct(), "windows")
-    some = stored(windows.groupBy("_a", "_b").agg(F.collect_set(F.struct("size", "k", "s")).alias("at")), "texts-with-windows")
-    whole = texts.join(small(some), ["_a", "_b"]).dropDuplicates(["_a", "_b"])
-    one = whole.select("_a", "_b", "_w", F.explode("at").alias("x")).select("_a", "_b", "x.*", F.expr("slice(_w, x.s + 1, x.size)").alias("_v"))
-    sh = F.coalesce(*(F.when(F.col("k") == k, _shingles("_v", k)) for k in range(1, shingle + 1)))
-    rows = stored(one.select("_a", "_b", "size", "k", "s", F.explode(sh).alias("h")), "window-shingles")
-    window = ["_a", "_b", "size", "s"]
-    prints = fingerprints(rows, window)
-    item_prints = stored(fingerprints(places, ["item_id", "size"]), "item-prints")
-    left = prints.select(*window, "n", "fp", F.explode(_block_values("fp", blocks)).alias("v")).select(*window, "n", "fp", "v.*")
-    right = item_prints.select("item_id", "size", F.col("n").alias("w"), F.col("fp").alias("item_fp"), F.explode(_near_values("fp", radius, blocks)).alias("v")).select("item_id", "size", "w", "item_fp", "v.*")
+    marks = hits.join(weights.select("k", "h", "size").distinct(), ["k", "h"]).select("_a", "_b", "n", "k", "size", "p").distinct()
+    regions = stored(_regions(marks), "regions")
+    some = stored(regions.select("_a", "_b").distinct(), "texts-with-regions")
+    whole = stored(texts.join(small(some), ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]), "region-texts")
+    cut = whole.join(regions, ["_a", "_b"]).select(*_REGION, "to", F.expr("slice(_w, begin + 1, to - begin + size)").alias("_v"))
+    rows = stored(cut.select(*_REGION, "to", F.posexplode(_shingles_of("_v", shingle)).alias("q", "h")), "region-shingles")
+    left = window_fingerprints(rows).select(*_REGION, "q", "e", "fp", F.explode(_block_values("fp", blocks)).alias("v")).select(*_REGION, "q", "e", "fp", "v.*")
+    right = stored(item_fingerprints(places), "item-prints").select("item", "size", "w", "item_fp", F.explode(_near_values("item_fp", radius, blocks)).alias("v")).select("item", "size", "w", "item_fp", "v.*")
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     close = left.join(right, ["size", "block", "value"]).withColumn("hamming", distance).where(F.col("hamming") <= radius)
-    close = stored(close.select(*window, "item_id", "n", "w", "hamming").distinct(), "close")
-    counted = rows.groupBy(*window, "h").agg(F.count("*").alias("m"))
-    common = close.join(counted, window).join(weights.select("item_id", "h", "c"), ["item_id", "h"])
-    same = common.groupBy(*window, "item_id", "n", "w", "hamming").agg(F.sum(F.least("m", "c")).alias("both"))
-    same = same.withColumn("similarity", F.col("both") / (F.col("n") + F.col("w") - F.col("both"))).where(F.col("similarity") >= similarity)
+    close = stored(close.select(*_REGION, "q", "e", "item", "w", "hamming").distinct(), "close")
+    # a window and its shingles meet in stretches of the window's size, of which it touches two at most
+    stretch = F.floor(F.col("q") / F.col("size")).cast("int")
+    held = rows.join(weights, ["size", "k", "h"]).select(*_REGION, "item", "h", "c", F.col("q").alias("at"), stretch.alias("stretch"))
+    touched = F.explode(F.sequence(stretch, F.floor(F.col("e") / F.col("size")).cast("int"))).alias("stretch")
+    met = close.select("*", touched).join(held, [*_REGION, "item", "stretch"]).where("at between q and e")
+    window = [*_REGION, "q", "e", "item", "w", "hamming"]
+    same = met.groupBy(*window, "h", "c").agg(F.count("*").alias("m")).groupBy(*window).agg(F.sum(F.least("m", "c")).alias("both"))
+    same = same.withColumn("similarity", F.col("both") / (F.col("e") - F.col("q") + 1 + F.col("w") - F.col("both"))).where(F.col("similarity") >= similarity)
+    same = same.join(items.select("item", "item_id"), "item").withColumn("s", F.col("begin") + F.col("q"))
     best = F.max_by(F.struct("s", "size", "hamming", "similarity"), F.struct("similarity", (-F.col("s")).alias("s")))
     out = same.groupBy("_a", "_b", "item_id").agg(best.alias("x"))
     return out.select("_a", "_b", "item_id", F.col("x.s").alias("start_word"), F.col("x.size").alias("n_words"), F.col("x.hamming").alias("hamming"), F.col("x.similarity").alias("similarity"))

@@ -67,3 +67,41 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert dc.contaminations(none, items).collect() == [] and dc.contaminations(some, items).collect() == []
     assert dc.contaminations(none, spark.createDataFrame([(1, "a b c")], "item_id long, text string")).collect() == []
+
+
+def test_windows_within_the_radius_against_all_pairs(spark):
+    """Every window that shares a shingle with an item of its size has its fingerprint, and the blocks find all pairs within the radius."""
+    import xxhash
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    vocab = ["".join(rng.choices("abcdefgh", k=3)) for _ in range(60)]
+    words = rng.choices(vocab, k=400)
+    size, k = 24, 5
+    rows = spark.createDataFrame([(1, 2, size, k, len(words), 0, len(words) - size, " ".join(words))], "_a long, _b long, size int, k int, n int, begin int, to int, t string")
+    rows = rows.withColumn("_w", F.split("t", " ")).select("_a", "_b", "size", "k", "n", "begin", "to", F.posexplode(dc._shingles("_w", k)).alias("q", "h"))
+    hashes = {r["q"]: r["h"] & (1 << 64) - 1 for r in rows.collect()}
+
+    def print_of(hs):
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+    got = {r["q"]: r["fp"] & (1 << 64) - 1 for r in dc.window_fingerprints(rows).collect()}
+    assert got == {s: print_of([hashes[i] for i in range(s, s + size - k + 1)]) for s in range(len(words) - size + 1)}
+    radius, blocks = 20, 7
+    targets = list(got.values())[::15] + [print_of([xxhash.xxh64_intdigest(str(i).encode()) for i in range(9)])]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    a = spark.createDataFrame([(q, signed(x)) for q, x in got.items()], "q int, fp long").select("q", F.explode(dc._block_values("fp", blocks)).alias("v")).select("q", "v.*")
+    b = spark.createDataFrame([(i, signed(x)) for i, x in enumerate(targets)], "item int, fp long").select("item", F.explode(dc._near_values("fp", radius, blocks)).alias("v")).select("item", "v.*")
+    met = {(r["q"], r["item"]) for r in a.join(b, ["block", "value"]).select("q", "item").distinct().collect()}
+    assert {(q, i) for q, x in got.items() for i, y in enumerate(targets) if (x ^ y).bit_count() <= radius} <= met
+
+
+def test_long_items_and_texts(spark):
+    rng = random.Random(12)
+    item = [f"w{rng.randrange(5000)}" for _ in range(900)]
+    changed = list(item)
+    for i in range(0, 900, 60):
+        changed[i] = "x"
+    docs = [(1, " ".join([f"v{i}" for i in range(3000)] + changed + ["v"] * 50)), (2, " ".join(item[:400]))]
+    got = dc.contaminations(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["start_word"], r["n_words"]) for r in got] == [(1, 7, 3000, 900)]
