@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .bytesvec import mix
 
-#: Rows of one shard: 12 bytes each, so that a task holds about 50 MB however large the table is.
-SHARD_ROWS = 4_000_000
+#: Rows of one shard, which passes through the driver: 12 bytes each. A task holds so many shards at once, about 50 MB however large the table is.
+SHARD_ROWS, SHARDS_AT_ONCE = 1_000_000, 4
 
 
 class Lookup:

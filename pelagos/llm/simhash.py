@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytesvec import binary_column
@@ -13,12 +13,11 @@ from .components import connected_components
 from .storage import small, stored, table
 
 BITS = 64
+_ALL = (1 << 64) - 1
 #: The pipeline's stage: words of a shingle, similarity of the shingle sets.
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 #: One text in so many is sampled for common shingles, those in so many of its texts count as common, and so many are kept.
-SAMPLE, SAMPLE_COMMON, MOST_COMMON = 16, 8, 500_000
-#: The hashes of a set are counted in two to this power parts of their range.
-PARTS_BITS = 6
+SAMPLE, SAMPLE_COMMON, MOST_COMMON = 16, 8, 200_000
 #: Rounds of hubs end when the members of crowded blocks that are still apart have so many pairs for each place in a small block.
 HUB_WORK = 20_000
 
@@ -195,27 +194,32 @@ def _prefix(held: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarr
 
 
 def _sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``doc_id``, ``_th``, and of the text's set of shingles ``_node`` (its digest), ``_n`` (its size), ``_parts`` (how many hashes lie in each part of their range) and ``_keys`` (its prefix)."""
+    """``doc_id``, ``_th``, and of the text's set of shingles ``_node`` and ``_check`` (halves of its digest), ``_n`` (its size) and ``_keys`` (its prefix; null but for the first row of a task that has the set)."""
     plain = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_t"))
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
 
     def run(batches):
+        seen: set[int] = set()
         for b in batches:
-            known: dict[bytes, tuple[int, int, np.ndarray, np.ndarray]] = {}
-            out = []
+            known: dict[bytes, tuple[int, int, int]] = {}
+            out, keys = [], []
             for t in binary_column(b, "_t"):
+                prefix = None
                 if t not in known:
                     held = np.unique(np.array(shingle_hashes(t, shingle), dtype=np.uint64))
-                    parts = np.bincount((held >> np.uint64(64 - PARTS_BITS)).astype(np.int64), minlength=1 << PARTS_BITS).astype(np.int32)
-                    known[t] = xxhash.xxh64_intdigest(held.tobytes(), 42), len(held), parts, _prefix(held, common.value, similarity).view(np.int64)
+                    digest = xxhash.xxh3_128_intdigest(held.tobytes())
+                    known[t] = digest & _ALL, digest >> 64, len(held)
+                    if known[t][0] not in seen and len(held):
+                        seen.add(known[t][0])
+                        prefix = _prefix(held, common.value, similarity).view(np.int64)
                 out.append(known[t])
-            node = pa.array(np.array([x[0] for x in out], dtype=np.uint64).view(np.int64))
-            n = pa.array([x[1] for x in out], pa.int64())
-            parts, keys = pa.array([x[2] for x in out], pa.list_(pa.int32())), pa.array([x[3] for x in out], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, n, parts, keys], names=["doc_id", "_th", "_node", "_n", "_parts", "_keys"])
+                keys.append(prefix)
+            node, check = (pa.array(np.array([x[i] for x in out], dtype=np.uint64).view(np.int64)) for i in (0, 1))
+            n, keys = pa.array([x[2] for x in out], pa.int32()), pa.array(keys, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, check, n, keys], names=["doc_id", "_th", "_node", "_check", "_n", "_keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return plain.mapInArrow(run, f"doc_id {kind}, _th long, _node long, _n long, _parts array<int>, _keys array<bigint>")
+    return plain.mapInArrow(run, f"doc_id {kind}, _th long, _node long, _check long, _n int, _keys array<bigint>")
 
 
 def _needed(a: Column, b: Column, similarity: float) -> Column:
@@ -224,100 +228,106 @@ def _needed(a: Column, b: Column, similarity: float) -> Column:
 
 
 def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of ``pairs`` (``a``, ``b``: nodes) those whose shingle sets have the similarity."""
-    x, y = (nodes.select(F.col("_node").alias(k), F.col("_n").alias(f"n{k}"), F.col("_parts").alias(f"p{k}")) for k in "ab")
-    most = F.aggregate(F.zip_with("pa", "pb", lambda p, q: F.least(p, q)), F.lit(0), lambda p, q: p + q)
-    near = pairs.distinct().join(x, "a").join(y, "b").where(most >= _needed(F.col("na"), F.col("nb"), similarity))
-    near = stored(near.select("a", "b"), "near")
-    wanted = stored(near.select(F.col("a").alias("_node")).union(near.select("b")).distinct().join(nodes.select("_node", "_th"), "_node"), "wanted")
-    keyed = docs.select(F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_t"))
-    texts = keyed.join(small(wanted), "_th").dropDuplicates(["_th"]).select("_node", "_t")
-
-    def sets(batches):
-        for b in batches:
-            made = [np.unique(np.array(shingle_hashes(t, shingle), dtype=np.uint64)).tobytes() for t in binary_column(b, "_t")]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["_node", "s"])
-
-    held = stored(texts.mapInArrow(sets, "_node long, s binary"), "sets")
-    both = near.join(held.select(F.col("_node").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("_node").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
-
-    def alike(x: bytes, y: bytes) -> bool:
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        shared = len(np.intersect1d(x, y, assume_unique=True))
-        return shared >= similarity * (len(x) + len(y) - shared) - 1e-9
+    """Of ``pairs`` (``a``, ``b``: nodes) those whose shingle sets have the similarity. A node's text is read from its first row."""
+    wanted = pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).distinct().join(nodes, "_node")
+    wanted = stored(wanted.select("_node", F.col("row.doc_id").alias("_first"), F.col("row._th").alias("_text_hash")), "wanted")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_t"))
+    same = (F.col("_th") == F.col("_text_hash")) & F.col("doc_id").eqNullSafe(F.col("_first"))
+    texts = stored(keyed.join(small(wanted), same).select("_node", "_t").dropDuplicates(["_node"]), "texts")
+    both = pairs.join(texts.select(F.col("_node").alias("a"), F.col("_t").alias("ta")), "a").join(texts.select(F.col("_node").alias("b"), F.col("_t").alias("tb")), "b")
 
     def decide(batches):
         for b in batches:
-            keep = pa.array([alike(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
+            sets: dict[int, np.ndarray] = {}
+
+            def held(node: int, text: bytes) -> np.ndarray:
+                if node not in sets:
+                    sets[node] = np.unique(np.array(shingle_hashes(text or b"", shingle), dtype=np.uint64))
+                return sets[node]
+
+            keep = []
+            for a, c, ta, tb in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                x, y = held(a, ta), held(c, tb)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
-    return stored(both.mapInArrow(decide, "a long, b long"), "links")
-
+    return stored(both.select("a", "b", "ta", "tb").mapInArrow(decide, "a long, b long"), "links")
 
-def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    found = nodes.select("_node").join(connected_components(links), F.col("_node") == F.col("node"), "left")
-    return stored(found.select("_node", F.coalesce("root", "_node").alias("root")), "roots")
 
-
-def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY, block_limit: int = 64) -> DataFrame:
+def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY, block_limit: int = 16) -> DataFrame:
     """``doc_id``, ``_th``, ``component_id`` per row: texts whose shingle sets have a Jaccard similarity of ``similarity`` link.
 
     Such texts differ in ten of 64 bits on average, which no short list of fingerprint segments can promise to
     find. So pairs meet through prefixes: of a set x in one order of all shingles, rare ones first, the first
-    |x| - ceil(0.8 |x|) + 1, of which two sets that are alike share one. They are pruned by bounds on what the sets
-    can share (from their sizes, the place of the first common shingle and the counts of hashes by range), which
-    lose no pair, and decided on the sets themselves. Texts with equal sets are one node, whatever their rows.
-
-    A block of more than ``block_limit`` nodes is not paired off at once, as in a family of copies nearly all pairs
-    are alike: its members meet hubs, which joins most of them. Two members of one component need not meet any
-    more, so only members outside their block's largest component then meet all the others: no pair of different
-    components is left out, and the components are those of all pairs.
+    |x| - ceil(0.8 |x|) + 1, of which two sets that are alike share one. A pair is left out where what follows the
+    key that it shares cannot be enough, which loses none: at the first key shared it is. The others are decided on
+    the sets themselves. Texts with equal sets are one node, whatever their rows; should two different sets have
+    one 64-bit name, the rows of one of them stay out of all groups.
+
+    Members of one component need not meet any more. So each node first meets its smallest partner, and those of a
+    block of more than ``block_limit`` nodes a hub, which joins most copies of a family. Pairs of different
+    components are decided then, in crowded blocks those of members outside the block's largest component with all
+    others: the components are those of all pairs.
     """
     rows = stored(_sketches(docs, shingle, similarity), "sketches")
-    same = [F.first(c).alias(c) for c in ("_n", "_parts", "_keys")]
-    nodes = stored(rows.groupBy("_node").agg(F.min("doc_id").alias("first"), F.min("_th").alias("_th"), *same), "nodes")
-    x = F.struct(F.col("_node").alias("t"), F.col("_n").alias("n"), F.col("pos").alias("p"))
-    blocks = nodes.select("_node", "_n", F.posexplode("_keys").alias("pos", "key")).select("key", x.alias("x"))
-    ends = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = stored(blocks.join(ends, "key"), "blocks")
+    whose = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")
+    nodes = stored(rows.groupBy("_node").agg(F.min(whose).alias("row"), F.min("_check").alias("check")), "nodes")
+    keyed = rows.where("_keys is not null").select("_node", "_n", F.posexplode("_keys").alias("pos", "key"))
+    member = F.struct(F.col("_node").alias("t"), F.col("_n").alias("n"), F.col("pos").alias("p"))
+    of_key = Window.partitionBy("key")
+    ends = keyed.repartition("key").select("key", member.alias("x"), F.min("_node").over(of_key).alias("lo"), F.max("_node").over(of_key).alias("hi"))
+    met = ends.where("lo < hi").select("key", "x").distinct()
+    met = stored(met.withColumn("n", F.count("*").over(of_key)), "blocks")
 
     def may(a: Column, b: Column) -> Column:
         # at the first shingle that both have, no more than it and what follows can be shared
         return F.least(a["n"] - a["p"], b["n"] - b["p"]) >= _needed(a["n"], b["n"], similarity)
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        ordered = pairs.where("a.t <> b.t").where(may(F.col("a"), F.col("b")))
-        return _alike(docs, nodes, ordered.select(F.least("a.t", "b.t").alias("a"), F.greatest("a.t", "b.t").alias("b")), shingle, similarity)
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.where("a.t <> b.t").where(may(F.col("a"), F.col("b"))).select(F.least("a.t", "b.t").alias("a"), F.greatest("a.t", "b.t").alias("b"))
+
+    few = met.where(F.col("n") <= block_limit).select("key", "x")
+    meeting = (F.col("l.key") == F.col("r.key")) & (F.col("l.x.t") < F.col("r.x.t")) & may(F.col("l.x"), F.col("r.x"))
+    pairs = stored(few.alias("l").join(few.alias("r"), meeting).select(F.col("l.x.t").alias("a"), F.col("r.x.t").alias("b")).distinct(), "pairs")
+    large = met.where(F.col("n") > block_limit)
+    hubs = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("x.t").alias("h"), "x")).alias("hub"))
+    starred = ordered(large.join(hubs, "key").select(F.col("hub.x").alias("a"), F.col("x").alias("b")))
+    nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    first = stored(nearest.union(starred).distinct(), "first-pairs")
+    links = _alike(docs, nodes, first, shingle, similarity)
 
-    paired_off = met.where(F.col("n") <= block_limit).select("key", "x")
-    paired = paired_off.alias("l").join(paired_off.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.x.t") < F.col("r.x.t")) & may(F.col("l.x"), F.col("r.x"))).select(F.col("l.x").alias("a"), F.col("r.x").alias("b"))
-    links = linked(paired)
-    roots = _rooted(nodes, links)
-    large = stored(met.where(F.col("n") > block_limit), "crowded")
     before = None
     while True:
-        at = stored(large.join(roots, F.col("x.t") == F.col("_node")).select("key", "x", "n", "root"), "crowded")
-        sizes = at.groupBy("key", "root").agg(F.count("*").alias("m"))
-        major = sizes.groupBy("key").agg(F.max(F.struct("m", "root")).alias("major"))
-        others = stored(at.join(major, "key").where(F.col("root") != F.col("major.root")), "others")
-        work = others.agg(F.sum("n")).first()[0]
-        if not work:
-            break
+        roots = stored(connected_components(links), "roots")
+        named = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+        apart = pairs.join(first, ["a", "b"], "left_anti").join(named[0], "a", "left").join(named[1], "b", "left").where(~(F.coalesce("root_a", "a") == F.coalesce("root_b", "b"))).select("a", "b")
+        at = large.join(roots, F.col("x.t") == F.col("node"), "left").select("key", "x", "n", F.coalesce("root", "x.t").alias("root"))
+        major = at.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("major"))
+        others = stored(at.join(major, "key").where(F.col("root") != F.col("major.root")).drop("major"), "others")
+        work = others.agg(F.sum("n")).first()[0] or 0
         last = work <= block_limit * HUB_WORK or (before is not None and 2 * work > before)
         if last:
-            pairs = others.alias("l").join(at.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root")) & may(F.col("l.x"), F.col("r.x")))
-            pairs = pairs.select(F.col("l.x").alias("a"), F.col("r.x").alias("b"))
+            rest = others.alias("l").join(at.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root")) & may(F.col("l.x"), F.col("r.x")))
+            rest = ordered(rest.select(F.col("l.x").alias("a"), F.col("r.x").alias("b")))
         else:
             hubs = others.groupBy("key").agg(F.min(F.struct(F.xxhash64("x.t", F.lit(work)).alias("h"), "x", "root")).alias("hub"))
-            pairs = at.join(hubs, "key").where(F.col("root") != F.col("hub.root")).select(F.col("hub.x").alias("a"), F.col("x").alias("b"))
-        links = stored(links.union(linked(pairs)), "links")
-        roots = _rooted(nodes, links)
+            rest = ordered(at.join(hubs, "key").where(F.col("root") != F.col("hub.root")).select(F.col("hub.x").alias("a"), F.col("x").alias("b")))
+        # a pair that was decided and is still apart is not alike
+        rest = stored(rest.union(apart if before is None else apart.limit(0)).distinct(), "more-pairs")
+        if rest.isEmpty():
+            break
+        links = stored(links.union(_alike(docs, nodes, rest, shingle, similarity)), "links")
         before = work
         if last:
+            roots = stored(connected_components(links), "roots")
             break
-    rooted = nodes.select("_node", "first").join(roots, "_node")
+    rooted = nodes.join(roots, F.col("_node") == F.col("node"), "left").select("_node", "check", F.col("row.doc_id").alias("first"), F.coalesce("root", "_node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.select("doc_id", "_th", "_node").join(rooted.join(least, "root").select("_node", "component_id"), "_node").select("doc_id", "_th", "component_id")
+    grouped = rooted.join(least, "root").select("_node", "check", "component_id")
+    own = F.when(F.col("_check") == F.col("check"), F.col("component_id")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", "_th", "_node", "_check").join(grouped, "_node").select("doc_id", "_th", own.alias("component_id"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
