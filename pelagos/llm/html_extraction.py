@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -14,8 +13,10 @@ from pyspark.sql import functions as F
 
 from .storage import stored, table
 
-#: A class is valid from so many pages of a host and so many tokens on.
-LEAST_PAGES, LEAST_TOKENS = 8, 2
+#: A class is valid from so many different pages of a host and so many tokens on; a text in a class takes more pages, as few may agree by chance.
+LEAST_PAGES, LEAST_TOKENS, TEXT_PAGES = 3, 2, 8
+#: The article's element holds such a share of its pages' text; a text on so large a share of a host's pages is template.
+MOST = 0.5
 
 # Fixed values of HTML: elements without content, with content that is no text, that end a paragraph, and that close one another.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -26,7 +27,9 @@ BLOCK = frozenset(
     "header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br caption".split()
 )
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: Elements, roles and words of class names or ids that mark what is not the article.
+#: Elements that can hold an article.
+SECTIONS = frozenset("body div article main section center table tbody tr td".split())
+#: Elements, roles and words of class names or ids that mark what is not the article, where the template leaves it open.
 ASIDE_TAGS = frozenset("nav aside footer form dialog menu".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ASIDE_WORDS = frozenset(
@@ -40,6 +43,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+))|([^\s=/>\"']+)")
+_DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -48,11 +52,20 @@ class Element:
     tag: str
     parent: Element | None
     path: int
+    token: int = 0  # the path, with the first element inside
     aside: bool = False
+    asides: int = 0  # marked by a tag, a role or as hidden, itself and around it
+    named: int = 0  # marked by a name, up to the main part around it
     main: int = 0  # 2: article, 1: main part by another mark
-    holds_main: bool = False
-    link: bool = False
-    size: int = 0
+    in_main: bool = False
+    linked: bool = False  # in a link
+    first: int = 0  # its blocks begin here
+    last: int = 0  # and end before here
+    begun: bool = False  # an element inside has begun
+
+    @property
+    def out(self) -> bool:
+        return self.asides + self.named > 0
 
 
 @dataclass
@@ -62,13 +75,39 @@ class Block:
     link: int = 0
     token: int = 0
 
+    @property
+    def links(self) -> bool:
+        return self.link * 2 > len(self.text)
+
 
 @dataclass
 class Page:
     blocks: list[Block] = field(default_factory=list)
-    tags: Counter = field(default_factory=Counter)
-    parents: dict[int, int] = field(default_factory=dict)
-    mains: list[Element] = field(default_factory=list)
+    elements: list[Element] = field(default_factory=list)
+
+    def sums(self, skip: set[int] | frozenset[int] = frozenset()) -> list[int]:
+        """The length of the text up to each block, without asides, lists of links and ``skip``."""
+        out = [0]
+        for b in self.blocks:
+            out.append(out[-1] + (0 if b.element.out or b.links or b.token in skip else len(b.text)))
+        return out
+
+    def tokens(self) -> list[tuple[int, int, bool, int, int]]:
+        """Every token with the token around it, whether it is a text, its occurrences, and the length of the text inside. The page itself is token 0."""
+        sums, out = self.sums(), {0: (0, False, 1, 0)}
+        for e in self.elements:
+            inside = sums[e.last] - sums[e.first] if e.tag in SECTIONS and not e.out else 0
+            old = out.get(e.token, (e.parent.token, False, 0, 0))
+            out[e.token] = (min(old[0], e.parent.token), False, old[2] + 1, old[3] + inside)
+        for b in self.blocks:
+            old = out.get(b.token, (b.element.token, True, 0, 0))
+            out[b.token] = (min(old[0], b.element.token), True, old[2] + 1, 0)
+        return [(k, *v) for k, v in out.items()]
+
+    def likeness(self) -> int:
+        """Stands for the page's longest text: pages that share it are copies of one page."""
+        best = max((b.text for b in self.blocks), key=lambda t: (len(t), t), default="")
+        return _signed(xxhash.xxh64_intdigest(best.encode("utf-8", "replace")))
 
 
 def _signed(x: int) -> int:
@@ -91,8 +130,26 @@ def _hidden(attributes: dict[str, str]) -> bool:
     return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
 
 
+def _mark(e: Element, up: Element, attributes: dict[str, str]) -> None:
+    """Sets what tags, roles and names say about an element."""
+    words, role = _named(attributes), attributes.get("role", "").lower()
+    own = words & {"comment", "comments", "reply", "related", "sidebar", "widget", "ad", "ads", "advert", "sponsored", "promo"}
+    named = False
+    if e.tag in ("article", "main") and not own:
+        e.main = 2 if e.tag == "article" else 1
+    elif e.tag not in ("html", "body"):
+        e.aside = e.tag in ASIDE_TAGS or e.tag in HIDDEN or role in ASIDE_ROLES or e.tag == "header" and not up.in_main
+        named = not e.aside and bool(words & ASIDE_WORDS) and not (up.in_main and e.tag == "header")
+        if not e.aside and not named and (role in ("main", "article") or words & MAIN_WORDS and e.tag in ("div", "section", "td")):
+            e.main = 1
+    e.aside = e.aside or _hidden(attributes)
+    e.asides = up.asides + e.aside
+    e.named = 0 if e.main and not e.asides else up.named + named
+    e.in_main = up.in_main or e.main > 0
+
+
 def parse(text: str) -> Page:
-    """The page's text blocks in order, its tag tokens (paths of tags with class and id) and the marked main parts.
+    """The page's text blocks and elements in order.
 
     Any text is taken: open ends reach to the end of the page, stray end tags count for nothing.
     """
@@ -116,13 +173,15 @@ def parse(text: str) -> Page:
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw and not any(e.tag in HIDDEN for e in stack[-1:]) :
+        if raw and stack[-1].tag not in HIDDEN:
             s = html.unescape(raw)
             parts.append(s)
-            if any(e.link for e in stack):
+            if stack[-1].linked:
                 linked += len(s.strip())
 
     def close(to: int) -> None:
+        for e in stack[to:]:
+            e.last = len(page.blocks)
         del stack[to:]
 
     while at < end:
@@ -164,73 +223,65 @@ def parse(text: str) -> Page:
         for a in _ATTRIBUTE.finditer(m[3] or ""):
             attributes.setdefault((a[1] or a[5]).lower(), html.unescape(a[2] or a[3] or a[4] or ""))
         up = stack[-1]
-        e = Element(tag, up, _path(up.path, f"{tag}.{attributes.get('class', '')}#{attributes.get('id', '')}"))
-        page.tags[e.path] += 1
-        page.parents[e.path] = up.path
-        words = _named(attributes)
-        role = attributes.get("role", "").lower()
-        inside = any(x.main for x in stack)
-        if tag not in ("html", "body"):
-            e.aside = (
-                tag in ASIDE_TAGS or role in ASIDE_ROLES or bool(words & ASIDE_WORDS) and not (inside and tag == "header")
-                or tag == "header" and not inside or _hidden(attributes)
-            )
-        if not e.aside or tag in ("article", "main"):
-            own = words & {"comment", "comments", "reply", "related", "sidebar", "widget", "ad", "ads", "advert", "sponsored", "promo"}
-            if tag in ("article", "main") and not own:
-                e.main, e.aside = 2 if tag == "article" else 1, False
-            elif role in ("main", "article") or words & MAIN_WORDS and tag in ("div", "section", "td"):
-                e.main = 1
-        e.link = tag == "a"
-        if e.main and not any(x.aside and x.tag in ASIDE_TAGS for x in stack):
-            page.mains.append(e)
-            for x in stack:
-                x.holds_main = True
+        path = _path(up.path, f"{tag}.{_DIGITS.sub('', attributes.get('class', ''))}")
+        e = Element(tag, up, path, path, linked=up.linked or tag == "a", first=len(page.blocks), last=len(page.blocks))
+        if not up.begun:
+            # elements that share a path differ by what comes first inside
+            up.begun, up.token = True, _path(up.path, f">{tag}") if up is not root else 0
+        _mark(e, up, attributes)
+        page.elements.append(e)
         if tag in VOID or (m[3] or "").rstrip().endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
             close_tag = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
             at = close_tag.end() if close_tag else end
             continue
-        if tag in HIDDEN:
-            e.aside = True
         stack.append(e)
     flush()
+    close(0)
     return page
 
 
-def _kept(e: Element | None, top: Element | None) -> bool:
-    """Whether no element around the block, up to the article, is an aside."""
-    while e is not None and e is not top:
-        if e.aside and not e.holds_main:
-            return False
-        e = e.parent
-    return True
-
+def _slots(page: Page, top: Element, links: bool, skip: set[int] | frozenset[int]) -> list[Block]:
+    """The blocks in ``top`` but those in asides of it and those to skip."""
+    inside = page.blocks[top.first : top.last]
+    return [b for b in inside if b.element.asides == top.asides and b.element.named == top.named and (links or not b.links) and b.token not in skip]
 
-def _within(e: Element | None, top: Element) -> bool:
-    while e is not None:
-        if e is top:
-            return True
-        e = e.parent
-    return False
 
-
-def main_text(page: Page, template: set[int] | frozenset[int] = frozenset()) -> str:
+def main_text(page: Page, fixed: set[int] | frozenset[int] = frozenset(), articles: set[int] | frozenset[int] = frozenset()) -> str:
     """The text of the slots that make the article.
 
-    Blocks that are tokens of the host's template are no slots. Of the rest those count that lie in the article:
-    the largest marked one, articles before other main parts; without any mark all slots but lists of links.
+    ``fixed``: texts of the host's template, which are no slots, unless nothing else is left. ``articles``: the
+    template's elements that hold most of their pages' text; the innermost on the page is the article, unless a main
+    part is marked that lies elsewhere, or within or around it. Without either it is what the page's text lies in
+    for the most part, without lists of links.
     """
-    slots = [b for b in page.blocks if b.token not in template]
-    best, top = (0, 0), None
-    for m in page.mains:
-        size = sum(len(b.text) for b in slots if _within(b.element, m) and _kept(b.element, m))
-        if size and (m.main, size) > best:
-            best, top = (m.main, size), m
-    if top is not None:
-        return " ".join(b.text for b in slots if _within(b.element, top) and _kept(b.element, top))
-    return " ".join(b.text for b in slots if _kept(b.element, None) and b.link * 2 <= len(b.text))
+    whole = Element("", None, 0, last=len(page.blocks))
+    best, top, links = (0, 0), None, True
+    for m in page.elements:
+        if m.main and not m.asides:
+            size = sum(len(b.text) for b in _slots(page, m, True, fixed))
+            if size and (m.main, size) > best:
+                best, top = (m.main, size), m
+    if top is None:
+        sums, top, links = page.sums(fixed), whole, False
+        for e in page.elements:
+            size = sums[e.last] - sums[e.first]
+            if e.token in articles and size and e.tag in SECTIONS and not e.out:
+                top = e
+        if top is whole:
+            for e in page.elements:
+                size = sums[e.last] - sums[e.first]
+                if e.tag in SECTIONS and top.first <= e.first and e.last <= top.last and size > MOST * (sums[top.last] - sums[top.first]):
+                    top = e
+        heads = {id(e.parent): e for e in reversed(page.elements) if e.tag in ("h1", "h2") and not e.out}
+        if top.parent is not None and top.parent.tag in SECTIONS - {"body"} and id(top.parent) in heads and heads[id(top.parent)].last <= top.first:
+            top = top.parent  # with its heading
+    for skip in (fixed, frozenset()):
+        kept = _slots(page, top, links, skip)
+        if kept:
+            break
+    return " ".join(b.text for b in kept)
 
 
 def _host():
@@ -238,68 +289,86 @@ def _host():
 
 
 def template_tokens(pages: DataFrame) -> DataFrame:
-    """Occurrences by host and token: ``host``, ``token``, ``parent`` (of tags), ``text`` (whether a text block), ``pages``, ``times`` and a signature of the occurrence vector.
+    """Occurrences by host and token: ``host``, ``token``, ``parent``, ``text`` (whether a text block), ``pages``, ``times``, a signature of the occurrence vector, and ``inside``, ``all``: the text in it and on its pages.
 
     The signature sums a hash of page and count over the pages, so vectors are compared without being gathered.
+    Null and empty pages count for nothing, and pages with one longest text (copies of a page) count as one.
     """
-    row = F.xxhash64("page_id", "url", "html")
-    plain = pages.select(_host().alias("host"), row.alias("row"), F.coalesce("html", F.lit("")).alias("html"))
+    plain = pages.where("html <> ''").select(_host().alias("host"), "html")
 
     def run(batches):
         for b in batches:
             out = []
-            for host, row, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for host, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 page = parse(text)
-                out += [(host, row, t, page.parents[t], False, n) for t, n in page.tags.items()]
-                blocks = Counter((x.token, x.element.path) for x in page.blocks)
-                out += [(host, row, t, up, True, n) for (t, up), n in blocks.items()]
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "row", "token", "parent", "text", "n"])
-
-    rows = plain.mapInArrow(run, "host string, row long, token long, parent long, text boolean, n long")
-    entry = F.xxhash64("row", "n")
+                like, size = page.likeness(), page.sums()[-1]
+                out += [(host, like, *t, size) for t in page.tokens()]
+            cols = list(zip(*out, strict=True)) or [()] * 8
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "page", "token", "parent", "text", "n", "inside", "all"])
+
+    rows = plain.mapInArrow(run, "host string, page long, token long, parent long, text boolean, n long, inside long, all long")
+    once = rows.groupBy("host", "token", "page").agg(F.min(F.struct("parent", "text", "n", "inside", "all")).alias("x"))
+    entry = F.xxhash64("page", "x.n")
     half = F.lit(0xFFFFFFFF)
-    return rows.groupBy("host", "token").agg(
-        F.min("parent").alias("parent"), F.max("text").alias("text"), F.count("*").alias("pages"), F.sum("n").alias("times"),
+    return once.groupBy("host", "token").agg(
+        F.min("x.parent").alias("parent"), F.max("x.text").alias("text"), F.count("*").alias("pages"), F.sum("x.n").alias("times"),
         F.sum(entry.bitwiseAND(half)).alias("low"), F.sum(F.shiftrightunsigned(entry, 32).bitwiseAND(half)).alias("high"),
+        F.sum("x.inside").alias("inside"), F.sum("x.all").alias("all"),
     )
 
 
+def _classes(tokens: DataFrame, least_tokens: int) -> DataFrame:
+    """``tokens`` with ``class`` and ``outer``, the class that it is nested in (null at the top); only those of valid classes."""
+    vector = ["host", "pages", "times", "low", "high"]
+    classes = tokens.groupBy(*vector).agg(F.count("*").alias("tokens"), F.min("token").alias("class")).where(F.col("tokens") >= least_tokens)
+    valid = stored(tokens.join(classes, vector).drop("tokens", "low", "high"), "html-classes")
+    around = valid.select("host", F.col("token").alias("parent"), F.col("class").alias("outer"))
+    placed = valid.join(around, ["host", "parent"], "left").withColumn("outer", F.when(F.col("outer") == F.col("class"), None).otherwise(F.col("outer")))
+    nested = placed.groupBy("host", "class").agg(F.max("outer").alias("outer"), F.count_distinct("outer").alias("outers")).where("outers <= 1")
+    return placed.drop("outer").join(nested.drop("outers"), ["host", "class"])
+
+
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_tokens: int = LEAST_TOKENS) -> DataFrame:
-    """The template of each host: ``host``, ``token``, ``text``, ``pages``, ``times``, ``class`` and the class it is nested in (``outer``, null at the top).
+    """The template of each host: ``host``, ``token``, ``text``, ``pages``, ``times``, ``class``, ``outer`` (the class it is nested in) and ``article``: whether it is an element that stands once on its pages and holds most of their text.
 
     Tokens of a host with equal occurrence vectors form a class; it is valid if it has enough tokens on enough
     pages. A class lies in the class of the tag around it; one whose tags lie in different ones is not nested and
-    drops out.
+    drops out. A text on most pages of its host is of the template too, with no class, and so is the page itself (token 0).
     """
     tokens = stored(template_tokens(pages).where(F.col("pages") >= least_pages), "html-tokens")
-    vector = ["host", "pages", "times", "low", "high"]
-    classes = tokens.groupBy(*vector).agg(F.count("*").alias("tokens"), F.min("token").alias("class")).where(F.col("tokens") >= least_tokens)
-    valid = stored(tokens.join(classes, vector).select("host", "token", "parent", "text", "pages", "times", "class"), "html-classes")
-    around = valid.select("host", F.col("token").alias("parent"), F.col("class").alias("outer"))
-    placed = valid.join(around, ["host", "parent"], "left").withColumn("outer", F.when(F.col("outer") == F.col("class"), None).otherwise(F.col("outer")))
-    nested = placed.groupBy("host", "class").agg(F.max("outer").alias("outer"), F.count_distinct("outer").alias("outers")).where("outers <= 1")
-    return placed.drop("outer").join(nested.drop("outers"), ["host", "class"]).select("host", "token", "text", "pages", "times", "class", "outer")
+    found = stored(_classes(tokens, least_tokens), "html-nested")
+    hosts = tokens.where("token = 0").select("host", F.col("pages").alias("of"))
+    often = F.col("text") & (F.col("pages") >= MOST * F.col("of")) | (F.col("token") == 0)
+    common = tokens.where("text or token = 0").join(hosts, "host").where(often).select("host", "token")
+    common = common.join(found.select("host", "token"), ["host", "token"], "left_anti").join(tokens, ["host", "token"])
+    article = ~F.col("text") & (F.col("times") == F.col("pages")) & (F.col("inside") > MOST * F.col("all"))
+    out = found.select("host", "token", "text", "pages", "times", "class", "outer", article.alias("article"))
+    none = F.lit(None).cast("long")
+    return out.union(common.select("host", "token", "text", "pages", "times", none, none, F.lit(False)))
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` per row of ``pages``.
 
-    A text block that stands once on every page of its host, as its template's tags do, belongs to the template.
-    Hosts of fewer than ``least_pages`` pages have no template. Null and empty pages have an empty text; a null
-    url is a host of its own; repeated rows each get the same text.
+    What the host's template says decides (see ``main_text``). Hosts of fewer than ``least_pages`` different pages
+    have none; there each page decides for itself. Null and empty pages have an empty text; a null url is a host of
+    its own; repeated rows each get the same text.
     """
     found = stored(templates(pages, least_pages, least_tokens), "html-templates")
-    counts = pages.groupBy(_host().alias("host")).agg(F.count("*").alias("all"))
-    fixed = found.where("text").join(counts, "host").where((F.col("pages") == F.col("all")) & (F.col("times") == F.col("all")))
-    fixed = stored(fixed.groupBy("host").agg(F.collect_list("token").alias("tokens")), "html-fixed")
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("host")).join(fixed, "host", "left")
-    rows = rows.select("page_id", "url", "html", "tokens")
+    hosts = found.where("token = 0").select("host", F.col("pages").alias("of"))
+    text = F.col("text") & ((F.col("pages") >= MOST * F.col("of")) | (F.col("pages") >= TEXT_PAGES) & F.col("class").isNotNull())
+    parts = found.join(hosts, "host").where(text | F.col("article")).groupBy("host").agg(
+        F.collect_list(F.when(F.col("text"), F.col("token"))).alias("fixed"), F.collect_list(F.when(F.col("article"), F.col("token"))).alias("articles")
+    )
+    parts = stored(parts, "html-fixed")
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), _host().alias("host")).join(parts, "host", "left")
+    rows = rows.select("page_id", "url", "html", "fixed", "articles")
 
     def run(batches):
         for b in batches:
-            texts = [main_text(parse(h), frozenset(t or ())) for h, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            sets = [[frozenset(x or ()) for x in b.column(i).to_pylist()] for i in (3, 4)]
+            texts = [main_text(parse(h), f, a) for h, f, a in zip(b.column(2).to_pylist(), *sets, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long"))
