@@ -14,8 +14,7 @@ from .storage import stored, table
 
 #: About so many bytes of labelled text are fitted on at most, drawn by a hash of the id.
 FIT_BYTES = 24_000_000
-#: Learners that each see a part of the sample; after an epoch their states are averaged.
-LEARNERS, EPOCHS = 6, 6
+EPOCHS = 6
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.5, 0.1
 #: Words are also taken by their first so many bytes, so that inflected forms of a word share a feature.
 STEMS = (4, 5, 6, 7)
@@ -42,85 +41,59 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(docs)
 
 
-def _pack(rows: pd.DataFrame) -> pd.DataFrame:
-    """A learner's part of the sample in arrays: features that a single text of it has are left out, as L1 leaves none of them."""
-    rows = rows.sort_values("order")
-    x = [np.unique(features([bytes(t or b"")])[0]) for t in rows["text"]]
-    keys, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *x]), return_counts=True)
-    keys = keys[count > 1]
-    parts = []
-    for a in x:
-        at = np.searchsorted(keys, a)
-        at = at[np.take(keys, at, mode="clip") == a] if len(keys) else at[:0]
-        parts.append(at.astype(np.int32))
-    sizes = np.array([len(a) for a in parts], dtype=np.int32)
-    flat = np.concatenate([np.zeros(0, np.int32), *parts])
-    return pd.DataFrame({
-        "keys": [keys.tobytes()], "sizes": [sizes.tobytes()], "x": [flat.tobytes()], "y": [rows["y"].to_numpy(np.int8).tobytes()],
-    })
-
-
-def _epoch(keys: np.ndarray, x: list[np.ndarray], y: np.ndarray, state: tuple, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One pass of FTRL-proximal over a learner's texts. ``state``: keys in order, z and n; key 0 is the intercept."""
-    keys = np.concatenate([np.zeros(1, np.uint64), keys])
-    z, n = np.zeros(len(keys)), np.zeros(len(keys))
-    at = np.searchsorted(state[0], keys)
-    known = np.take(state[0], at, mode="clip") == keys if len(state[0]) else np.zeros(len(keys), bool)
-    z[known], n[known] = state[1][at[known]], state[2][at[known]]
-    for i in np.random.default_rng(seed).permutation(len(y)):
-        at = np.append(x[i] + 1, 0)
-        zs, root = z[at], np.sqrt(n[at])
-        l1 = np.full(len(at), L1)
-        l1[-1] = 0.0
-        w = -np.sign(zs) * np.maximum(np.abs(zs) - l1, 0) / ((BETA + root) / ALPHA + L2)
-        g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y[i]
-        grown = n[at] + g * g
-        z[at] += g - (np.sqrt(grown) - root) / ALPHA * w
-        n[at] = grown
-    return keys, z, n
-
+def ftrl(x: list[np.ndarray], y: np.ndarray, size: int, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Weights of features 0 to ``size`` - 1 and the intercept, by FTRL-proximal over texts with features ``x`` and labels ``y``.
 
-def _learner(held, epoch: int):
-    def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                keys, sizes, flat = (np.frombuffer(row[c], d) for c, d in (("keys", np.uint64), ("sizes", np.int32), ("x", np.int32)))
-                x = np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
-                k, z, n = _epoch(keys, x, np.frombuffer(row["y"], np.int8), held.value, epoch)
-                # far below what L1 leaves a key starts anew, which keeps the state small
-                kept = (np.abs(z) > L1 / 2) | (k == 0)
-                yield pa.RecordBatch.from_arrays([pa.array(k[kept].view(np.int64)), pa.array(z[kept]), pa.array(n[kept])], names=["k", "z", "n"])
+    Every coordinate has a rate of its own, and its state lasts over all epochs; L1 alone decides which weights are
+    zero. The intercept is free of L1. Texts come in another order each epoch.
+    """
+    z, n = np.zeros(size + 1), np.zeros(size + 1)  # the intercept is last
 
-    return run
+    def weights(zs: np.ndarray, root: np.ndarray) -> np.ndarray:
+        l1 = np.full(len(zs), L1)
+        l1[-1] = 0.0
+        return -np.sign(zs) * np.maximum(np.abs(zs) - l1, 0) / ((BETA + root) / ALPHA + L2)
+
+    for epoch in range(epochs):
+        for i in np.random.default_rng(epoch).permutation(len(y)):
+            at = np.append(x[i], size)
+            zs, root = z[at], np.sqrt(n[at])
+            w = weights(zs, root)
+            g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y[i]
+            grown = n[at] + g * g
+            z[at] = zs + g - (np.sqrt(grown) - root) / ALPHA * w
+            n[at] = grown
+    w = weights(z, np.sqrt(n))
+    return w[:-1], float(w[-1])
+
+
+def learn_texts(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+    """The features with a weight, their weights, and the intercept. All features of all texts take part."""
+    x = [np.unique(features([t])[0]) for t in texts]
+    keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *x]))
+    w, intercept = ftrl([np.searchsorted(keys, a).astype(np.int32) for a in x], y, len(keys), epochs)
+    kept = w != 0
+    return keys[kept], w[kept], intercept
 
 
 def fit(labelled: DataFrame) -> tuple[Lookup, float]:
-    """Weights and intercept from ``labelled`` (``doc_id``, ``text``, ``y``), a bounded sample.
+    """Weights and intercept from ``labelled`` (``doc_id``, ``text``, ``y``), a sample of bounded size.
 
-    The sample is dealt to the learners once. Each runs over its part from the state of the epoch before; a
-    key's state is then averaged over the learners that have it.
+    FTRL-proximal goes from text to text, so one task learns from the sample; what it returns are the weights that
+    L1 leaves.
     """
-    spark = labelled.sparkSession
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(11))
-    rows = labelled.select(
-        F.pmod(order, F.lit(LEARNERS)).cast("int").alias("learner"), order.alias("order"), F.col("y").cast("int").alias("y"),
-        F.col("text").cast("binary").alias("text"),
-    )
-    sample = stored(rows.groupBy("learner").applyInPandas(_pack, "keys binary, sizes binary, x binary, y binary"), "tox-sample")
-    state = (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-    for epoch in range(EPOCHS):
-        held = spark.sparkContext.broadcast(state)
-        out = sample.mapInArrow(_learner(held, epoch), "k long, z double, n double")
-        mean = out.groupBy("k").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow()
-        k = mean.column("k").to_numpy().view(np.uint64)
-        by = np.argsort(k)
-        state = (k[by], mean.column("z").to_numpy()[by], mean.column("n").to_numpy()[by])
-    keys, z, n = state
-    cut = np.where(keys == 0, 0.0, L1)
-    w = -np.sign(z) * np.maximum(np.abs(z) - cut, 0) / ((BETA + np.sqrt(n)) / ALPHA + L2)
-    intercept = float(w[keys == 0].sum())
-    kept = (w != 0) & (keys != 0)
-    return Lookup(keys[kept], w[kept]), intercept
+    rows = labelled.select(F.lit(0).alias("learner"), order.alias("order"), F.col("y").cast("int").alias("y"), F.col("text").cast("binary").alias("text"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["order", "text"])
+        keys, w, intercept = learn_texts([bytes(t or b"") for t in rows["text"]], rows["y"].to_numpy(np.int8))
+        return pd.DataFrame({"k": np.append(keys.view(np.int64), 0), "w": np.append(w, intercept), "intercept": np.append(np.zeros(len(w), bool), True)})
+
+    got = stored(rows.groupBy("learner").applyInPandas(run, "k long, w double, intercept boolean"), "tox-weights").toArrow()
+    first = got.column("intercept").to_numpy()
+    k, w = got.column("k").to_numpy().view(np.uint64), got.column("w").to_numpy()
+    return Lookup(k[~first], w[~first]), float(w[first].sum())
 
 
 def score_texts(texts: list[bytes], weights: Lookup, intercept: float) -> np.ndarray:
@@ -152,9 +125,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, threshold: float
     share = docs.where(learn).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
     keys = stored(share.join(known, "doc_id"), "labelled")
     total = keys.agg(F.sum("n")).first()[0] or 0
-    part = int(min(1.0, fit_bytes / max(total, 1)) * 1_000_000)
-    order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(7))
-    picked = stored(keys.where(F.pmod(order, F.lit(1_000_000)) < part).groupBy("doc_id").agg(F.max("y").alias("y")), "picked")
+    share = min(1.0, fit_bytes / max(total, 1))
+    order = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1 << 52))
+    picked = stored(keys.where(order < share * (1 << 52)).groupBy("doc_id").agg(F.max("y").alias("y")), "picked")
     labelled = docs.where(learn).select("doc_id", "text").join(picked, "doc_id")
     weights, intercept = fit(labelled)
     held = docs.sparkSession.sparkContext.broadcast((weights, intercept))

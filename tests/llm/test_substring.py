@@ -107,3 +107,56 @@ def test_known_chunks_of_several_texts_are_no_run(spark):
     assert loose, "chunk by chunk the passage is known"
     shared = [s for s in got[1000][names[2]]]
     assert not shared and got[1000]["text"] == passage
+
+
+def plain_runs(rows, least=substring.LEAST_WORDS):
+    """Which words of each text go, by comparing the words of all runs of chunks."""
+    runs = {}
+    for k, t in rows:
+        c = substring.Chunks([t.encode()])
+        parts = [t.encode()[a:z].decode().split() for a, z in zip(c.start.tolist(), c.end.tolist())]
+        a, z, *_ = c.runs(least)
+        runs[k, t] = [(i, j, tuple(map(tuple, parts[i : j + 1]))) for i, j in zip(a.tolist(), z.tolist())]
+    first = {}
+    for (k, t), rs in runs.items():
+        for *_, w in rs:
+            first[w] = min(first.get(w, (k, t)), (k, t))
+    return {kt: sum(1 for *_, w in rs if first[w] != kt) for kt, rs in runs.items()}
+
+
+def test_text_ids_collisions_and_hot_runs(spark, monkeypatch):
+    rng = random.Random(21)
+    shared = words(rng, 40)
+    rows = [(f"id{i:03d}", f"{words(rng, 30)} {shared} {words(rng, 30)}") for i in range(30)] + [("id500", words(rng, 100)), ("id001", words(rng, 50))]
+    docs = spark.createDataFrame([*rows, (None, rows[2][1])], "doc_id string, text string").repartition(3)
+    want = plain_runs(rows)
+    assert substring.known_runs.__defaults__ == (substring.HOT_ROWS,)
+
+    def known(hot, base=None):
+        keyed = docs.where("doc_id is not null").selectExpr("doc_id key", "xxhash64(text) th", "text")
+        found = substring.known_runs(substring.run_rows(keyed, "key", "th", substring.LEAST_WORDS), hot)
+        texts = {r["th"]: r["text"] for r in keyed.collect()}
+        return {(r["key"], texts[r["th"]]): len(r["held"]) for r in found.collect()}
+
+    assert known(100_000) == known(5) == {k: n for k, n in want.items() if n}
+    out, names = substring.deduplicated(docs)
+    got = {(r["doc_id"], r["text"]): r[names[1]] for r in out.collect()}
+    assert sum(shared in t for _, t in got) == 1 and (None, "") in {(k, t.strip()) for k, t in got}
+
+
+def test_forced_collisions_of_one_half(spark, monkeypatch):
+    """Runs whose first 64 bits agree are still told apart by the others."""
+    rng = random.Random(22)
+    docs = spark.createDataFrame([(i, words(rng, 60)) for i in range(10)], "doc_id long, text string")
+    keyed = docs.selectExpr("doc_id key", "xxhash64(text) th", "text")
+    rows = substring.run_rows(keyed, "key", "th", 12).selectExpr("key", "th", "7L digest", "check")
+    assert substring.known_runs(rows).count() == 0
+    assert substring.known_runs(rows.selectExpr("key", "th", "digest", "8L check")).count() == 9
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(23)
+    shared = words(rng, 40)
+    docs = spark.createDataFrame([(1, f"{words(rng, 20)} {shared}"), (1, f"{shared} {words(rng, 20)}"), (1, words(rng, 30))], "doc_id long, text string")
+    out, names = substring.deduplicated(docs)
+    assert sorted(r[names[1]] > 0 for r in out.collect()) == [False, False, True]

@@ -55,3 +55,33 @@ def test_features_do_not_depend_on_the_block():
         assert sorted(toxicity.features([t])[0].tolist()) == sorted(keys[docs == i].tolist())
     weights = Lookup(np.unique(keys), np.ones(len(np.unique(keys))))
     assert toxicity.score_texts(texts, weights, -1.0)[1] == pytest.approx(1 / (1 + np.e))
+
+
+def test_learner_against_plain_ftrl():
+    """The published update, one coordinate after the other in dictionaries; features of a single text take part."""
+    docs, labels = corpus(60)
+    texts, y = [t.encode() for _, t, _ in docs], np.array([t for _, _, t in labels], dtype=np.int8)
+    z, n = {}, {}
+    weight = lambda k: 0.0 if abs(z.get(k, 0.0)) <= (0 if k is None else toxicity.L1) else -(z[k] - (0 if k is None else np.sign(z[k]) * toxicity.L1)) / ((toxicity.BETA + n[k] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+    sets = [[*set(toxicity.features([t])[0].tolist()), None] for t in texts]
+    for epoch in range(3):
+        for i in np.random.default_rng(epoch).permutation(len(y)):
+            w = {k: weight(k) for k in sets[i]}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y[i]
+            for k in sets[i]:
+                sigma = ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) / toxicity.ALPHA
+                z[k] = z.get(k, 0.0) + g - sigma * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    keys, w, intercept = toxicity.learn_texts(texts, y, 3)
+    want = {k: weight(k) for k in z if k is not None and weight(k)}
+    assert dict(zip(keys.tolist(), w.tolist())) == pytest.approx(want) and len(want) > 5
+    assert intercept == pytest.approx(weight(None))
+
+
+def test_sampling_share_is_exact(spark):
+    """A share of less than a millionth still takes its part of the texts."""
+    docs, labels = corpus(400)
+    d = spark.createDataFrame(docs, "doc_id long, text string, score double")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    some = toxicity.toxicity(d, lab, F.lit(True), fit_bytes=30_000).collect()
+    assert len({round(r["score"], 6) for r in some}) > 5
