@@ -18,8 +18,10 @@ _ALL = (1 << 64) - 1
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 #: One text in so many is sampled for common shingles, those in so many of its texts count as common, and so many are kept.
 SAMPLE, SAMPLE_COMMON, MOST_COMMON = 16, 8, 200_000
-#: Rounds of hubs end when the members of crowded blocks that are still apart have so many pairs for each place in a small block.
-HUB_WORK = 20_000
+#: Rounds of hubs end when the members of crowded blocks that are still apart have so many pairs for each member of any block.
+HUB_WORK = 50
+#: A set's hashes are counted in so many parts of their range.
+PARTS = 512
 
 
 def shingle_hashes(text: bytes, shingle: int) -> list[int]:
@@ -194,7 +196,7 @@ def _prefix(held: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarr
 
 
 def _sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``doc_id``, ``_th``, and of the text's set of shingles ``_node`` and ``_check`` (halves of its digest), ``_n`` (its size) and ``_keys`` (its prefix; null but for the first row of a task that has the set)."""
+    """``doc_id``, ``_th``, and of the text's set of shingles ``_node`` and ``_check`` (halves of its digest), ``_n`` (its size) and, null but for the first row of a task that has the set, ``_keys`` (its prefix) and ``_parts`` (how many hashes lie in each part of their range, a byte each; null where one has more)."""
     plain = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_t"))
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
 
@@ -202,9 +204,9 @@ def _sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
         seen: set[int] = set()
         for b in batches:
             known: dict[bytes, tuple[int, int, int]] = {}
-            out, keys = [], []
+            out, keys, parts = [], [], []
             for t in binary_column(b, "_t"):
-                prefix = None
+                prefix = part = None
                 if t not in known:
                     held = np.unique(np.array(shingle_hashes(t, shingle), dtype=np.uint64))
                     digest = xxhash.xxh3_128_intdigest(held.tobytes())
@@ -212,14 +214,17 @@ def _sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                     if known[t][0] not in seen and len(held):
                         seen.add(known[t][0])
                         prefix = _prefix(held, common.value, similarity).view(np.int64)
+                        counts = np.bincount((held >> np.uint64(32)).astype(np.int64) * PARTS >> 32, minlength=PARTS)
+                        part = counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
                 out.append(known[t])
                 keys.append(prefix)
+                parts.append(part)
             node, check = (pa.array(np.array([x[i] for x in out], dtype=np.uint64).view(np.int64)) for i in (0, 1))
-            n, keys = pa.array([x[2] for x in out], pa.int32()), pa.array(keys, pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, check, n, keys], names=["doc_id", "_th", "_node", "_check", "_n", "_keys"])
+            cols = [pa.array([x[2] for x in out], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(parts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, check, *cols], names=["doc_id", "_th", "_node", "_check", "_n", "_keys", "_parts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return plain.mapInArrow(run, f"doc_id {kind}, _th long, _node long, _check long, _n int, _keys array<bigint>")
+    return plain.mapInArrow(run, f"doc_id {kind}, _th long, _node long, _check long, _n int, _keys array<bigint>, _parts binary")
 
 
 def _needed(a: Column, b: Column, similarity: float) -> Column:
@@ -227,8 +232,31 @@ def _needed(a: Column, b: Column, similarity: float) -> Column:
     return F.ceil((a + b) * (similarity / (1 + similarity)) - 1e-6)
 
 
-def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _possible(pairs: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """``pairs`` without those whose sets cannot share enough, by what they have in each part of the range."""
+    held = parts.join(stored(pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).distinct(), "met"), "_node")
+    held = stored(held.dropDuplicates(["_node"]), "parts")
+    both = pairs.join(held.select(F.col("_node").alias("a"), F.col("_parts").alias("pa")), "a").join(held.select(F.col("_node").alias("b"), F.col("_parts").alias("pb")), "b")
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if x is None or y is None:
+                    keep.append(True)
+                    continue
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                most = int(np.minimum(x, y).sum(dtype=np.int64))
+                keep.append(most >= similarity * (int(x.sum(dtype=np.int64)) + int(y.sum(dtype=np.int64)) - most) - 1e-9)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+
+    return stored(both.select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long"), "possible")
+
+
+def _alike(docs: DataFrame, nodes: DataFrame, parts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Of ``pairs`` (``a``, ``b``: nodes) those whose shingle sets have the similarity. A node's text is read from its first row."""
+    pairs = _possible(pairs, parts, similarity)
     wanted = pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).distinct().join(nodes, "_node")
     wanted = stored(wanted.select("_node", F.col("row.doc_id").alias("_first"), F.col("row._th").alias("_text_hash")), "wanted")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_t"))
@@ -266,10 +294,10 @@ def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: flo
     the sets themselves. Texts with equal sets are one node, whatever their rows; should two different sets have
     one 64-bit name, the rows of one of them stay out of all groups.
 
-    Members of one component need not meet any more. So each node first meets its smallest partner, and those of a
-    block of more than ``block_limit`` nodes a hub, which joins most copies of a family. Pairs of different
-    components are decided then, in crowded blocks those of members outside the block's largest component with all
-    others: the components are those of all pairs.
+    A block of more than ``block_limit`` nodes is not paired off at once, as in a family of copies nearly all pairs
+    are alike: its members meet a hub, which joins most of them. Two members of one component need not meet any
+    more, so only members outside their block's largest component then meet all the others: no pair of different
+    components is left out, and the components are those of all pairs.
     """
     rows = stored(_sketches(docs, shingle, similarity), "sketches")
     whose = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")
@@ -280,6 +308,7 @@ def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: flo
     ends = keyed.repartition("key").select("key", member.alias("x"), F.min("_node").over(of_key).alias("lo"), F.max("_node").over(of_key).alias("hi"))
     met = ends.where("lo < hi").select("key", "x").distinct()
     met = stored(met.withColumn("n", F.count("*").over(of_key)), "blocks")
+    parts = rows.where("_keys is not null").select("_node", "_parts")
 
     def may(a: Column, b: Column) -> Column:
         # at the first shingle that both have, no more than it and what follows can be shared
@@ -290,35 +319,28 @@ def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: flo
 
     few = met.where(F.col("n") <= block_limit).select("key", "x")
     meeting = (F.col("l.key") == F.col("r.key")) & (F.col("l.x.t") < F.col("r.x.t")) & may(F.col("l.x"), F.col("r.x"))
-    pairs = stored(few.alias("l").join(few.alias("r"), meeting).select(F.col("l.x.t").alias("a"), F.col("r.x.t").alias("b")).distinct(), "pairs")
+    pairs = few.alias("l").join(few.alias("r"), meeting).select(F.col("l.x.t").alias("a"), F.col("r.x.t").alias("b"))
     large = met.where(F.col("n") > block_limit)
     hubs = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("x.t").alias("h"), "x")).alias("hub"))
     starred = ordered(large.join(hubs, "key").select(F.col("hub.x").alias("a"), F.col("x").alias("b")))
-    nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    first = stored(nearest.union(starred).distinct(), "first-pairs")
-    links = _alike(docs, nodes, first, shingle, similarity)
-
-    before = None
+    links = _alike(docs, nodes, parts, stored(pairs.union(starred).distinct(), "pairs"), shingle, similarity)
+    room, before = HUB_WORK * met.count(), None
     while True:
         roots = stored(connected_components(links), "roots")
-        named = [roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
-        apart = pairs.join(first, ["a", "b"], "left_anti").join(named[0], "a", "left").join(named[1], "b", "left").where(~(F.coalesce("root_a", "a") == F.coalesce("root_b", "b"))).select("a", "b")
         at = large.join(roots, F.col("x.t") == F.col("node"), "left").select("key", "x", "n", F.coalesce("root", "x.t").alias("root"))
         major = at.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("major"))
         others = stored(at.join(major, "key").where(F.col("root") != F.col("major.root")).drop("major"), "others")
-        work = others.agg(F.sum("n")).first()[0] or 0
-        last = work <= block_limit * HUB_WORK or (before is not None and 2 * work > before)
+        work = others.agg(F.sum("n")).first()[0]
+        if not work:
+            break
+        last = work <= room or (before is not None and 2 * work > before)
         if last:
             rest = others.alias("l").join(at.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root")) & may(F.col("l.x"), F.col("r.x")))
-            rest = ordered(rest.select(F.col("l.x").alias("a"), F.col("r.x").alias("b")))
+            rest = rest.select(F.col("l.x").alias("a"), F.col("r.x").alias("b"))
         else:
             hubs = others.groupBy("key").agg(F.min(F.struct(F.xxhash64("x.t", F.lit(work)).alias("h"), "x", "root")).alias("hub"))
-            rest = ordered(at.join(hubs, "key").where(F.col("root") != F.col("hub.root")).select(F.col("hub.x").alias("a"), F.col("x").alias("b")))
-        # a pair that was decided and is still apart is not alike
-        rest = stored(rest.union(apart if before is None else apart.limit(0)).distinct(), "more-pairs")
-        if rest.isEmpty():
-            break
-        links = stored(links.union(_alike(docs, nodes, rest, shingle, similarity)), "links")
+            rest = at.join(hubs, "key").where(F.col("root") != F.col("hub.root")).select(F.col("hub.x").alias("a"), F.col("x").alias("b"))
+        links = stored(links.union(_alike(docs, nodes, parts, stored(ordered(rest).distinct(), "more-pairs"), shingle, similarity)), "links")
         before = work
         if last:
             roots = stored(connected_components(links), "roots")

@@ -201,11 +201,7 @@ def test_similar_texts_against_all_pairs(spark, limit):
     got = {}
     for r in simhash.similar_texts(d, block_limit=limit).collect():
         got.setdefault(r["doc_id"], set()).add(r["component_id"])
-    assert got.keys() == want.keys()
-    if limit == 64:
-        assert got == want
-    else:
-        assert sum(got[k] == want[k] for k in want) >= 0.9 * len(want)
+    assert got == want
     assert simhash.similar_texts(d.limit(0)).collect() == []
 
 
@@ -227,7 +223,7 @@ def similar_components(texts):
     return {i: root(i) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("limit,work", [(64, 0), (2, 0), (2, 20_000)])
+@pytest.mark.parametrize("limit,work", [(64, 0), (2, 0), (2, 50)])
 def test_crowded_blocks_lose_no_pair(spark, monkeypatch, limit, work):
     # 100 texts share a notice that makes up most of them; pairs of them are near copies of each other only
     monkeypatch.setattr(simhash, "HUB_WORK", work)
