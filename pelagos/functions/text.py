@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Letters with accents and those without.
@@ -26,6 +26,7 @@ THRESHOLDS = (
     r"NAVE\s+MENOR\s+A\s+(\d+)\s*TRG",
     r"(\d+)\s*(?:A\.?B|TRG)\b",
 )
+# Thresholds inside and outside of a bay, and what closes it for all.
 INSIDE = (r"(\d+)\s*(?:A\.?B\.?|TRG)\s+(?:[A-Z\s]*?)DENTRO", r"DENTRO[^.;]*?(\d+)\s*(?:A\.?B|TRG)")
 OUTSIDE = (r"(\d+)\s*(?:A\.?B\.?|TRG)\s+(?:[A-Z\s]*?)FUERA", r"FUERA[^.;]*?(\d+)\s*(?:A\.?B|TRG)")
 ALL_SHIPS = r"TODO\s+TIPO\s+DE\s+NAVES"
@@ -42,8 +43,8 @@ def repair(text: Column) -> Column:
 
 
 def first_number(text: Column, patterns: tuple[str, ...]) -> Column:
-    """The number in the first pattern that matches."""
-    return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns)).cast("bigint")
+    """The number in the first pattern that matches. What does not match is an empty text, which is no number."""
+    return F.coalesce(*(F.regexp_extract(text, p, 1).try_cast("bigint") for p in patterns))
 
 
 def condition(observation: Column, motive: Column) -> Column:
@@ -67,12 +68,12 @@ def area(text: Column) -> Column:
     return F.when(a.contains("DENTRO") & ~a.contains("FUERA"), "DENTRO").when(a.contains("FUERA") & ~a.contains("DENTRO"), "FUERA").otherwise("DENTRO_Y_FUERA")
 
 
-def thresholds(text: Column) -> Column:
-    """Struct ``inside``, ``outside``, ``total`` of a normalised text: two thresholds where it has both, else one for both."""
-    both_in, both_out, one = first_number(text, INSIDE), first_number(text, OUTSIDE), first_number(text, THRESHOLDS)
-    total = text.rlike(ALL_SHIPS)
-    apart = both_in.isNotNull() & both_out.isNotNull()
-    return F.struct(
-        F.when(~total, F.when(apart, both_in).otherwise(one)).alias("inside"),
-        F.when(~total, F.when(apart, both_out).otherwise(one)).alias("outside"), total.alias("total"),
-    )
+def with_thresholds(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with ``inside``, ``outside``, ``total`` of a normalised text: two thresholds where it has both, else one for both. Each pattern is tried once a row."""
+    t = F.col(text)
+    found = rows.withColumns({"_in": first_number(t, INSIDE), "_out": first_number(t, OUTSIDE), "_one": first_number(t, THRESHOLDS), "total": t.rlike(ALL_SHIPS)})
+    apart = F.col("_in").isNotNull() & F.col("_out").isNotNull()
+    return found.withColumns({
+        "inside": F.when(~F.col("total"), F.when(apart, F.col("_in")).otherwise(F.col("_one"))),
+        "outside": F.when(~F.col("total"), F.when(apart, F.col("_out")).otherwise(F.col("_one"))),
+    }).drop("_in", "_out", "_one")

@@ -16,15 +16,16 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"), "labels")
+    before = None
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(near, "node").select("node", F.least("root", "near").alias("root"))
         jump = step.alias("x").join(step.alias("y"), F.col("x.root") == F.col("y.node")).select(F.col("x.node").alias("node"), F.least("x.root", "y.root").alias("root"))
-        after = written(jump, "labels")
-        changed = after.alias("n").join(labels.alias("o"), "node").where("n.root <> o.root").limit(1).count()
-        labels = after
-        if not changed:
+        labels = written(jump, "labels")
+        now = labels.agg(F.sum("root")).first()[0]  # labels only fall
+        if now == before:
             return labels
+        before = now
 
 
 def least_costs(edges: DataFrame, start: DataFrame, rounds: int) -> DataFrame:

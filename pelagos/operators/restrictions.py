@@ -19,15 +19,13 @@ def verdict(rank: Column) -> Column:
 def normalized(feed: DataFrame) -> DataFrame:
     """``feed`` with what its texts say: condition, whom it affects, thresholds, area."""
     obs, motive, who = (T.normalize(F.col(c)) for c in ("observation", "motive", "receives"))
-    limits = T.thresholds(F.col("obs"))
-    out = feed.withColumns({"obs": obs, "mot": motive, "who": who})
+    out = T.with_thresholds(feed.withColumns({"obs": obs, "mot": motive, "who": who}), "obs")
     ships = F.col("obs").contains("TODO TIPO DE NAVES")
     return out.withColumns({
         "condition": T.condition(F.col("obs"), F.col("mot")),
         "minors": F.col("who").contains("MENOR") | F.col("who").contains("TODO") | ships | F.col("obs").contains("TODO TIPO DE EMBARCACIONES"),
-        "majors": F.col("who").contains("MAYOR") | F.col("who").contains("TODO") | ships,
-        "limits": limits, "zone": T.area(F.col("area")),
-    }).select("*", F.col("limits.inside").alias("inside"), F.col("limits.outside").alias("outside"), F.col("limits.total").alias("total")).drop("limits", "obs", "mot", "who")
+        "majors": F.col("who").contains("MAYOR") | F.col("who").contains("TODO") | ships, "zone": T.area(F.col("area")),
+    }).drop("obs", "mot", "who")
 
 
 def rules(vessel: Column) -> Column:

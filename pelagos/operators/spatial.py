@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from pelagos.functions import geo
+from pelagos.sources.scratch import written
 
 #: Kilometres of a degree of latitude, a little less than any, so that cells never miss a place.
 _KM_PER_DEGREE = 110.5
@@ -21,7 +22,8 @@ def radius_join(left: DataFrame, right: DataFrame, km: float, radius: float = ge
     """All pairs within ``km``: columns ``id``, ``lat``, ``lng`` on both sides; returns ``id``, ``other``, ``km``.
 
     Latitudes are cut into bands as high as the radius, so a place looks at three; longitudes into cells as wide
-    as the radius is at the band's farthest latitude from the equator. Meridian 180 is not crossed.
+    as the radius is at the band's farthest latitude from the equator. Places near meridian 180 are also looked for
+    one turn farther on.
     """
     high = km / _KM_PER_DEGREE
     # the widest a radius gets in longitude is at the pole side of the outermost band that it reaches
@@ -29,17 +31,29 @@ def radius_join(left: DataFrame, right: DataFrame, km: float, radius: float = ge
     a = left.select(F.col("id"), F.col("lat"), F.col("lng"), _cells(F.col("lat"), high, 1).alias("band"))
     a = a.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lng") / wide(F.col("band"))) - 1, F.floor(F.col("lng") / wide(F.col("band"))) + 1)))
     b = right.select(F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), F.floor(F.col("lat") / high).alias("band"))
-    b = b.withColumn("cell", F.floor(F.col("lng2") / wide(F.col("band"))))
+    edge = 180.0 - wide(F.col("band"))
+    turns = F.when(F.col("lng2") > edge, F.array(F.col("lng2"), F.col("lng2") - 360)).when(F.col("lng2") < -edge, F.array(F.col("lng2"), F.col("lng2") + 360)).otherwise(F.array("lng2"))
+    b = b.withColumn("x", F.explode(turns)).withColumn("cell", F.floor(F.col("x") / wide(F.col("band")))).drop("x")
     d = geo.haversine(F.col("lat"), F.col("lng"), F.col("lat2"), F.col("lng2"), radius)
     return a.join(b, ["band", "cell"]).withColumn("km", d).where(F.col("km") <= km).select("id", "other", "km")
 
 
-def nearest(left: DataFrame, right: DataFrame, within_km: float, radius: float = geo.RADIUS_KM) -> DataFrame:
-    """Per ``id`` the nearest ``other`` within the distance, ties to the smaller id. Places with none have no row."""
-    near = radius_join(left, right, within_km, radius)
+def within(left: DataFrame, right: DataFrame, km: float, radius: float = geo.RADIUS_KM) -> DataFrame:
+    """Per ``id`` the nearest ``other`` within the distance, of all pairs that far apart at most."""
+    near = radius_join(left, right, km, radius)
     return near.groupBy("id").agg(F.min(F.struct("km", "other")).alias("m")).select("id", "m.other", "m.km")
 
 
+def nearest(left: DataFrame, right: DataFrame, within_km: float, radius: float = geo.RADIUS_KM, first_km: float | None = None) -> DataFrame:
+    """Per ``id`` the nearest ``other`` within the distance, ties to the smaller id. Places with none have no row.
+
+    A first look goes a fifth as far (``first_km``); only places that have no answer there look on, so in dense parts
+    few of the pairs within the distance are formed.
+    """
+    close = written(within(left, right, first_km or within_km / 5, radius), "nearest")
+    return close.union(within(left.join(close, "id", "left_anti"), right, within_km, radius))
+
+
 def nearest_two(left: DataFrame, right: DataFrame, within_km: float) -> DataFrame:
     """Per ``id`` the nearest place, its distance and that of the next (null if there is none)."""
     w = W.Window.partitionBy("id").orderBy("km", "other")

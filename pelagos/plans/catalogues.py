@@ -8,6 +8,7 @@ from pyspark.sql import window as W
 
 from pelagos.functions import text as T
 from pelagos.functions.num import half_up, tolerant_number
+from pelagos.operators.ranking import ranked
 from pelagos.plans.base import lat, lat_sql, lng, lng_sql, round_sql, table
 from pelagos.plans.restrictions import norm_sql
 
@@ -22,9 +23,9 @@ def multi_field_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def safe_query_filter(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("q"))
-    safe = (F.length("q") <= 100) & F.col("q").rlike(r"^[\p{L}\p{N}\s\-.]+$")
-    return d.select("doc_id", safe.alias("safe"))
+    """Whether a text may be a query: short enough, and of letters, digits and a few marks alone."""
+    safe = (F.length("text") <= 100) & F.col("text").rlike(r"\A[\p{L}\p{N}\s\-.]+\z")
+    return table(spark, sf, "documents").select("doc_id", safe.alias("safe"))
 
 
 def prefix_ranked_search(spark, sf):
@@ -184,9 +185,8 @@ def hazards_by_group(spark, sf):
 
 def nulls_last_sort(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    w = W_.orderBy(F.desc_nulls_last("quality"), F.asc("n_chars"), "doc_id")
-    top = d.orderBy(F.desc_nulls_last("quality"), F.asc("n_chars"), "doc_id").limit(60)
-    return top.select("doc_id", F.col("quality").cast("bigint").alias("quality"), F.row_number().over(w).cast("bigint").alias("place"))
+    places = ranked(d.select("doc_id", "quality", "n_chars"), [F.desc_nulls_last("quality"), F.asc("n_chars"), F.asc("doc_id")], "place")
+    return places.select("doc_id", F.col("quality").cast("bigint").alias("quality"), "place")
 
 
 def top_abs_difference(spark, sf):
@@ -257,7 +257,7 @@ def content_fingerprint(spark, sf):
 
 def csv_escape_line(spark, sf):
     d = table(spark, sf, "benchmark")
-    t = F.concat(F.substring("text", 1, 40), F.when(F.col("item_id") % 2 == 0, ' "q"').otherwise(""))
+    t = F.concat("text", F.when(F.col("item_id") % 2 == 0, ' "q"').otherwise(""))
     quoted = F.when(t.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t)
     return d.select("item_id", F.concat_ws(",", F.col("item_id").cast("string"), quoted).alias("line"))
 
@@ -300,7 +300,7 @@ def digit_run_guard(spark, sf):
 _DIMS = "SELECT o_orderstatus AS s, o_orderpriority AS p, year(o_orderdate) AS y FROM orders"
 QUERIES = {
     "multi_field_search": (multi_field_search, f"SELECT p_partkey, p_name, p_type FROM part WHERE (contains({norm_sql('p_name')}, 'BRASS') OR contains({norm_sql('p_brand')}, 'BRASS') OR contains({norm_sql('p_type')}, 'BRASS')) AND p_size BETWEEN 5 AND 30 ORDER BY p_partkey LIMIT 200"),
-    "safe_query_filter": (safe_query_filter, r"SELECT doc_id, length(substr(text, 1, 60)) <= 100 AND regexp_matches(substr(text, 1, 60), '^[\p{L}\p{N}\s\-.]+$') AS safe FROM documents"),
+    "safe_query_filter": (safe_query_filter, r"SELECT doc_id, length(text) <= 100 AND regexp_matches(text, '\A[\p{L}\p{N}\s\-.]+\z') AS safe FROM documents"),
     "prefix_ranked_search": (prefix_ranked_search, f"SELECT CASE WHEN starts_with({norm_sql('p_name')}, 'A') THEN 0 ELSE 1 END::BIGINT AS rank, p_name, p_partkey FROM part WHERE contains({norm_sql('p_name')}, 'A') ORDER BY rank, p_name, p_partkey LIMIT 50"),
     "tolerant_id_match": (tolerant_id_match, "SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 4 IN (1, 3)"),
     "valid_points_bbox": (valid_points_bbox, f"WITH p AS (SELECT c_custkey, {lat_sql('c_custkey')} AS lat, {lng_sql('c_custkey')} AS lng FROM customer) SELECT c_custkey, {round_sql('lat', 6)} AS lat, {round_sql('lng', 6)} AS lng FROM p WHERE lat BETWEEN -50 AND -25 AND lng BETWEEN -74 AND -68"),
@@ -326,7 +326,7 @@ QUERIES = {
     "coverage_pct": (coverage_pct, f"SELECT l_suppkey, CASE WHEN count(*) FILTER (WHERE l_tax > 0.07) > 0 THEN {round_sql('100.0::DOUBLE * count(*) FILTER (WHERE l_discount > 0.09) / count(*) FILTER (WHERE l_tax > 0.07)', 4)} END AS pct FROM lineitem GROUP BY 1"),
     "partition_closes": (partition_closes, "SELECT count(*) AS n, count(*) FILTER (WHERE o_orderstatus IN ('F','O','P')) = count(*) AS closes FROM orders"),
     "hazards_by_group": (hazards_by_group, f"WITH o AS (SELECT p_brand, {norm_sql('p_type')} AS key, arg_min(p_type, p_partkey) AS name FROM part GROUP BY 1, 2) SELECT p_brand, count(*) AS n, md5(string_agg(name, '; ' ORDER BY name)) AS digest FROM o GROUP BY 1"),
-    "nulls_last_sort": (nulls_last_sort, "SELECT doc_id, quality::BIGINT AS quality, row_number() OVER (ORDER BY quality DESC NULLS LAST, n_chars, doc_id) AS place FROM documents LEFT JOIN labels USING (doc_id) QUALIFY place <= 60"),
+    "nulls_last_sort": (nulls_last_sort, "SELECT doc_id, quality::BIGINT AS quality, row_number() OVER (ORDER BY quality DESC NULLS LAST, n_chars, doc_id) AS place FROM documents LEFT JOIN labels USING (doc_id)"),
     "top_abs_difference": (top_abs_difference, f"SELECT s_suppkey, {round_sql('abs(s_acctbal - 5000)', 2)} AS gap FROM supplier ORDER BY gap DESC, s_suppkey LIMIT 10"),
     "union_layers": (union_layers, "WITH u AS (SELECT 'customer' AS layer, c_nationkey AS nation FROM customer UNION ALL SELECT 'supplier', s_nationkey FROM supplier) SELECT layer, nation::BIGINT AS nation, count(*) AS n FROM u GROUP BY ALL"),
     "additive_union": (additive_union, "SELECT o_custkey AS id FROM orders WHERE o_orderstatus = 'P' UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0"),
@@ -338,7 +338,7 @@ QUERIES = {
     "latest_per_key": (latest_per_key, "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"),
     "retire_unpublished": (retire_unpublished, "SELECT lang, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY 1"),
     "content_fingerprint": (content_fingerprint, "SELECT event_id, sha256(user_id || '|' || event_type || '|' || coalesce(props, '')) AS digest FROM events"),
-    "csv_escape_line": (csv_escape_line, """WITH t AS (SELECT item_id, substr(text, 1, 40) || CASE WHEN item_id % 2 = 0 THEN ' "q"' ELSE '' END AS t FROM benchmark) SELECT item_id, item_id || ',' || CASE WHEN regexp_matches(t, '[",\\r\\n]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END AS line FROM t"""),
+    "csv_escape_line": (csv_escape_line, """WITH t AS (SELECT item_id, text || CASE WHEN item_id % 2 = 0 THEN ' "q"' ELSE '' END AS t FROM benchmark) SELECT item_id, item_id || ',' || CASE WHEN regexp_matches(t, '[",\\r\\n]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END AS line FROM t"""),
     "infer_type_prefix": (infer_type_prefix, "SELECT p_partkey, CASE WHEN p_type LIKE 'SMALL%' THEN 'small' WHEN p_type LIKE 'LARGE%' THEN 'large' WHEN p_type LIKE 'MEDIUM%' THEN 'medium' ELSE 'other' END AS kind FROM part"),
     "prefix_strip_match": (prefix_strip_match, r"SELECT trim(regexp_replace(lower(p_type), '^(small|large|medium|standard|economy|promo)\s+', '')) AS bare, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1"),
     "edit_distance": (edit_distance, "SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name) AS d FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey"),

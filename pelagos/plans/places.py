@@ -8,8 +8,10 @@ from pyspark.sql import window as W
 
 from pelagos.functions import geo
 from pelagos.functions.num import half_up
+from pelagos.operators import graph
 from pelagos.operators import spatial as S
 from pelagos.plans.base import haversine_sql, lat, lat_sql, lng, lng_sql, round_sql, table
+from pelagos.sources.scratch import written
 
 W_ = W.Window
 
@@ -93,14 +95,15 @@ def nn_distance_stats(spark, sf):
 
 
 def expanding_radius_nn(spark, sf):
-    """Radii double until a station is found, and the answer holds only within half of the radius tried."""
+    """Radii double until a station is found, and the answer holds only within half of the radius tried; ports without one have none."""
     found, left = None, places(spark, sf, "customer", "c_custkey")
     stations = places(spark, sf, "supplier", "s_suppkey")
     for km in (50.0, 100.0, 200.0, 400.0):
-        hit = S.nearest(left, stations, km).where(F.col("km") <= km / 2).withColumn("tried", F.lit(km))
+        hit = written(S.within(left, stations, km / 2).withColumn("tried", F.lit(km)), "nearest")
         left = left.join(hit, "id", "left_anti")
         found = hit if found is None else found.union(hit)
-    return found.select("id", "other", "tried")
+    none = left.select("id", F.lit(None).cast("bigint"), F.lit(None).cast("double"))
+    return found.select("id", "other", "tried").union(none)
 
 
 def anchorage_before(spark, sf):
@@ -153,7 +156,7 @@ def extent_agg(spark, sf):
 
 def _boxes(spark, sf):
     """A diamond around each nation's place: its four edges."""
-    n = places(spark, sf, "nation", "n_nationkey").where("id < 20")
+    n = places(spark, sf, "nation", "n_nationkey")
     c = [("lng", -1.5, "lat", 0.0), ("lng", 0.0, "lat", 2.0), ("lng", 1.5, "lat", 0.0), ("lng", 0.0, "lat", -2.0)]
     edge = lambda a, b: F.struct((F.col("lng") + c[a][1]).alias("x1"), (F.col("lat") + c[a][3]).alias("y1"), (F.col("lng") + c[b][1]).alias("x2"), (F.col("lat") + c[b][3]).alias("y2"))
     return n.select(F.col("id").alias("polygon"), F.explode(F.array(edge(0, 1), edge(1, 2), edge(2, 3), edge(3, 0))).alias("e")).select("polygon", "e.*")
@@ -171,7 +174,7 @@ def segment_crossings(spark, sf):
     return S.crossings(legs, edges, 1.0)
 
 
-_BOX_SQL = f"""{_BAYS}, c AS (SELECT id AS polygon, lng, lat FROM n WHERE id < 20),
+_BOX_SQL = f"""{_BAYS}, c AS (SELECT id AS polygon, lng, lat FROM n),
 e AS (SELECT polygon, lng + a AS x1, lat + b AS y1, lng + c AS x2, lat + d AS y2 FROM c, (VALUES (-1.5::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 2.0::DOUBLE), (0.0::DOUBLE, 2.0::DOUBLE, 1.5::DOUBLE, 0.0::DOUBLE), (1.5::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, -2.0::DOUBLE), (0.0::DOUBLE, -2.0::DOUBLE, -1.5::DOUBLE, 0.0::DOUBLE)) v(a, b, c, d))"""
 
 
@@ -251,10 +254,13 @@ def piecewise_cost(spark, sf):
 
 
 def reachability(spark, sf):
-    """Cells that four-neighbour steps reach from the grid's corner over cells under a limit."""
-    g = _grid(spark, sf).where("v <= 4980").select("r", "c")
-    return spark.sql("""WITH RECURSIVE f(r, c, k) MAX RECURSION LEVEL 12 AS (SELECT r, c, 0 FROM {g} WHERE r = 1 AND c = 1 UNION ALL
-      SELECT DISTINCT g.r, g.c, f.k + 1 FROM f JOIN {g} g ON abs(g.r - f.r) + abs(g.c - f.c) = 1 WHERE f.k < 8) SELECT DISTINCT r, c FROM f""", g=g)
+    """Cells that four-neighbour steps reach from the grid's corner over cells under a limit: those of its component."""
+    g = _grid(spark, sf).where("v <= 4980").select("r", "c", (F.col("r") * 64 + F.col("c")).alias("id"))
+    step = lambda dr, dc: g.select("id", (F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c"))
+    links = step(0, 1).union(step(1, 0)).join(g.withColumnRenamed("id", "b"), ["r", "c"]).select(F.col("id").alias("a"), "b")
+    found = written(graph.components(links.union(g.select("id", F.col("id").alias("b")))), "components")
+    home = found.where("node = 65").select("root")
+    return found.join(home, "root").select(F.floor(F.col("node") / 64).alias("r"), (F.col("node") % 64).alias("c"))
 
 
 _NM = haversine_sql("a", "b", 3440.065)
@@ -268,7 +274,7 @@ QUERIES = {
     "nearest_with_margin": (nearest_with_margin, f"WITH {_PS}, k AS (SELECT *, row_number() OVER w AS k, lead(km) OVER w AS second FROM d WHERE km <= 200 WINDOW w AS (PARTITION BY id ORDER BY km, other)) SELECT id, other, CASE WHEN second IS NULL THEN 'alone' WHEN km * 1.5::DOUBLE <= second THEN 'clear' ELSE 'tied' END AS state FROM k WHERE k = 1"),
     "voronoi_assign": (voronoi_assign, f"WITH g AS (SELECT i AS id, -40.0::DOUBLE + (i // 40) * 0.25::DOUBLE AS lat, -76.0::DOUBLE + (i % 40) * 0.25::DOUBLE AS lng FROM range(1600) t(i)), {_STATIONS}, d AS (SELECT g.id, s.id AS other, {haversine_sql('g', 's')} AS km FROM g, s) SELECT id, other FROM d WHERE km <= 80 QUALIFY row_number() OVER (PARTITION BY id ORDER BY km, other) = 1"),
     "nn_distance_stats": (nn_distance_stats, f"WITH {_STATIONS}, d AS (SELECT a.id, min({haversine_sql('a', 'b')}) AS km FROM s a, s b WHERE a.id <> b.id GROUP BY a.id) SELECT {round_sql('min(km)', 6)} AS least, {round_sql('median(km)', 6)} AS middle, count(*) AS n FROM d WHERE km <= 600"),
-    "expanding_radius_nn": (expanding_radius_nn, f"WITH {_PS}, k AS (SELECT id, arg_min(other, (km, other)) AS other, min(km) AS km FROM d GROUP BY id) SELECT id, other, CASE WHEN km <= 25 THEN 50.0::DOUBLE WHEN km <= 50 THEN 100.0::DOUBLE WHEN km <= 100 THEN 200.0::DOUBLE ELSE 400.0::DOUBLE END AS tried FROM k WHERE km <= 200"),
+    "expanding_radius_nn": (expanding_radius_nn, f"WITH {_PS}, k AS (SELECT id, arg_min(other, (km, other)) AS other, min(km) AS km FROM d GROUP BY id) SELECT id, CASE WHEN km <= 200 THEN other END AS other, CASE WHEN km <= 25 THEN 50.0::DOUBLE WHEN km <= 50 THEN 100.0::DOUBLE WHEN km <= 100 THEN 200.0::DOUBLE WHEN km <= 200 THEN 400.0::DOUBLE END AS tried FROM k"),
     "anchorage_before": (anchorage_before, f"WITH {_PS} SELECT DISTINCT other AS id FROM d WHERE id % 10 <> 0 AND km < 30 AND other NOT IN (SELECT other FROM d WHERE id % 50 = 0 AND km <= 80)"),
     "overlap_pairs": (overlap_pairs, f"WITH {_SPANS_SQL} SELECT x.l_orderkey, x.id AS a, y.id AS b FROM i x JOIN i y ON x.l_orderkey = y.l_orderkey AND x.id < y.id AND x.lo < y.hi AND y.lo < x.hi WHERE x.lo < x.hi AND y.lo < y.hi"),
     "pairs_not_permitted": (pairs_not_permitted, f"WITH {_SPANS_SQL} SELECT x.l_orderkey, x.id AS a, y.id AS b FROM i x JOIN i y ON x.l_orderkey = y.l_orderkey AND x.id < y.id AND x.lo < y.hi AND y.lo < x.hi WHERE NOT EXISTS (SELECT 1 FROM lineitem z WHERE z.l_returnflag = 'R' AND z.l_orderkey = x.l_orderkey AND least(z.l_linenumber, 2) = x.id AND greatest(z.l_linenumber, 2) = y.id)"),
@@ -289,5 +295,5 @@ QUERIES = {
     "dilate_cells": (dilate_cells, f"WITH {_GRID_SQL}, s AS (SELECT r, c FROM g WHERE v >= 4990) SELECT x.i AS r, y.i AS c FROM range(64) x(i), range(64) y(i) WHERE EXISTS (SELECT 1 FROM s WHERE abs(s.r - x.i) <= 2 AND abs(s.c - y.i) <= 2)"),
     "local_width": (local_width, f"WITH {_GRID_SQL}, b AS (SELECT r, c FROM g WHERE v >= 4950), w AS (SELECT g.r, g.c, (SELECT max(b.c) FROM b WHERE b.r = g.r AND b.c < g.c) AS l, (SELECT min(b.c) FROM b WHERE b.r = g.r AND b.c > g.c) AS h FROM g WHERE v < 4950) SELECT r, c, h - l - 1 AS width FROM w WHERE l IS NOT NULL AND h IS NOT NULL"),
     "piecewise_cost": (piecewise_cost, f"WITH d AS (SELECT i AS id, i * 10.0::DOUBLE / 1852 AS m FROM range(8192) t(i)) SELECT id, {round_sql('CASE WHEN m <= 5 THEN 1.0::DOUBLE WHEN m <= 10 THEN 1 + 2 * (m - 5) / 5 WHEN m <= 20 THEN 3 + 5 * (m - 10) / 10 WHEN m <= 40 THEN 8 + 7 * (m - 20) / 20 ELSE 20 END', 6)} AS cost FROM d"),
-    "reachability": (reachability, f"WITH RECURSIVE {_GRID_SQL}, w AS (SELECT r, c FROM g WHERE v <= 4980), f(r, c, k) AS (SELECT r, c, 0 FROM w WHERE r = 1 AND c = 1 UNION SELECT w.r, w.c, f.k + 1 FROM f JOIN w ON abs(w.r - f.r) + abs(w.c - f.c) = 1 WHERE f.k < 8) SELECT DISTINCT r, c FROM f"),
+    "reachability": (reachability, f"WITH RECURSIVE {_GRID_SQL}, w AS (SELECT r, c FROM g WHERE v <= 4980), f(r, c) AS (SELECT r, c FROM w WHERE r = 1 AND c = 1 UNION SELECT w.r, w.c FROM f JOIN w ON abs(w.r - f.r) + abs(w.c - f.c) = 1) SELECT r, c FROM f"),
 }

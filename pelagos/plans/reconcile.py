@@ -109,10 +109,10 @@ def token_mention_join(spark, sf):
 
 
 def shared_vertex_pairs(spark, sf):
-    """Suppliers that share two parts or more."""
-    v = table(spark, sf, "lineitem").where("l_partkey % 20 = 0").select("l_suppkey", "l_partkey").distinct()
-    w = v.select(F.col("l_suppkey").alias("b"), "l_partkey")
-    return v.join(w, "l_partkey").where("l_suppkey < b").groupBy(F.col("l_suppkey").alias("a"), "b").agg(F.count("*").alias("n")).where("n >= 2")
+    """Suppliers that share two vertices or more: parts at a place in an order."""
+    v = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_linenumber").distinct()
+    w = v.withColumnRenamed("l_suppkey", "b")
+    return v.join(w, ["l_partkey", "l_linenumber"]).where("l_suppkey < b").groupBy(F.col("l_suppkey").alias("a"), "b").agg(F.count("*").alias("n")).where("n >= 2")
 
 
 def lateral_metrics(spark, sf):
@@ -177,10 +177,18 @@ def list_count_consistency(spark, sf):
 
 
 def quote_in_source(spark, sf):
-    """Benchmark items whose first forty characters stand in a document as they are."""
-    q = table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 40).alias("q"))
+    """Benchmark items of three words or more that stand in documents as they are.
+
+    What lies between blanks inside a quote lies between blanks in its source too: four such words in a row (one in
+    quotes of fewer than six) bring quote and source together, and the whole quote decides.
+    """
+    q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("q"), F.split("text", " ").alias("w")).where("size(w) >= 3")
+    q = q.withColumn("k", F.when(F.size("w") >= 6, 4).otherwise(1)).select("item_id", "q", "k", F.expr("xxhash64(k, slice(w, 2, k))").alias("h"))
     d = table(spark, sf, "documents").select("doc_id", "text")
-    return d.join(F.broadcast(q), F.contains("text", "q")).groupBy("item_id").agg(F.count("*").alias("documents"))
+    w = d.select("doc_id", F.split("text", " ").alias("w"))
+    at = lambda k: F.expr(f"CASE WHEN size(w) >= {k} THEN array_distinct(transform(sequence(1, size(w) - {k} + 1), i -> xxhash64({k}, slice(w, i, {k})))) END")
+    met = w.select("doc_id", F.explode(at(4)).alias("h")).union(w.select("doc_id", F.explode(at(1)).alias("h"))).join(q, "h").select("doc_id", "item_id", "q").distinct()
+    return met.join(d, "doc_id").where(F.contains("text", "q")).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
 def declared_state_audit(spark, sf):
@@ -222,7 +230,7 @@ QUERIES = {
     "token_mention_join": (token_mention_join, r"""WITH b AS (SELECT item_id, i, w FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS l FROM benchmark), LATERAL (SELECT unnest(l) AS w, generate_subscripts(l, 1) AS i)), f AS (SELECT item_id, w, min(i) AS i FROM b GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY min(i)) <= 3),
       d AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM documents), k AS (SELECT item_id, doc_id, count(*) AS k FROM f JOIN d USING (w) GROUP BY 1, 2), n AS (SELECT item_id, count(*) AS n FROM f GROUP BY 1)
       SELECT item_id, count(*) AS documents FROM k JOIN n USING (item_id) WHERE k = n GROUP BY 1"""),
-    "shared_vertex_pairs": (shared_vertex_pairs, "WITH v AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_partkey % 20 = 0) SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS n FROM v x JOIN v y ON x.l_partkey = y.l_partkey AND x.l_suppkey < y.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 2"),
+    "shared_vertex_pairs": (shared_vertex_pairs, "WITH v AS (SELECT DISTINCT l_suppkey, l_partkey, l_linenumber FROM lineitem) SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS n FROM v x JOIN v y ON x.l_partkey = y.l_partkey AND x.l_linenumber = y.l_linenumber AND x.l_suppkey < y.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 2"),
     "lateral_metrics": (lateral_metrics, "SELECT o_orderpriority, CAST(count(*) FILTER (WHERE l_quantity > 25) AS BIGINT) AS big, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1"),
     "controls_by_group": (controls_by_group, "SELECT n_name, count(s_suppkey) AS faults FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_acctbal < 0 GROUP BY 1"),
     "publication_gate": (publication_gate, "SELECT r_name, count(DISTINCT n_nationkey) AS nations, count(s_suppkey) AS suppliers, count(*) FILTER (WHERE s_acctbal < -900) AS bad, count(DISTINCT n_nationkey) >= 5 AND count(s_suppkey) > 0 AND count(*) FILTER (WHERE s_acctbal < -900) = 0 AS publish FROM region LEFT JOIN nation ON r_regionkey = n_regionkey LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1"),
@@ -231,7 +239,7 @@ QUERIES = {
     "attribution_states": (attribution_states, "SELECT CASE WHEN p_partkey % 11 = 0 THEN 'absent' WHEN p_partkey % 4 = 0 THEN 'no place' WHEN p_size * 4 > 100 THEN 'too far' WHEN p_partkey % 7 = 0 THEN 'undecided' ELSE 'attributed' END AS state, count(*) AS n FROM part GROUP BY 1"),
     "change_cause_decomposition": (change_cause_decomposition, "WITH o AS (SELECT o_custkey, year(o_orderdate) AS y, arg_max(o_orderpriority, o_orderkey) AS p, arg_max(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY 1, 2), a AS (SELECT * FROM o WHERE y = 1995), b AS (SELECT * FROM o WHERE y = 1996) SELECT CASE WHEN a.o_custkey IS NULL THEN 'new' WHEN b.o_custkey IS NULL THEN 'gone' WHEN a.p <> b.p AND a.s <> b.s THEN 'both' WHEN a.p <> b.p THEN 'text' WHEN a.s <> b.s THEN 'status' ELSE 'none' END AS cause, count(*) AS n FROM a FULL JOIN b ON a.o_custkey = b.o_custkey GROUP BY 1"),
     "list_count_consistency": (list_count_consistency, "WITH g AS (SELECT count(*) AS n, max(l_linenumber) AS said FROM lineitem GROUP BY l_orderkey) SELECT count(*) AS orders, count(*) FILTER (WHERE n = said) AS consistent FROM g"),
-    "quote_in_source": (quote_in_source, "SELECT item_id, count(*) AS documents FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40)) GROUP BY 1"),
+    "quote_in_source": (quote_in_source, "SELECT item_id, count(*) AS documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(string_split(b.text, ' ')) >= 3 GROUP BY 1"),
     "declared_state_audit": (declared_state_audit, "SELECT CASE WHEN quality IS NULL THEN 'undeclared' WHEN quality = 1 AND toxic = 1 THEN 'contradictory' WHEN n_chars < 300 THEN 'too short' ELSE 'holds' END AS state, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1"),
     "expectations": (expectations, "SELECT 'orders.key unique' AS name, count(*) AS broken FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'orders.customer known', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'customer has orders', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'customer.nation known', count(*) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation) UNION ALL SELECT 'orders.status closed', count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O')"),
 }

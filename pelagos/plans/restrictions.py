@@ -113,8 +113,11 @@ routes AS (SELECT *, rank > before AS raises, greatest(rank, before) AS worst, r
 
 
 def route_verdict(spark, sf):
-    r = _routes(spark, sf).groupBy("bay").agg(F.max("rank").alias("rank"), F.count("*").alias("n"), F.min(F.when(F.col("rank") == 2, F.col("nth"))).cast("bigint").alias("first_block"))
-    return r.select("bay", R.verdict(F.col("rank")).alias("verdict"), "n", "first_block")
+    """A route's worst verdict, its restrictions and the place of the first that blocks. Sums, so that no route meets in one task."""
+    rows = judged(spark, sf).where(F.trim("kind") == "TODOS").select("id", "bay", "rank")
+    blocked = rows.where("rank = 2").groupBy("bay").agg(F.min("id").alias("at"))
+    r = rows.join(blocked, "bay", "left").groupBy("bay").agg(F.max("rank").alias("rank"), F.count("*").alias("n"), F.count_if(F.col("id") <= F.col("at")).alias("k"))
+    return r.select("bay", R.verdict(F.col("rank")).alias("verdict"), "n", F.when(F.col("k") > 0, F.col("k")).alias("first_block"))
 
 
 def running_max_increase(spark, sf):

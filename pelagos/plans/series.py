@@ -166,8 +166,7 @@ def max_concurrency(spark, sf):
 
 
 def backoff_schedule(spark, sf):
-    e = _events(spark, sf).where("event_id % 50 = 0")
-    e = e.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    e = _events(spark, sf).withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(3))))
     return e.select("event_id", F.col("attempt").cast("bigint").alias("attempt"), (F.lit(2000) * F.pow(F.lit(2), F.col("attempt") - 1)).cast("bigint").alias("wait_ms"))
 
 
@@ -281,7 +280,7 @@ QUERIES = {
     "session_counts": (session_counts, f"WITH a AS (SELECT user_id, ts, event_id, CASE WHEN ts >= lag(ts) OVER {_ST} + INTERVAL 30 MINUTE OR lag(ts) OVER {_ST} IS NULL THEN 1 ELSE 0 END AS new FROM events), b AS (SELECT *, sum(new) OVER {_ST} AS s FROM a) SELECT user_id, min(ts) AS start, count(*) AS n FROM b GROUP BY user_id, s"),
     "ttl_dedup": (ttl_dedup, "WITH a AS (SELECT event_type, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS b FROM events) SELECT event_type, count(*) AS n FROM a WHERE b IS NULL OR ts > b + INTERVAL 6 HOUR GROUP BY 1"),
     "max_concurrency": (max_concurrency, "WITH e AS (SELECT event_type, ts, 1 AS d FROM events UNION ALL SELECT event_type, ts + INTERVAL 5 MINUTE, -1 FROM events), s AS (SELECT event_type, ts, sum(d) AS d FROM e GROUP BY 1, 2), o AS (SELECT event_type, sum(d) OVER (PARTITION BY event_type ORDER BY ts) AS o FROM s) SELECT event_type, max(o)::BIGINT AS most FROM o GROUP BY 1"),
-    "backoff_schedule": (backoff_schedule, "SELECT event_id, i AS attempt, CAST(2000 * power(2, i - 1) AS BIGINT) AS wait_ms FROM events, range(1, 4) r(i) WHERE event_id % 50 = 0"),
+    "backoff_schedule": (backoff_schedule, "SELECT event_id, i AS attempt, CAST(2000 * power(2, i - 1) AS BIGINT) AS wait_ms FROM events, range(1, 4) r(i)"),
     "json_field_counts": (json_field_counts, "WITH k AS (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) SELECT event_type, sum(k)::BIGINT AS total, count(*) FILTER (WHERE k IS NULL) AS missing FROM k GROUP BY 1"),
     "fuel_rate": (fuel_rate, f"SELECT s_suppkey, {round_sql('12.0::DOUBLE * power((4.0::DOUBLE + s_suppkey % 9) / 8, 3) * power(1 + (s_suppkey % 5) / 10.0::DOUBLE, 0.65::DOUBLE)', 6)} AS rate FROM supplier"),
     "eta_stepwise": (eta_stepwise, f"SELECT event_id, {round_sql('100 / (8.0::DOUBLE * ((CASE WHEN event_id % 40 > 25 THEN 0.7::DOUBLE WHEN event_id % 40 > 15 THEN 0.85::DOUBLE ELSE 1 END) * (CASE WHEN value / 10 > 15 THEN 0.9::DOUBLE ELSE 1 END)))', 6)} AS hours FROM events"),
