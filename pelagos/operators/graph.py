@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from pelagos.sources.scratch import written
 
@@ -39,3 +43,47 @@ def least_costs(edges: DataFrame, start: DataFrame, rounds: int) -> DataFrame:
         if same:
             break
     return known
+
+
+def _spread(rows: pd.DataFrame) -> pd.DataFrame:
+    """Least costs within one tile from the cells that have a cost."""
+    price = dict(zip(zip(rows["r"].tolist(), rows["c"].tolist(), strict=True), rows["w"].tolist(), strict=True))
+    best = {k: int(x) for k, x in zip(price, rows["cost"].tolist(), strict=True) if pd.notna(x)}
+    queue = [(x, *k) for k, x in best.items()]
+    heapq.heapify(queue)
+    while queue:
+        x, r, c = heapq.heappop(queue)
+        if x > best[r, c]:
+            continue
+        for k in ((r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+            if k in price and x + price[k] < best.get(k, 1 << 62):
+                best[k] = x + price[k]
+                heapq.heappush(queue, (best[k], *k))
+    return rows.assign(cost=pd.array([best.get(k) for k in price], dtype="Int64"))
+
+
+def grid_costs(cells: DataFrame, start: DataFrame, tile: int = 64) -> DataFrame:
+    """``r``, ``c``, ``cost`` of the cheapest way from ``start`` (``r``, ``c``) over cells (``r``, ``c``, ``w`` >= 0, whole numbers), eight steps to choose from, ``w`` the price of entering.
+
+    A task spreads costs within a tile; costs then cross to the tiles beside it, and those that are offered less
+    spread again, until none is. Rounds follow the tiles along a way, not its cells. Cells out of reach have no row.
+    """
+    at = lambda x: F.floor(F.col(x) / tile)
+    known = cells.select("r", "c", F.col("w").cast("long").alias("w"), F.lit(None).cast("long").alias("cost"), at("r").alias("tr"), at("c").alias("tc"))
+    offers = start.select("r", "c", F.lit(0).cast("long").alias("offer"))
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j))).alias("s")
+    while True:
+        better = F.col("offer").isNotNull() & (F.col("cost").isNull() | (F.col("offer") < F.col("cost")))
+        fresh = known.join(offers, ["r", "c"], "left").withColumn("better", better)
+        fresh = fresh.withColumn("cost", F.when(F.col("better"), F.col("offer")).otherwise(F.col("cost")))
+        fresh = fresh.withColumn("again", F.max("better").over(W.Window.partitionBy("tr", "tc"))).drop("offer", "better")
+        fresh = written(fresh, "offered")
+        if fresh.where("again").isEmpty():
+            return fresh.where("cost is not null").select("r", "c", "cost")
+        names = ["r", "c", "w", "cost", "tr", "tc"]
+        spread = fresh.where("again").select(*names).groupBy("tr", "tc").applyInPandas(_spread, known.schema)
+        known = written(spread.union(fresh.where("not again").select(*names)), "costs")
+        edge = known.where("cost is not null").where((F.pmod("r", F.lit(tile)).isin(0, tile - 1)) | (F.pmod("c", F.lit(tile)).isin(0, tile - 1)))
+        steps = edge.select("r", "c", "cost", "tr", "tc", around).select((F.col("r") + F.col("s.i")).alias("r"), (F.col("c") + F.col("s.j")).alias("c"), "cost", "tr", "tc")
+        over = steps.where((at("r") != F.col("tr")) | (at("c") != F.col("tc"))).groupBy("r", "c").agg(F.min("cost").alias("x"))
+        offers = over.join(cells.select("r", "c", F.col("w").cast("long").alias("w")), ["r", "c"]).select("r", "c", (F.col("x") + F.col("w")).alias("offer"))

@@ -44,13 +44,11 @@ def connected_components(spark, sf):
 
 
 def grid_shortest_cost(spark, sf):
-    """The cheapest way of at most three steps to cells of a grid, a cell's value being the price of entering it."""
-    g = _grid(spark, sf).select((F.col("r") * 64 + F.col("c")).alias("id"), "r", "c", "v")
-    step = F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b))).alias("s")
-    e = g.select(F.col("id").alias("a"), "r", "c", step).select("a", (F.col("r") + F.col("s.dr")).alias("r"), (F.col("c") + F.col("s.dc")).alias("c")).where("r between 0 and 63 and c between 0 and 63")
-    e = e.join(g.select("r", "c", F.col("id").alias("b"), (F.col("v") / 100.0).alias("w")), ["r", "c"]).select("a", "b", "w")
-    out = graph.least_costs(e, spark.range(1).select((F.col("id") + 650).alias("node")), 3)
-    return out.select("node", half_up(F.col("cost"), 6).alias("cost"))
+    """The cheapest way from one cell of a grid to every cell that can be reached, a cell's value being the price of entering it."""
+    g = _grid(spark, sf).select("r", "c", F.col("v").alias("w"))
+    start = spark.range(1).select(F.lit(10).cast("bigint").alias("r"), F.lit(10).cast("bigint").alias("c"))
+    out = graph.grid_costs(g, start, 32)
+    return out.select((F.col("r") * 64 + F.col("c")).alias("node"), half_up(F.col("cost") / 100.0, 6).alias("cost"))
 
 
 def channels_crossed(spark, sf):
@@ -76,7 +74,10 @@ QUERIES = {
     "stream_tumbling_counts": (stream_tumbling_counts, "WITH d AS (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT start::TIMESTAMP AS start, event_type, n FROM d WHERE start + INTERVAL 3 DAY <= (SELECT max(ts) FROM events)"),
     "stream_rate_limit": (stream_rate_limit, None),
     "connected_components": (connected_components, f"WITH RECURSIVE {_STATIONS}, l AS (SELECT a.id AS a, b.id AS b FROM s a, s b WHERE {haversine_sql('a', 'b')} <= 60), r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a AS node, min(b) AS root FROM r GROUP BY 1"),
-    "grid_shortest_cost": (grid_shortest_cost, f"WITH RECURSIVE {_GRID_SQL}, f(r, c, cost, k) AS (SELECT 10, 10, 0.0::DOUBLE, 0 UNION SELECT g.r, g.c, f.cost + g.v / 100.0::DOUBLE, f.k + 1 FROM f JOIN g ON abs(g.r - f.r) <= 1 AND abs(g.c - f.c) <= 1 AND (g.r <> f.r OR g.c <> f.c) WHERE f.k < 3) SELECT (r * 64 + c)::BIGINT AS node, min(cost) AS cost FROM f GROUP BY 1"),
+    "grid_shortest_cost": (grid_shortest_cost, f"""WITH RECURSIVE {_GRID_SQL}, o AS (SELECT i.i, j.i AS j FROM range(-1, 2) i(i), range(-1, 2) j(i) WHERE i.i <> 0 OR j.i <> 0),
+      f(r, c, cost) USING KEY (r, c) AS (SELECT r, c, 0::BIGINT FROM g WHERE r = 10 AND c = 10 UNION
+        SELECT r, c, n.cost FROM (SELECT g.r, g.c, min(f.cost + g.v)::BIGINT AS cost FROM f, o, g WHERE g.r = f.r + o.i AND g.c = f.c + o.j GROUP BY 1, 2) n LEFT JOIN recurring.f k USING (r, c) WHERE k.cost IS NULL OR n.cost < k.cost)
+      SELECT (r * 64 + c)::BIGINT AS node, cost / 100.0::DOUBLE AS cost FROM f"""),
     "channels_crossed": (channels_crossed, f"""WITH {_LEGS_SQL}, x AS (SELECT s_suppkey, lng AS ax, lat AS ay, lng2 - lng AS dx, lat2 - lat AS dy, px, py FROM legs, (VALUES (-72.0::DOUBLE, -30.0::DOUBLE), (-72.0::DOUBLE, -31.0::DOUBLE), (-72.5::DOUBLE, -32.0::DOUBLE)) v(px, py)),
       t AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE greatest(0, least(1, ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy))) END AS t FROM x),
       d AS (SELECT s_suppkey, {round_sql('min(sqrt(power(px - ax - t * dx, 2) + power(py - ay - t * dy, 2)))', 6)} AS d FROM t GROUP BY 1) SELECT s_suppkey, d FROM d WHERE d <= 0.5"""),

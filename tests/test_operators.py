@@ -7,8 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pelagos.functions import num, text
-from pelagos.operators import graph, sequential, spatial
+from pelagos.functions import num, scope, text
+from pelagos.operators import graph, ranking, sequential, spatial
+from pelagos.sources import readers
 from pelagos.streaming import counts
 
 
@@ -112,3 +113,64 @@ def test_numbers(spark):
     df = spark.createDataFrame([(" 7 ",), ("",), (None,), ("x",), ("1.5",)], "t string")
     assert [r[0] for r in df.select(num.tolerant_number(F.col("t"))).collect()] == [7.0, None, None, None, 1.5]
     assert [r[0] for r in spark.createDataFrame([(-0.5,), (0.5,), (2.45,)], "x double").select(num.half_up(F.col("x"))).collect()] == [0.0, 1.0, 2.0]
+
+
+# Texts of closures and whom they reach.
+@pytest.mark.parametrize("said,want", [
+    ("Puerto cerrado para EE.MM. de 25 AB dentro", ("limit", 25, "AB")), ("CERRADO PARA 50 AB", ("limit", 50, "AB")), ("Para naves menores, cerrado", (None, None, None)),
+    ("Cerrado para todo tipo de embarcaciones menores", ("minors", None, None)), ("Cerrado para naves mayores y menores de 12 TRG", ("unsummed", None, None)),
+    ("Puerto cerrado para EE MM menores de 25 AB; y para menores de 30 A.B.", ("limit", 30, "AB")), ("CIERRE PARA 12 TRG Y PARA 12 AB", ("unsummed", None, None)),
+    ("CERRAZON DE NIEBLA PARA NAVES MENORES", (None, None, None)), ("Cerrado para naves y embarcaciones", ("total", None, None)), ("cerrado por viento con naves superiores a 25 AB", (None, None, None)),
+    ("", (None, None, None)), (None, (None, None, None)), ("Cerrado para menores y para menores de 10 AB", ("minors", None, None)),
+])
+def test_closure_scopes(spark, said, want):
+    df = spark.createDataFrame([(said,)], "t string").select(scope.parts(F.col("t")).alias("p"))
+    assert tuple(df.select(scope.union(F.col("p")).alias("s")).select("s.*").first()) == want
+
+
+@pytest.mark.parametrize("tile", [3, 8, 100])
+def test_grid_costs(spark, tile):
+    import heapq
+
+    rng = random.Random(tile)
+    cells = {(r, c): rng.randint(0, 9) for r in range(-5, 20) for c in range(20) if rng.random() < 0.8} | {(2, 2): 1, (50, 50): 1}
+    best, queue = {(2, 2): 0}, [(0, 2, 2)]
+    while queue:
+        x, r, c = heapq.heappop(queue)
+        for k in ((r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+            if k in cells and x + cells[k] < best.get(k, 1 << 30):
+                best[k] = x + cells[k]
+                heapq.heappush(queue, (best[k], *k))
+    df = spark.createDataFrame([(*k, w) for k, w in cells.items()], "r long, c long, w long").repartition(3)
+    got = graph.grid_costs(df, spark.createDataFrame([(2, 2)], "r long, c long"), tile).collect()
+    assert {(r["r"], r["c"]): r["cost"] for r in got} == best and (50, 50) not in best
+
+
+def test_places_in_an_order(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, 1, 2, 3])) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, x long").repartition(5)
+    got = {r["id"]: r["place"] for r in ranking.ranked(df, [F.desc_nulls_last("x"), F.asc("id")], "place").collect()}
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {r[0]: k + 1 for k, r in enumerate(want)}
+    assert ranking.ranked(df.limit(0), [F.asc("id")], "place").collect() == []
+
+
+def test_distances_across_the_date_line(spark):
+    a = spark.createDataFrame([(1, -20.0, 179.9), (2, -20.0, -179.95)], "id long, lat double, lng double")
+    b = spark.createDataFrame([(7, -20.0, -179.9), (8, -20.0, 179.8), (9, -20.0, 0.0)], "id long, lat double, lng double")
+    got = {(r["id"], r["other"]) for r in spatial.radius_join(a, b, 40.0).collect()}
+    assert got == {(x, y) for x, p in ((1, (-20.0, 179.9)), (2, (-20.0, -179.95))) for y, q in ((7, (-20.0, -179.9)), (8, (-20.0, 179.8)), (9, (-20.0, 0.0))) if haversine(p, q) <= 40}
+    assert (1, 7) in got and (2, 8) in got
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,lon\ncount,degrees\n1,200.5\n2,-70\n3,\n", encoding="utf-8")
+    got = readers.csv_with_units(spark, str(tmp_path / "a.csv"), "id long, lon double").select("id", readers.west(F.col("lon"))).collect()
+    assert [tuple(r) for r in got] == [(1, -159.5), (2, -70.0), (3, None)]
+    (tmp_path / "b.csv").write_text('﻿name,note\n"a ""b"", c","two\nlines"\nx,\n', encoding="utf-8")
+    assert [tuple(r) for r in readers.quoted_csv(spark, str(tmp_path / "b.csv"), "name string, note string").collect()] == [('a "b", c', "two\nlines"), ("x", None)]
+    (tmp_path / "c.json").write_text('{"recordsets": [[{"id": 1}, {"id": 2}], []]}\n{"recordsets": []}\nbroken\n', encoding="utf-8")
+    assert [r["id"] for r in readers.json_records(spark, str(tmp_path / "c.json"), "struct<id:long>").collect()] == [1, 2]
+    flat = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 5.0],), ([],)], "x array<double>").select(readers.points_of(F.col("x")).alias("p")).collect()
+    assert [[tuple(p) for p in r["p"] or []] for r in flat] == [[(1.0, 2.0), (3.0, 4.0)], []]
