@@ -60,6 +60,18 @@ def test_classifier_without_labels(spark):
     assert quality.classify(docs.limit(0), labels)[0].collect() == []
 
 
+def test_sample_is_shared_by_languages(spark):
+    """What small languages leave of the bound goes to the others."""
+    texts = [(i, "w" * 100, "big") for i in range(900)] + [(1000 + i, "w" * 100, "also") for i in range(900)] + [(2000 + i, "w" * 100, f"rare{i}") for i in range(20)] + [(3000, "w" * 100, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "1 quality", "0 toxic")
+    fitted, held = quality.split_trusted(docs, labels, 60_000)
+    by = Counter(r["lang"] for r in fitted.collect())
+    assert 10_000 < 100 * sum(n for k, n in by.items() if (k or "rare").startswith("rare")) + 9_000 and 20_000 < 100 * by["big"] < 36_000 and 20_000 < 100 * by["also"] < 36_000
+    assert not {r["doc_id"] for r in fitted.collect()} & {r["doc_id"] for r in held.collect()}
+    assert quality.split_trusted(docs, labels, 10**9)[0].count() == fitted.sparkSession.createDataFrame(texts, docs.schema).count() - held.count()
+
+
 def brute_kn(texts, docs):
     """Interpolated modified Kneser-Ney as defined, in dictionaries."""
     import math
