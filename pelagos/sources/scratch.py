@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where ``spark.checkpoint.dir`` is unset, as in tests on one machine.
+#: Used only where ``spark.checkpoint.dir`` is unset and Spark runs in one process, as in tests.
 LOCAL = "/tmp/checkpoints"
 
 
 def path(spark: SparkSession, name: str) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or LOCAL
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
+        top = LOCAL
     return f"{top.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
