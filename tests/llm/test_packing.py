@@ -71,3 +71,42 @@ def test_crossover_improves_on_plain_best_fit(seed):
     counts = np.bincount(np.random.default_rng(seed).integers(200, 700, 400), minlength=1025).astype(np.int64)
     best = packing.evolve(counts, [], seed)
     assert packing.quality(best) <= packing.quality(packing.fill(counts))
+
+
+def test_ids_are_those_of_the_tokenizer_file():
+    """All texts of a table, both tokenizers."""
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    mine = packing.ByteTokenizer(packing.default_tokenizer())
+    whole = Tokenizer.from_file(packing.default_tokenizer()).encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert all(mine.ids(t or "") == e.ids for t, e in zip(texts, whole, strict=True))
+
+
+def best_of_all(lengths, size):
+    """The fewest sequences, by trying all."""
+    best = len(lengths)
+
+    def place(i, gaps):
+        nonlocal best
+        if len(gaps) >= best:
+            return
+        if i == len(lengths):
+            best = len(gaps)
+            return
+        for k in {g: k for k, g in enumerate(gaps) if g >= lengths[i]}.values():
+            place(i + 1, [g - lengths[i] * (j == k) for j, g in enumerate(gaps)])
+        place(i + 1, [*gaps, size - lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_small_packings_are_the_best_there_are():
+    rng = np.random.default_rng(4)
+    worse = 0
+    for _ in range(30):
+        lengths = sorted(rng.integers(1, 20, 9).tolist(), reverse=True)
+        counts = np.bincount(lengths, minlength=21)
+        worse += packing.sequences(packing.evolve(counts, [], 1, 20)) - best_of_all(lengths, 20)
+    assert worse == 0

@@ -278,3 +278,25 @@ def test_repeated_lines_and_late_keys(spark):
     assert len(set(want.values())) == 6
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(docs).collect()} == want
+
+
+@pytest.mark.parametrize("n", [65_535, 65_536, 65_537, 140_000])
+def test_fingerprints_of_very_long_texts(n):
+    rng = random.Random(n)
+    few = [rng.getrandbits(64) for _ in range(7)]
+    hashes = [few[i % 7] for i in range(n)]
+    want = sum(1 << b for b in range(64) if 2 * sum((h >> b & 1) * (n // 7 + (i < n % 7)) for i, h in enumerate(few)) > n)
+    assert simhash.majority(hashes) == want
+    words = " ".join(f"w{i % 5000}" for i in range(n)).encode()
+    assert len(simhash.shingle_hashes(words, 5)) == n - 4
+
+
+def test_digests_that_collide_drop_no_text(spark, monkeypatch):
+    """Texts whose sets share one 64-bit name but not the whole digest are not merged."""
+    import xxhash
+
+    real = xxhash.xxh3_128_intdigest
+    monkeypatch.setattr(simhash.xxhash, "xxh3_128_intdigest", lambda b: (real(b) >> 64 << 64) | 7)
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(40))) for i in range(5)], "doc_id long, text string")
+    assert simhash.near_duplicate_stage(spark, docs.coalesce(1), "").count() == 5
