@@ -19,7 +19,9 @@ STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 #: One text in so many is sampled for common shingles, those in so many of its texts count as common, and so many are kept.
 SAMPLE, SAMPLE_COMMON, MOST_COMMON = 16, 8, 200_000
 #: Rounds of hubs end when the members of crowded blocks that are still apart have so many pairs for each member of any block.
-HUB_WORK = 50
+HUB_WORK = 100
+#: Members of a crowded block first meet so many others, picked by hashes: one each is alike to most of a family.
+HUBS = 4
 #: A set's hashes are counted in so many parts of their range.
 PARTS = 512
 
@@ -196,7 +198,7 @@ def _prefix(held: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarr
 
 
 def _sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``doc_id``, ``_th``, and of the text's set of shingles ``_node`` and ``_check`` (halves of its digest), ``_n`` (its size) and, null but for the first row of a task that has the set, ``_keys`` (its prefix) and ``_parts`` (how many hashes lie in each part of their range, a byte each; null where one has more)."""
+    """``doc_id``, ``_th``, and of the text's set of shingles ``_node`` and ``_check`` (halves of its digest), ``_n`` (its size) and, null but for the first row of a task that has the set, ``_keys`` (its prefix), ``_parts`` (how many hashes lie in each part of their range, a byte each; null where one has more) and ``_bits`` (in which of 512 parts of another order any lies)."""
     plain = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_t"))
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
 
@@ -204,9 +206,9 @@ def _sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
         seen: set[int] = set()
         for b in batches:
             known: dict[bytes, tuple[int, int, int]] = {}
-            out, keys, parts = [], [], []
+            out, keys, parts, bits = [], [], [], []
             for t in binary_column(b, "_t"):
-                prefix = part = None
+                prefix = part = bit = None
                 if t not in known:
                     held = np.unique(np.array(shingle_hashes(t, shingle), dtype=np.uint64))
                     digest = xxhash.xxh3_128_intdigest(held.tobytes())
@@ -216,15 +218,17 @@ def _sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                         prefix = _prefix(held, common.value, similarity).view(np.int64)
                         counts = np.bincount((held >> np.uint64(32)).astype(np.int64) * PARTS >> 32, minlength=PARTS)
                         part = counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+                        bit = np.packbits(np.bincount((held & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS) > 0).view(np.int64)
                 out.append(known[t])
                 keys.append(prefix)
                 parts.append(part)
+                bits.append(bit)
             node, check = (pa.array(np.array([x[i] for x in out], dtype=np.uint64).view(np.int64)) for i in (0, 1))
-            cols = [pa.array([x[2] for x in out], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(parts, pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, check, *cols], names=["doc_id", "_th", "_node", "_check", "_n", "_keys", "_parts"])
+            cols = [pa.array([x[2] for x in out], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(parts, pa.binary()), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, check, *cols], names=["doc_id", "_th", "_node", "_check", "_n", "_keys", "_parts", "_bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return plain.mapInArrow(run, f"doc_id {kind}, _th long, _node long, _check long, _n int, _keys array<bigint>, _parts binary")
+    return plain.mapInArrow(run, f"doc_id {kind}, _th long, _node long, _check long, _n int, _keys array<bigint>, _parts binary, _bits array<bigint>")
 
 
 def _needed(a: Column, b: Column, similarity: float) -> Column:
@@ -295,7 +299,7 @@ def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: flo
     one 64-bit name, the rows of one of them stay out of all groups.
 
     A block of more than ``block_limit`` nodes is not paired off at once, as in a family of copies nearly all pairs
-    are alike: its members meet a hub, which joins most of them. Two members of one component need not meet any
+    are alike: its members meet a few hubs, which joins most of them. Two members of one component need not meet any
     more, so only members outside their block's largest component then meet all the others: no pair of different
     components is left out, and the components are those of all pairs.
     """
@@ -314,6 +318,11 @@ def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: flo
         # at the first shingle that both have, no more than it and what follows can be shared
         return F.least(a["n"] - a["p"], b["n"] - b["p"]) >= _needed(a["n"], b["n"], similarity)
 
+    def still(a: Column, b: Column) -> Column:
+        # every part that one set has and the other has not holds a hash that they do not share
+        apart = lambda x, y: sum((F.bit_count(x["bits"][i].bitwiseAND(F.bitwise_not(y["bits"][i]))) for i in range(PARTS // 64)), F.lit(0))
+        return F.least(a["x"]["n"] - apart(a, b), b["x"]["n"] - apart(b, a)) >= _needed(a["x"]["n"], b["x"]["n"], similarity)
+
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.where("a.t <> b.t").where(may(F.col("a"), F.col("b"))).select(F.least("a.t", "b.t").alias("a"), F.greatest("a.t", "b.t").alias("b"))
 
@@ -321,13 +330,20 @@ def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: flo
     meeting = (F.col("l.key") == F.col("r.key")) & (F.col("l.x.t") < F.col("r.x.t")) & may(F.col("l.x"), F.col("r.x"))
     pairs = few.alias("l").join(few.alias("r"), meeting).select(F.col("l.x.t").alias("a"), F.col("r.x.t").alias("b"))
     large = met.where(F.col("n") > block_limit)
-    hubs = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("x.t").alias("h"), "x")).alias("hub"))
-    starred = ordered(large.join(hubs, "key").select(F.col("hub.x").alias("a"), F.col("x").alias("b")))
+
+    def hubs_of(members: DataFrame, seed: int, *also: str) -> DataFrame:
+        picked = [F.min(F.struct(F.xxhash64("x.t", F.lit(seed + i)).alias("h"), "x", *also)).alias(f"hub{i}") for i in range(HUBS)]
+        found = members.groupBy("key").agg(*picked)
+        return found.select("key", F.explode(F.array_distinct(F.array(*(F.struct(f"hub{i}.x", *(f"hub{i}.{c}" for c in also)) for i in range(HUBS))))).alias("hub"))
+
+    starred = ordered(large.join(hubs_of(large, 0), "key").select(F.col("hub.x").alias("a"), F.col("x").alias("b")))
     links = _alike(docs, nodes, parts, stored(pairs.union(starred).distinct(), "pairs"), shingle, similarity)
     room, before = HUB_WORK * met.count(), None
+    bits = stored(rows.where("_keys is not null").select("_node", F.col("_bits").alias("bits")).dropDuplicates(["_node"]), "bits")
     while True:
         roots = stored(connected_components(links), "roots")
-        at = large.join(roots, F.col("x.t") == F.col("node"), "left").select("key", "x", "n", F.coalesce("root", "x.t").alias("root"))
+        named = bits.join(roots, F.col("_node") == F.col("node"), "left").select("_node", "bits", F.coalesce("root", "_node").alias("root"))
+        at = large.join(named, F.col("x.t") == F.col("_node")).select("key", "x", "n", "root", "bits")
         major = at.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("major"))
         others = stored(at.join(major, "key").where(F.col("root") != F.col("major.root")).drop("major"), "others")
         work = others.agg(F.sum("n")).first()[0]
@@ -335,11 +351,11 @@ def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: flo
             break
         last = work <= room or (before is not None and 2 * work > before)
         if last:
-            rest = others.alias("l").join(at.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root")) & may(F.col("l.x"), F.col("r.x")))
+            l, r = ({"x": F.col(f"{c}.x"), "bits": F.col(f"{c}.bits")} for c in "lr")
+            rest = others.alias("l").join(at.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root")) & may(l["x"], r["x"]) & still(l, r))
             rest = rest.select(F.col("l.x").alias("a"), F.col("r.x").alias("b"))
         else:
-            hubs = others.groupBy("key").agg(F.min(F.struct(F.xxhash64("x.t", F.lit(work)).alias("h"), "x", "root")).alias("hub"))
-            rest = at.join(hubs, "key").where(F.col("root") != F.col("hub.root")).select(F.col("hub.x").alias("a"), F.col("x").alias("b"))
+            rest = at.join(hubs_of(others, work, "root"), "key").where(F.col("root") != F.col("hub.root")).select(F.col("hub.x").alias("a"), F.col("x").alias("b"))
         links = stored(links.union(_alike(docs, nodes, parts, stored(ordered(rest).distinct(), "more-pairs"), shingle, similarity)), "links")
         before = work
         if last:

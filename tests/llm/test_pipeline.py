@@ -235,16 +235,16 @@ def similar_components(texts):
     return {i: root(i) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("limit,work", [(64, 0), (2, 0), (2, 50)])
-def test_crowded_blocks_lose_no_pair(spark, monkeypatch, limit, work):
-    # 100 texts share a notice that makes up most of them; pairs of them are near copies of each other only
+@pytest.mark.parametrize("limit,work,shared,own", [(64, 0, 90, 60), (2, 0, 90, 60), (2, 50, 90, 60), (2, 50, 240, 60), (16, 0, 250, 45)])
+def test_crowded_blocks_lose_no_pair(spark, monkeypatch, limit, work, shared, own):
+    # 100 texts share a notice that makes up 60 to 85 % of them; pairs of them are near copies of each other only
     monkeypatch.setattr(simhash, "HUB_WORK", work)
-    rng = random.Random(limit + work)
+    rng = random.Random(limit + work + shared)
     say = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
-    notice, texts = say(90), []
+    notice, texts = say(shared), []
     for _ in range(50):
-        own = say(60)
-        texts += [" ".join(notice + own), " ".join(notice + own[:-2] + say(2))]
+        mine = say(own)
+        texts += [" ".join(notice + mine), " ".join(notice + mine[:-2] + say(2))]
     want = similar_components(texts)
     assert len(set(want.values())) == 50
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
