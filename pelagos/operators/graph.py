@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -12,13 +13,35 @@ from pyspark.sql import window as W
 from pelagos.sources.scratch import written
 
 
+def _stars(batches):
+    """Links of one task as links to the smallest node that they reach within the task: at most one a node."""
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            top.setdefault(a, a)
+            top.setdefault(b, b)
+            x, y = (root(n) for n in (a, b))
+            top[max(x, y)] = min(x, y)
+    nodes = list(top)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """``node``, ``root`` (the smallest node reachable) of all nodes with a link (``a``, ``b``).
+    """``node``, ``root`` (the smallest node reachable) of all nodes with a link (``a``, ``b``: whole numbers).
 
-    A round takes the least label of the neighbours and then the label's own label, so rounds follow the
-    logarithm of a component's width.
+    First each task joins what its own links join. A round then takes the least label of the neighbours and the
+    label's own label, so rounds follow the logarithm of a component's width.
     """
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    near = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null")
+    stars = written(near.mapInArrow(_stars, "a long, b long"), "stars")
+    both = written(stars.union(stars.select("b", "a")).distinct(), "links")
     labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"), "labels")
     before = None
     while True:

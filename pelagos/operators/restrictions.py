@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -16,10 +18,17 @@ def verdict(rank: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, RANKS)), rank.cast("int") + 1)
 
 
+def read_once(rows: DataFrame, text: str, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with the columns that ``read`` adds to a table of their different texts: notices repeat from capture to capture, and reading them is what costs."""
+    texts = rows.select(F.col(text).alias("_read")).distinct()
+    found = read(texts.withColumn(text, F.col("_read"))).drop(text)
+    return rows.join(found, F.col(text).eqNullSafe(F.col("_read"))).drop("_read")
+
+
 def normalized(feed: DataFrame) -> DataFrame:
     """``feed`` with what its texts say: condition, whom it affects, thresholds, area."""
-    obs, motive, who = (T.normalize(F.col(c)) for c in ("observation", "motive", "receives"))
-    out = T.with_thresholds(feed.withColumns({"obs": obs, "mot": motive, "who": who}), "obs")
+    out = read_once(feed, "observation", lambda t: T.with_thresholds(t.withColumn("obs", T.normalize(F.col("observation"))), "obs"))
+    out = out.withColumns({"mot": T.normalize(F.col("motive")), "who": T.normalize(F.col("receives"))})
     ships = F.col("obs").contains("TODO TIPO DE NAVES")
     return out.withColumns({
         "condition": T.condition(F.col("obs"), F.col("mot")),

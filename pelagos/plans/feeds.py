@@ -9,6 +9,7 @@ from pyspark.sql import window as W
 from pelagos.functions import scope, tide
 from pelagos.functions.num import half_up
 from pelagos.functions.text import normalize
+from pelagos.operators.restrictions import read_once
 from pelagos.plans.base import lat, lat_sql, lng, lng_sql, round_sql, table
 from pelagos.sources import readers
 from pelagos.sources.scratch import path
@@ -49,8 +50,9 @@ def closure_scope(spark, sf):
     n = (F.col("o_custkey") % 90 + 1).cast("string")
     kinds = F.array(*(F.lit(t[0]) for t in _CLOSURES))
     text = F.replace(F.element_at(kinds, (F.col("o_orderkey") % len(_CLOSURES) + 1).cast("int")), F.lit("{}"), n)
-    o = table(spark, sf, "orders").select("o_orderkey", scope.parts(text).alias("found"))
-    return o.select("o_orderkey", scope.union(F.col("found")).alias("s")).select("o_orderkey", "s.kind", "s.limit", "s.unit")
+    o = table(spark, sf, "orders").select("o_orderkey", text.alias("text"))
+    read = read_once(o, "text", lambda t: t.withColumn("found", scope.parts(F.col("text"))).withColumn("s", scope.union(F.col("found"))))
+    return read.select("o_orderkey", "s").select("o_orderkey", "s.kind", "s.limit", "s.unit")
 
 
 def _closure_sql() -> str:
