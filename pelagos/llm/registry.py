@@ -16,6 +16,7 @@ from .simhash import op9_simhash_near_dedup
 from .substring import op7_substring_dedup
 from .toxicity import op3_toxicity
 from .warc import OP4_SQL, op4_warc
+from .whitening import op13_embedding_whitening
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": op8_html_extraction,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op13_embedding_whitening": op13_embedding_whitening,
         "pipeline": pipeline,
     }
 
