@@ -12,6 +12,7 @@ from .html_extraction import op8_html_extraction
 from .lm_scoring import op5_lm_scoring
 from .packing import op10_best_fit_packing
 from .quality import op1_quality_classifier
+from .ranked_search import OP11_SQL, op11_ranked_search
 from .simhash import op9_simhash_near_dedup
 from .substring import op7_substring_dedup
 from .toxicity import op3_toxicity
@@ -37,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": op8_html_extraction,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_ranked_search": op11_ranked_search,
         "op13_embedding_whitening": op13_embedding_whitening,
         "pipeline": pipeline,
     }
@@ -45,4 +47,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_warc": OP4_SQL,
+        "op11_ranked_search": OP11_SQL,
     }
