@@ -10,6 +10,7 @@ from .decontaminate import op2_decontamination
 from .gif import op6_gif_media
 from .html_extraction import op8_html_extraction
 from .lm_scoring import op5_lm_scoring
+from .ngram_join import op12_ngram_join
 from .packing import op10_best_fit_packing
 from .quality import op1_quality_classifier
 from .ranked_search import OP11_SQL, op11_ranked_search
@@ -39,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_ranked_search": op11_ranked_search,
+        "op12_ngram_join": op12_ngram_join,
         "op13_embedding_whitening": op13_embedding_whitening,
         "pipeline": pipeline,
     }
