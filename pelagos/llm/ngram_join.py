@@ -319,24 +319,35 @@ def _to_hubs(members: DataFrame, hubs: DataFrame, percent: int, seed: int) -> Da
 
 
 class Sets:
-    """The sets of nodes that have been candidates, read from their first texts."""
+    """The sets of nodes that have been candidates, each read once from its first text."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int):
-        self.docs, self.nodes, self.shingle, self.percent = docs, nodes, shingle, percent
+        self.docs, self.nodes, self.shingle, self.percent, self.held = docs, nodes, shingle, percent, None
 
     def read(self, wanted: DataFrame) -> DataFrame:
         """``node``, ``hashes`` (sorted, as bytes) of each node in ``wanted``."""
-        rows = stored(wanted.select("node").distinct().join(self.nodes.select("node", F.col("row.doc_id").alias("_first"), F.col("row._th").alias("_text")), "node"), "wanted")
+        nodes = wanted.select("node").distinct()
+        missing = nodes if self.held is None else nodes.join(self.held.select("node"), "node", "left_anti")
+        rows = stored(missing.join(self.nodes.select("node", F.col("row.doc_id").alias("_first"), F.col("row._th").alias("_text")), "node"), "wanted")
         plain = self.docs.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"), F.col("text").cast("binary").alias("t"))
         texts = plain.join(small(rows), (F.col("_t") == F.col("_text")) & F.col("_d").eqNullSafe(F.col("_first"))).select("node", "t")
         shingle = self.shingle
 
         def run(batches):
+            seen: set[int] = set()
             for b in batches:
-                sets = [s.tobytes() for s in sets_of(binary_column(b, "t"), shingle)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "hashes"])
-
-        return stored(texts.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"]), "sets")
+                names = b.column(0).to_pylist()
+                new = [i for i, node in enumerate(names) if node not in seen and not seen.add(node)]
+                sets = [s.tobytes() for s in sets_of([b.column(1)[i].as_py() for i in new], shingle)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(new, pa.int64())), pa.array(sets, pa.binary())], names=["node", "hashes"])
+
+        if not rows.isEmpty():
+            found = stored(texts.mapInArrow(run, "node long, hashes binary"), "sets")
+            n, different = found.agg(F.count("node"), F.count_distinct("node")).first()
+            if n > different:  # a row of the table that several tasks have read
+                found = stored(found.dropDuplicates(["node"]), "sets")
+            self.held = found if self.held is None else self.held.union(found)
+        return self.held.join(small(stored(nodes, "asked")), "node", "left_semi")
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """``pairs`` whose sets do not differ in too many parities: each parity that differs stands for a shingle that is not shared."""
@@ -346,9 +357,13 @@ class Sets:
         apart = sum((F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(PARITY // 64)), F.lit(0))
         return stored(both.where(apart * (100 + self.percent) <= (F.col("na") + F.col("nb")) * (100 - self.percent)).select("a", "b"), "pairs")
 
-    def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def links(self, pairs: DataFrame) -> DataFrame:
         """``pairs`` that have the similarity, decided on whole sets."""
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+        if pairs.isEmpty():
+            return pairs
+        x = self.read(pairs.select(F.col("a").alias("node"))).select(F.col("node").alias("a"), F.col("hashes").alias("x"))
+        y = self.read(pairs.select(F.col("b").alias("node"))).select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+        both = x.join(small(pairs), "a").join(y, "b")
         percent = self.percent
 
         def run(batches):
@@ -391,15 +406,13 @@ def ngram_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     order = Order(*_frequent(docs, rows, shingle))
     held = Sets(docs, nodes, shingle, percent)
     keyed = stored(_keyed_texts(docs, shingle, Scheme(percent), order), "keyed")
-    links = sets = roots = None
+    links = roots = None
     for level in range(LEVELS + 1):
         blocks = _blocks(keyed)
         crowded = blocks.where(F.col("m") > block_limit)
         first = _pairs_of(blocks.where(F.col("m") <= block_limit), percent).union(_to_hubs(crowded, crowded, percent, 0)).distinct()
         pairs = held.possible(first)
-        if sets is None:
-            sets = held.read(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")))
-        found = held.links(pairs, sets)
+        found = held.links(pairs)
         links = found if links is None else links.union(found)
         members, before, seed = crowded.count(), None, 0
         while True:
@@ -416,15 +429,14 @@ def ngram_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
                 break
             before, seed = work, seed + HUBS
             more = held.possible(_to_hubs(at, at.where("other"), percent, seed))
-            links = stored(links.union(held.links(more, sets)), "links")
+            links = stored(links.union(held.links(more)), "links")
         if not work:
             break
         if work <= pairs_each * members or level == LEVELS:
             more = held.possible(_pairs_of(at, percent, apart=True))
-            roots = stored(connected_components(stored(links.union(held.links(more, sets)), "links")), "roots")
+            roots = stored(connected_components(stored(links.union(held.links(more)), "links")), "roots")
             break
-        left = sets.join(at.select("node").distinct(), "node", "left_semi")
-        keyed = stored(_keyed_sets(left, Scheme(percent, level + 1), order), "keyed")
+        keyed = stored(_keyed_sets(held.read(at), Scheme(percent, level + 1), order), "keyed")
     rooted = nodes.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("node", "check", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("node", F.col("check").alias("_check"), "component_id")
