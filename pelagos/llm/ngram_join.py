@@ -32,7 +32,7 @@ PARITY = 512
 #: Nodes of a block that are paired off at once; hubs that the members of larger ones meet in a round.
 BLOCK_LIMIT, HUBS = 16, 4
 #: Pairs for each member of a block that are paired off, and how often combinations grow before what is left is.
-PAIRS_EACH, LEVELS = 50, 2
+PAIRS_EACH, LEVELS = 1000, 2
 TEXT_BYTES = 1 << 20
 _ALL = (1 << 64) - 1
 
@@ -299,13 +299,19 @@ def _alike(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _parities(x: Column, y: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether sets can be alike by their parities: each that differs stands for a shingle that is not shared."""
+    apart = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(PARITY // 64)), F.lit(0))
+    return apart * (100 + percent) <= (n + m) * (100 - percent)
+
+
 def _pairs_of(blocks: DataFrame, percent: int, *, apart: bool = False) -> DataFrame:
     """Pairs ``a`` < ``b`` of a block: a node in the index prefix with a longer one or one as long. ``apart``: of different components only, one not of the major one."""
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     left = F.least(l("n") - l("p"), r("n") - r("p")) * (100 + percent) >= (l("n") + r("n")) * percent
     on = (l("key") == r("key")) & l("index") & (l("n") <= r("n")) & (l("node") != r("node")) & _alike(l("n"), r("n"), percent) & left
     if apart:
-        on = on & (l("root") != r("root")) & (l("other") | r("other"))
+        on = on & (l("root") != r("root")) & (l("other") | r("other")) & _parities(l("bits"), r("bits"), l("n"), r("n"), percent)
     pairs = blocks.alias("l").join(blocks.alias("r"), on)
     return pairs.select(F.least(l("node"), r("node")).alias("a"), F.greatest(l("node"), r("node")).alias("b")).distinct()
 
@@ -350,12 +356,11 @@ class Sets:
         return self.held.join(small(stored(nodes, "asked")), "node", "left_semi")
 
     def possible(self, pairs: DataFrame) -> DataFrame:
-        """``pairs`` whose sets do not differ in too many parities: each parity that differs stands for a shingle that is not shared."""
+        """``pairs`` whose sets do not differ in too many parities."""
         held = self.nodes.select("node", "n", "bits")
         both = pairs.join(held.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
         both = both.join(held.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
-        apart = sum((F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(PARITY // 64)), F.lit(0))
-        return stored(both.where(apart * (100 + self.percent) <= (F.col("na") + F.col("nb")) * (100 - self.percent)).select("a", "b"), "pairs")
+        return stored(both.where(_parities(F.col("ba"), F.col("bb"), F.col("na"), F.col("nb"), self.percent)).select("a", "b"), "pairs")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """``pairs`` that have the similarity, decided on whole sets."""
@@ -433,7 +438,8 @@ def ngram_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
         if not work:
             break
         if work <= pairs_each * members or level == LEVELS:
-            more = held.possible(_pairs_of(at, percent, apart=True))
+            at = at.join(nodes.select("node", "bits"), "node")
+            more = stored(_pairs_of(at, percent, apart=True), "pairs")
             roots = stored(connected_components(stored(links.union(held.links(more)), "links")), "roots")
             break
         keyed = stored(_keyed_sets(held.read(at), Scheme(percent, level + 1), order), "keyed")
