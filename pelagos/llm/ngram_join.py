@@ -34,6 +34,8 @@ BLOCK_LIMIT, HUBS = 16, 4
 #: Pairs for each member of a block that are paired off, and how often combinations grow before what is left is.
 PAIRS_EACH, LEVELS = 1000, 2
 TEXT_BYTES = 1 << 20
+#: Sets of one bucket, in bytes, and the least number of buckets: two of them meet in one task.
+BUCKET_BYTES, LEAST_BUCKETS = 16_000_000, 8
 _ALL = (1 << 64) - 1
 
 
@@ -363,25 +365,29 @@ class Sets:
         return stored(both.where(_parities(F.col("ba"), F.col("bb"), F.col("na"), F.col("nb"), self.percent)).select("a", "b"), "pairs")
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """``pairs`` that have the similarity, decided on whole sets."""
-        if pairs.isEmpty():
-            return pairs
-        x = self.read(pairs.select(F.col("a").alias("node"))).select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-        y = self.read(pairs.select(F.col("b").alias("node"))).select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-        both = x.join(small(pairs), "a").join(y, "b")
+        """``pairs`` that have the similarity, decided on whole sets.
+
+        Nodes are dealt into buckets of about ``BUCKET_BYTES`` of sets; pairs of two buckets meet in one group, which gets each of its sets once.
+        """
+        sets = self.read(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+        size = sets.select("node").join(self.nodes.select("node", "n"), "node").agg(F.sum("n")).first()[0] or 0
+        buckets = max(LEAST_BUCKETS, -(-8 * size // BUCKET_BYTES))
+        of = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
+        dealt = pairs.withColumn("cell", of("a") * buckets + of("b"))
+        places = dealt.select("cell", F.col("a").alias("node")).union(dealt.select("cell", "b")).distinct()
         percent = self.percent
 
-        def run(batches):
-            for b in batches:
-                keep = []
-                for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-                keep = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
-
-        return stored(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+        def decide(some: pa.Table, held: pa.Table) -> pa.Table:
+            at = {node: np.frombuffer(x, np.uint64) for node, x in zip(held.column("node").to_pylist(), held.column("hashes").to_pylist(), strict=True)}
+            keep = []
+            for a, b in zip(some.column("a").to_pylist(), some.column("b").to_pylist(), strict=True):
+                x, y = at[a], at[b]
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            return some.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        sent = sets.join(places, "node").select("cell", "node", "hashes")
+        return stored(dealt.groupBy("cell").cogroup(sent.groupBy("cell")).applyInArrow(decide, "a long, b long"), "links")
 
 
 def ngram_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_limit: int = BLOCK_LIMIT, pairs_each: int = PAIRS_EACH) -> DataFrame:
