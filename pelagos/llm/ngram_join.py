@@ -384,10 +384,11 @@ class Sets:
                 x, y = at[a], at[b]
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            return some.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            return some.select([1, 2]).filter(pa.array(keep, pa.bool_()))
 
         sent = sets.join(places, "node").select("cell", "node", "hashes")
-        return stored(dealt.groupBy("cell").cogroup(sent.groupBy("cell")).applyInArrow(decide, "a long, b long"), "links")
+        met = dealt.select(F.col("cell").alias("met"), "a", "b")
+        return stored(met.groupBy("met").cogroup(sent.groupBy("cell")).applyInArrow(decide, "a long, b long"), "links")
 
 
 def ngram_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_limit: int = BLOCK_LIMIT, pairs_each: int = PAIRS_EACH) -> DataFrame:
