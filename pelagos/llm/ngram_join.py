@@ -29,6 +29,8 @@ GROUP = 4
 CHOICES = 500
 #: Bits of a set's parity sketch.
 PARITY = 512
+#: Bits of the sketch by which pairs of larger sets are told apart before the sets are sent.
+WIDE = 8192
 #: Nodes of a block that are paired off at once; hubs that the members of larger ones meet in a round.
 BLOCK_LIMIT, HUBS = 16, 4
 #: Pairs for each member of a block that are paired off, and how often combinations grow before what is left is.
@@ -58,6 +60,11 @@ def sets_of(texts: list[bytes], shingle: int) -> list[np.ndarray]:
     return out
 
 
+def _parity(held: np.ndarray, bits: int) -> np.ndarray:
+    """Packed parities of how many hashes lie in each of ``bits`` parts."""
+    return np.packbits(np.bincount((held & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1)
+
+
 class Scheme:
     """Which tokens or combinations of tokens a set is indexed under.
 
@@ -158,7 +165,7 @@ def _rows(docs: DataFrame, shingle: int) -> DataFrame:
             kind = b.column(0).type
             sets = sets_of(binary_column(b, "t"), shingle)
             digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-            bits = [np.packbits(np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).view(np.int64) for s in sets]
+            bits = [_parity(s, PARITY).view(np.int64) for s in sets]
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
             cells += np.bincount((flat >> np.uint64(44)).astype(np.int64), minlength=CELLS).astype(np.uint32)
             nothing = pa.nulls(b.num_rows)
@@ -346,11 +353,12 @@ class Sets:
             for b in batches:
                 names = b.column(0).to_pylist()
                 new = [i for i, node in enumerate(names) if node not in seen and not seen.add(node)]
-                sets = [s.tobytes() for s in sets_of([b.column(1)[i].as_py() for i in new], shingle)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(new, pa.int64())), pa.array(sets, pa.binary())], names=["node", "hashes"])
+                sets = sets_of([b.column(1)[i].as_py() for i in new], shingle)
+                cols = [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_parity(s, WIDE).tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(new, pa.int64())), *cols], names=["node", "hashes", "wide"])
 
         if not rows.isEmpty():
-            found = stored(texts.mapInArrow(run, "node long, hashes binary"), "sets")
+            found = stored(texts.mapInArrow(run, "node long, hashes binary, wide binary"), "sets")
             n, different = found.agg(F.count("node"), F.count_distinct("node")).first()
             if n > different:  # a row of the table that several tasks have read
                 found = stored(found.dropDuplicates(["node"]), "sets")
@@ -364,17 +372,37 @@ class Sets:
         both = both.join(held.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
         return stored(both.where(_parities(F.col("ba"), F.col("bb"), F.col("na"), F.col("nb"), self.percent)).select("a", "b"), "pairs")
 
+    def _near(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """``pairs`` without those of sets larger than a short sketch tells apart that a wide one does."""
+        sized = self.nodes.select("node", "n")
+        both = pairs.join(sized.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sized.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+        both = stored(both, "sized")
+        large = both.where(F.col("na") + F.col("nb") > PARITY)
+        x, y = (sets.select(F.col("node").alias(c), F.col("wide").alias("w" + c)) for c in "ab")
+        percent = self.percent
+
+        def run(batches):
+            for b in batches:
+                u, v = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (4, 5))
+                apart = np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64)
+                keep = pa.array(apart * (100 + percent) <= (b.column(2).to_numpy() + b.column(3).to_numpy()) * (100 - percent))
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+
+        told = x.join(small(large), "a").join(y, "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long")
+        return stored(both.where(F.col("na") + F.col("nb") <= PARITY).select("a", "b").union(told), "near")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """``pairs`` that have the similarity, decided on whole sets.
 
         Nodes are dealt into buckets of about ``BUCKET_BYTES`` of sets; pairs of two buckets meet in one group, which gets each of its sets once.
         """
         sets = self.read(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+        pairs = self._near(pairs, sets)
         size = sets.select("node").join(self.nodes.select("node", "n"), "node").agg(F.sum("n")).first()[0] or 0
         buckets = max(LEAST_BUCKETS, -(-8 * size // BUCKET_BYTES))
         of = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
         dealt = pairs.withColumn("cell", of("a") * buckets + of("b"))
-        places = dealt.select("cell", F.col("a").alias("node")).union(dealt.select("cell", "b")).distinct()
+        places = small(stored(dealt.select("cell", F.col("a").alias("node")).union(dealt.select("cell", "b")).distinct(), "places"))
         percent = self.percent
 
         def decide(some: pa.Table, held: pa.Table) -> pa.Table:
