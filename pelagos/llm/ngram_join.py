@@ -315,12 +315,17 @@ def _parities(x: Column, y: Column, n: Column, m: Column, percent: int) -> Colum
 
 
 def _pairs_of(blocks: DataFrame, percent: int, *, apart: bool = False) -> DataFrame:
-    """Pairs ``a`` < ``b`` of a block: a node in the index prefix with a longer one or one as long. ``apart``: of different components only, one not of the major one."""
+    """Pairs ``a`` < ``b`` of a block: a node in the index prefix with a longer one or one as long.
+
+    ``apart``: of different components only, one not of the major one, each where its first common key is.
+    """
     l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
-    left = F.least(l("n") - l("p"), r("n") - r("p")) * (100 + percent) >= (l("n") + r("n")) * percent
-    on = (l("key") == r("key")) & l("index") & (l("n") <= r("n")) & (l("node") != r("node")) & _alike(l("n"), r("n"), percent) & left
+    on = (l("key") == r("key")) & l("index") & (l("n") <= r("n")) & (l("node") != r("node")) & _alike(l("n"), r("n"), percent)
     if apart:
         on = on & (l("root") != r("root")) & (l("other") | r("other")) & _parities(l("bits"), r("bits"), l("n"), r("n"), percent)
+        on = on & (l("key") == F.array_min(F.array_intersect(l("index_keys"), r("keys"))))
+    else:
+        on = on & (F.least(l("n") - l("p"), r("n") - r("p")) * (100 + percent) >= (l("n") + r("n")) * percent)
     pairs = blocks.alias("l").join(blocks.alias("r"), on)
     return pairs.select(F.least(l("node"), r("node")).alias("a"), F.greatest(l("node"), r("node")).alias("b")).distinct()
 
@@ -396,6 +401,8 @@ class Sets:
 
         Nodes are dealt into buckets of about ``BUCKET_BYTES`` of sets; pairs of two buckets meet in one group, which gets each of its sets once.
         """
+        if pairs.isEmpty():
+            return pairs
         sets = self.read(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
         pairs = self._near(pairs, sets)
         size = sets.select("node").join(self.nodes.select("node", "n"), "node").agg(F.sum("n")).first()[0] or 0
@@ -473,7 +480,8 @@ def ngram_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
         if not work:
             break
         if work <= pairs_each * members or level == LEVELS:
-            at = at.join(nodes.select("node", "bits"), "node")
+            of_node = at.groupBy("node").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("index"), F.col("key"))).alias("index_keys"))
+            at = stored(at.join(of_node, "node").join(nodes.select("node", "bits"), "node"), "apart")
             more = stored(_pairs_of(at, percent, apart=True), "pairs")
             roots = stored(connected_components(stored(links.union(held.links(more)), "links")), "roots")
             break
