@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pelagos.plans import catalogues, checks, extraction, feeds, places, reconcile, restrictions, series, stateful
+from pelagos.plans import catalogues, checks, extraction, feeds, places, rasters, reconcile, restrictions, series, stateful
 
-_MODULES = [restrictions, catalogues, places, series, reconcile, extraction, stateful, checks, feeds]
+_MODULES = [restrictions, catalogues, places, series, reconcile, extraction, stateful, checks, feeds, rasters]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
