@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .storage import stored, table
 
-#: A class is valid from so many different pages of a host and so many tokens on; a text in a class takes more pages, as few may agree by chance.
-LEAST_PAGES, LEAST_TOKENS, TEXT_PAGES = 3, 2, 8
+#: A class is valid from so many different pages of a host and so many tokens on.
+LEAST_PAGES, LEAST_TOKENS = 3, 2
 #: The article's element holds such a share of its pages' text; a text on so large a share of a host's pages is template.
 MOST = 0.5
 
@@ -251,7 +251,7 @@ def _slots(page: Page, top: Element, links: bool, skip: set[int] | frozenset[int
 def main_text(page: Page, fixed: set[int] | frozenset[int] = frozenset(), articles: set[int] | frozenset[int] = frozenset()) -> str:
     """The text of the slots that make the article.
 
-    ``fixed``: texts of the host's template, which are no slots, unless nothing else is left. ``articles``: the
+    ``fixed``: texts of the host's template, which are no slots, unless they lie in a marked main part or nothing else is left. ``articles``: the
     template's elements that hold most of their pages' text; the innermost on the page is the article, unless a main
     part is marked that lies elsewhere, or within or around it. Without either it is what the page's text lies in
     for the most part, without lists of links.
@@ -263,7 +263,8 @@ def main_text(page: Page, fixed: set[int] | frozenset[int] = frozenset(), articl
             size = sum(len(b.text) for b in _slots(page, m, True, fixed))
             if size and (m.main, size) > best:
                 best, top = (m.main, size), m
-    if top is None:
+    marked = top is not None
+    if not marked:
         sums, top, links = page.sums(fixed), whole, False
         for e in page.elements:
             size = sums[e.last] - sums[e.first]
@@ -277,7 +278,8 @@ def main_text(page: Page, fixed: set[int] | frozenset[int] = frozenset(), articl
         heads = {id(e.parent): e for e in reversed(page.elements) if e.tag in ("h1", "h2") and not e.out}
         if top.parent is not None and top.parent.tag in SECTIONS - {"body"} and id(top.parent) in heads and heads[id(top.parent)].last <= top.first:
             top = top.parent  # with its heading
-    for skip in (fixed, frozenset()):
+    # what a marked article repeats of others is its text all the same
+    for skip in (frozenset(),) if marked else (fixed, frozenset()):
         kept = _slots(page, top, links, skip)
         if kept:
             break
@@ -357,7 +359,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_tokens: int
     """
     found = stored(templates(pages, least_pages, least_tokens), "html-templates")
     hosts = found.where("token = 0").select("host", F.col("pages").alias("of"))
-    text = F.col("text") & ((F.col("pages") >= MOST * F.col("of")) | (F.col("pages") >= TEXT_PAGES) & F.col("class").isNotNull())
+    text = F.col("text") & (F.col("pages") >= MOST * F.col("of"))
     parts = found.join(hosts, "host").where(text | F.col("article")).groupBy("host").agg(
         F.collect_list(F.when(F.col("text"), F.col("token"))).alias("fixed"), F.collect_list(F.when(F.col("article"), F.col("token"))).alias("articles")
     )

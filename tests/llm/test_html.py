@@ -92,7 +92,7 @@ def test_neutral_names(spark):
 
 def test_generated_pages(spark):
     """The test pages mark their articles: all their text, and nothing else, comes out."""
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     texts = {r["page_id"]: r["text"] for r in hx.extract(pages).collect()}
     for r in pages.collect():
         body = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
