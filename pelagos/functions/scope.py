@@ -61,17 +61,21 @@ def _phrase(says: Column) -> Column:
 
 
 def union(found: Column) -> Column:
-    """One struct ``kind``, ``limit``, ``unit`` for all parts: null without parts, ``unsummed`` where they have no common measure.
+    """One struct ``kind``, ``limit``, ``unit`` for all parts, folded in their order: null without parts, ``unsummed`` from the first pair on that has no sum.
 
-    Total takes in all, majors and minors together are total, minors take in any limit, limits of one unit sum to
-    the highest; units are not converted.
+    Total takes in all, majors and minors are total, minors take in a limit, limits of one unit are the higher one;
+    units are not converted, and majors have no sum with a limit. Majors alone are no result either.
     """
-    has = lambda k: F.exists(found, lambda x: x["kind"] == k)
-    units = F.array_distinct(F.transform(F.filter(found, lambda x: x["kind"] == "limit"), lambda x: x["unit"]))
-    most = F.array_max(F.transform(found, lambda x: x["limit"]))
-    kind = (
-        F.when(F.size(found) == 0, None).when(has("total") | has("majors") & has("minors"), "total").when(has("majors") & has("limit"), "unsummed")
-        .when(has("majors"), "majors").when(has("minors"), "minors").when(F.size(units) > 1, "unsummed").otherwise("limit")
-    )
-    one = kind == "limit"
-    return F.struct(kind.alias("kind"), F.when(one, most).alias("limit"), F.when(one, F.element_at(units, 1)).alias("unit"))
+    struct = lambda k, n=None, u=None: F.struct(k.alias("kind"), (F.lit(None).cast("bigint") if n is None else n).alias("limit"), (F.lit(None).cast("string") if u is None else u).alias("unit"))
+    none, total, unsummed = (struct(F.lit(k).cast("string")) for k in (None, "total", "unsummed"))
+
+    def add(s: Column, x: Column) -> Column:
+        either = lambda k: (s["kind"] == k) | (x["kind"] == k)
+        return (
+            F.when(s["kind"].isNull(), x).when(s["kind"] == "unsummed", s).when(either("total"), total)
+            .when((s["kind"] == "limit") & (x["kind"] == "limit"), F.when(s["unit"] != x["unit"], unsummed).when(s["limit"] >= x["limit"], s).otherwise(x))
+            .when(s["kind"] == x["kind"], s).when(either("majors") & either("minors"), total)
+            .when(either("minors") & either("limit"), F.when(s["kind"] == "minors", s).otherwise(x)).otherwise(unsummed)
+        )
+
+    return F.aggregate(found, none, add, lambda s: F.when(s["kind"] == "majors", unsummed).otherwise(s))

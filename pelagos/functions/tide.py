@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 # Coefficients of mean longitudes in degrees by powers of Julian centuries since 2000.
 LONGITUDES = {
     "s": (218.3164591, 481267.88134236, -0.0013268, 1 / 538841.0 - 1 / 65194000.0),
@@ -74,3 +79,20 @@ def steps(seconds: str) -> list[dict[str, str]]:
     for name, (a, b) in COMPOUNDS.items():
         more |= {f"v_{name}": _turn(f"v_{a} + v_{b}"), f"fa_{name}": f"(fa_{a} * fa_{b})", f"ua_{name}": f"(ua_{a} + ua_{b})"}
     return [*node, last, more]
+
+
+def arguments(times: DataFrame, seconds: str) -> DataFrame:
+    """``times`` with ``v_``, ``fa_`` and ``ua_`` (argument, node factor, node phase) of every constituent and what leads to them; columns of ``times`` must not have the names of ``steps``."""
+    for step in steps(seconds):
+        times = times.selectExpr("*", *(f"{x} AS {n}" for n, x in step.items()))
+    return times
+
+
+def heights(times: DataFrame, seconds: str, mean: float, harmonics: Iterable[tuple[str, float, float]]) -> DataFrame:
+    """``times`` with ``height``: the mean level plus each constituent's (name, amplitude, phase lag) share at its time."""
+    part = lambda n, a, g: F.lit(a) * F.col(f"fa_{n}") * F.cos(F.radians(F.col(f"v_{n}") + F.col(f"ua_{n}") - F.lit(g)))
+    total = F.lit(mean)
+    for h in harmonics:
+        total = total + part(*h)
+    row = times.select(F.struct(*times.columns).alias("_row"), F.col(seconds).alias("_seconds"))  # columns of any name
+    return arguments(row, "_seconds").select("_row.*", total.alias("height"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -20,8 +21,7 @@ W_ = W.Window
 def tide_arguments(spark: SparkSession, sf: str) -> DataFrame:
     """Equilibrium argument, node factor and node phase of thirteen constituents at every event."""
     e = table(spark, sf, "events").select("event_id", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("seconds"))
-    for step in tide.steps("seconds"):
-        e = e.selectExpr("*", *(f"{x} AS {n}" for n, x in step.items()))
+    e = tide.arguments(e, "seconds")
     names = [*tide.CONSTITUENTS, *tide.COMPOUNDS]
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"v_{n}").alias("v"), F.col(f"fa_{n}").alias("f"), F.col(f"ua_{n}").alias("u")) for n in names))).alias("x")
     return e.select("event_id", each).select("event_id", "x.name", half_up(F.col("x.v"), 6).alias("v"), half_up(F.col("x.f"), 6).alias("f"), half_up(F.col("x.u"), 6).alias("u"))
@@ -135,12 +135,22 @@ def features_concat(spark, sf):
 def independent_layers(spark, sf):
     """Layers of a map counted apart; a layer that cannot be read is empty and says so."""
     out = None
-    for name, key in (("supplier", "s_suppkey"), ("customer", "c_custkey"), ("part", "p_partkey"), ("charts", None)):
-        one = spark.range(1).select(F.lit(name).alias("layer"), F.lit(None).cast("bigint").alias("n"), F.lit("missing").alias("state")) if key is None else table(spark, sf, name).agg(F.count(key).alias("n")).select(F.lit(name).alias("layer"), "n", F.lit("ok").alias("state"))
+    for name in ("supplier", "customer", "part", "charts"):
+        try:
+            one = table(spark, sf, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("layer"), "n", F.lit("ok").alias("state"))
+        except AnalysisException:
+            one = spark.range(1).select(F.lit(name).alias("layer"), F.lit(None).cast("bigint").alias("n"), F.lit("missing").alias("state"))
         out = one if out is None else out.union(one)
     return out
 
 
+def cascading_source(spark, sf):
+    """Coast pieces from the first of several sources that can be read: one is missing, one is empty, the third has rows."""
+    read = lambda name, rule="true": lambda: table(spark, sf, name).where(rule)
+    name, rows, failed = readers.first_readable([("charts", read("charts")), ("orders", read("orders", "o_orderkey < 0")), ("supplier", read("supplier")), ("customer", read("customer"))])
+    return rows.select(F.col("s_suppkey").alias("id"), F.lit(name).alias("source"), F.lit(len(failed)).cast("bigint").alias("passed_over"))
+
+
 def datum_label(spark, sf):
     """The datum that a text declares; local ones and those not known are rejected."""
     kinds = F.array(*map(F.lit, ("Coordenadas Geográficas (WGS-84)", "Datum: SAD 69", "Dátum (Local)", "Datum SIRGAS (WGS 84)", "sin etiqueta", "Datum: PSAD-56")))
@@ -161,11 +171,11 @@ def grid_extents(spark, sf):
 
 
 def hour_index(spark, sf):
-    """Of a day's readings the one of the current hour, or the last that there is."""
-    e = table(spark, sf, "events").select("user_id", "event_id", "value", F.hour("ts").alias("now"))
-    hours = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("x"), F.max(F.struct("event_id", "now"))["now"].alias("now"))
-    at = F.least(F.col("now"), F.size("x") - 1) + 1
-    return hours.select("user_id", half_up(F.element_at("x", at.cast("int"))["value"], 6).alias("value"))
+    """Of a user's readings of a day the one of the current hour, or the last that there is; the hour is that of the day's last reading."""
+    day = W_.partitionBy("user_id", "day")
+    e = table(spark, sf, "events").select("user_id", F.to_date("ts").alias("day"), "event_id", "value", F.hour("ts").alias("now"))
+    e = e.withColumns({"i": F.row_number().over(day.orderBy("event_id")) - 1, "n": F.count("*").over(day), "at": F.max(F.struct("event_id", "now")).over(day)["now"]})
+    return e.where(F.col("i") == F.least(F.col("at"), F.col("n") - 1)).select("user_id", "day", half_up(F.col("value"), 6).alias("value"))
 
 
 def override_with_fallback(spark, sf):
@@ -190,7 +200,7 @@ def csv_units_scan(spark, sf):
     head = spark.createDataFrame([("id,lon,level",), ("count,degrees_east,mm",)], "value string")
     to = path(spark, "csv-units")
     head.union(s).write.text(to)
-    read = readers.csv_with_units(spark, to, "id bigint, lon double, level double")
+    read = readers.csv_with_units(spark, to, "id bigint, lon double, level double", "count,degrees_east,mm")
     return read.select("id", readers.west(F.col("lon")).alias("lon"), "level")
 
 
@@ -245,7 +255,8 @@ QUERIES = {
     "independent_layers": (independent_layers, "SELECT 'supplier' AS layer, (SELECT count(*) FROM supplier) AS n, 'ok' AS state UNION ALL SELECT 'customer', (SELECT count(*) FROM customer), 'ok' UNION ALL SELECT 'part', (SELECT count(*) FROM part), 'ok' UNION ALL SELECT 'charts', NULL, 'missing'"),
     "datum_label": (datum_label, "SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN 'WGS84' WHEN 1 THEN 'SAD69' WHEN 2 THEN 'LOCAL' WHEN 3 THEN 'WGS84' WHEN 5 THEN 'PSAD56' END AS datum, CASE s_suppkey % 6 WHEN 0 THEN 'as it is' WHEN 1 THEN 'shift' WHEN 3 THEN 'as it is' WHEN 4 THEN 'assumed' ELSE 'rejected' END AS state FROM supplier"),
     "grid_extents": (grid_extents, f"WITH c AS (SELECT c_nationkey, {lng_sql('c_custkey')} * 111320.0::DOUBLE AS x, {lat_sql('c_custkey')} * 111320.0::DOUBLE AS y FROM customer), g AS (SELECT c_nationkey, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2 FROM c GROUP BY 1), h AS (SELECT *, (floor(x1 / 50) * 50)::BIGINT AS ox, (ceil(y2 / 50) * 50)::BIGINT AS oy FROM g) SELECT c_nationkey, ox, oy, ceil((x2 - ox) / 50)::BIGINT AS cols, ceil((oy - y1) / 50)::BIGINT AS rows FROM h"),
-    "hour_index": (hour_index, f"WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, last_value(hour(ts)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS now FROM events) SELECT user_id, {round_sql('value', 6)} AS value FROM e WHERE i = least(now, n - 1)"),
+    "cascading_source": (cascading_source, "SELECT s_suppkey AS id, 'supplier' AS source, 2::BIGINT AS passed_over FROM supplier"),
+    "hour_index": (hour_index, f"WITH e AS (SELECT *, ts::DATE AS day, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY user_id, ts::DATE) AS n, last_value(hour(ts)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS now FROM events WINDOW w AS (PARTITION BY user_id, ts::DATE ORDER BY event_id)) SELECT user_id, day, {round_sql('value', 6)} AS value FROM e WHERE i = least(now, n - 1)"),
     "override_with_fallback": (override_with_fallback, f"WITH s AS (SELECT s_suppkey, {lat_sql('s_suppkey')} < -41 AS south, s_acctbal / 1000 AS u, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal / 2000 END AS u2 FROM supplier LEFT JOIN customer ON s_suppkey = c_custkey) SELECT s_suppkey, CASE WHEN south AND u2 IS NOT NULL THEN {round_sql('u2', 2)} ELSE {round_sql('u', 2)} END AS u, CASE WHEN south AND u2 IS NOT NULL THEN 'second' WHEN south THEN 'fallback' ELSE 'first' END AS source FROM s"),
     "flat_array_points": (flat_array_points, "SELECT s_suppkey, -70.0::DOUBLE - i AS lng, -30.0::DOUBLE - i * 2 AS lat FROM supplier, range(4) r(i) WHERE i <= s_suppkey % 4"),
     "csv_units_scan": (csv_units_scan, "SELECT s_suppkey AS id, (CASE WHEN s_suppkey % 360 > 180 THEN s_suppkey % 360 - 360 ELSE s_suppkey % 360 END)::DOUBLE AS lon, round(s_acctbal, 2) AS level FROM supplier"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from pelagos.functions import tide
 from pelagos.functions.num import half_up
 from pelagos.plans.base import round_sql, table
 from pelagos.plans.places import _LEGS_SQL, _legs
@@ -123,15 +124,25 @@ def fit_r2(spark, sf):
 
 
 # Amplitudes in millimetres, speeds in degrees an hour and phases of five constituents.
-_TIDE = (("M2", 620.0, 28.9841042, 110.0), ("S2", 210.0, 30.0, 140.0), ("N2", 130.0, 28.4397295, 95.0), ("K1", 150.0, 15.0410686, 30.0), ("O1", 100.0, 13.9430356, 350.0))
+
+
+#: Amplitudes in millimetres and phases in degrees of an open coast: constituent, amplitude, phase.
+_HARMONICS = (("M2", 410.0, 12.0), ("S2", 150.0, 35.0), ("N2", 95.0, 350.0), ("K2", 41.0, 33.0), ("K1", 160.0, 210.0), ("O1", 105.0, 170.0), ("P1", 52.0, 208.0), ("Q1", 21.0, 150.0), ("M4", 9.0, 80.0), ("MS4", 6.0, 110.0), ("SSA", 30.0, 20.0))
 
 
 def tide_height(spark, sf):
-    """Mean level and the sum of the constituents' cosines."""
-    e = _events(spark, sf).withColumn("h", _micros() / 3.6e9)
-    e = e.withColumn("h", F.col("h") - F.floor(F.col("h") / 10000) * 10000)
-    total = reduce(lambda a, c: a + c[1] * F.cos(F.radians(F.lit(c[2]) * F.col("h") - c[3])), _TIDE, F.lit(900.0))
-    return e.select("event_id", half_up(total, 3).alias("mm"))
+    """Mean level and the sum of the constituents' amplitudes by node factor and the cosine of argument, node phase and phase lag."""
+    e = table(spark, sf, "events").select("event_id", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("seconds"))
+    return tide.heights(e, "seconds", 900.0, _HARMONICS).select("event_id", half_up(F.col("height"), 3).alias("mm"))
+
+
+def _height_sql() -> str:
+    inner = "SELECT event_id, floor(epoch_us(ts) / 1000000.0::DOUBLE)::BIGINT AS seconds FROM events"
+    for step in tide.steps("seconds"):
+        inner = f"SELECT *, {', '.join(f'{x} AS {n}' for n, x in step.items())} FROM ({inner})"
+    each = ", ".join(f"('{n}', {a}::DOUBLE, {g}::DOUBLE)" for n, a, g in _HARMONICS)
+    rows = " UNION ALL ".join(f"SELECT event_id, '{n}' AS name, v_{n} AS v, fa_{n} AS f, ua_{n} AS u FROM a" for n, _, _ in _HARMONICS)
+    return f"WITH a AS ({inner}), e AS ({rows}), h(name, amplitude, lag) AS (VALUES {each}) SELECT event_id, {round_sql('900 + sum(amplitude * f * cos(radians(v + u - lag)))', 3)} AS mm FROM e JOIN h USING (name) GROUP BY event_id"
 
 
 def tumbling_counts(spark, sf):
@@ -274,7 +285,7 @@ QUERIES = {
     "time_grid": (time_grid, "WITH a AS (SELECT event_type, date_trunc('hour', min(ts)) AS a FROM events GROUP BY 1) SELECT event_type, unnest(generate_series(a, a + INTERVAL 30 HOUR, INTERVAL 30 MINUTE)) AS ts FROM a"),
     "best_sensor": (best_sensor, "WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT user_id, event_type FROM n QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) = 1"),
     "fit_r2": (fit_r2, f"SELECT l_returnflag, {round_sql('regr_r2(l_extendedprice, l_quantity)', 6)} AS r2 FROM lineitem GROUP BY 1"),
-    "tide_height": (tide_height, "WITH h AS (SELECT event_id, epoch_us(ts) / 3.6e9 AS x FROM events), m AS (SELECT event_id, x - floor(x / 10000) * 10000 AS h FROM h) SELECT event_id, " + round_sql("900.0::DOUBLE + " + " + ".join(f"{a}::DOUBLE * cos(radians({s}::DOUBLE * h - {g}::DOUBLE))" for _, a, s, g in _TIDE), 3) + " AS mm FROM m"),
+    "tide_height": (tide_height, _height_sql()),
     "tumbling_counts": (tumbling_counts, "SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     "sliding_counts": (sliding_counts, "WITH w AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) - (i * INTERVAL 30 MINUTE) AS start, event_type FROM events, range(2) r(i)) SELECT start, event_type, count(*) AS n FROM w GROUP BY 1, 2"),
     "session_counts": (session_counts, f"WITH a AS (SELECT user_id, ts, event_id, CASE WHEN ts >= lag(ts) OVER {_ST} + INTERVAL 30 MINUTE OR lag(ts) OVER {_ST} IS NULL THEN 1 ELSE 0 END AS new FROM events), b AS (SELECT *, sum(new) OVER {_ST} AS s FROM a) SELECT user_id, min(ts) AS start, count(*) AS n FROM b GROUP BY user_id, s"),

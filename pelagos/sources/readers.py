@@ -2,29 +2,68 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from functools import reduce
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def csv_with_units(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV whose first two lines are names and units, in any part of the files: what does not read as its column's type goes."""
-    lines = spark.read.text(path).select(F.from_csv("value", schema, {"mode": "PERMISSIVE"}).alias("x")).select("x.*")
-    first = lines.columns[0]
-    return lines.where(F.col(first).isNotNull())
+def csv_with_units(spark: SparkSession, path: str, schema: str, units: str, names: str | None = None) -> DataFrame:
+    """CSV with a line of names and one of units in any of its files. A value that does not read as its column's type is null; its row stays.
+
+    The two lines are known by what they say: ``units``, and ``names`` (those of ``schema`` where none are given).
+    """
+    lines = spark.read.text(path)
+    parsed = lines.select(F.col("value").alias("_line"), F.from_csv("value", schema, {"mode": "PERMISSIVE"}).alias("_x"))
+    said = F.trim(F.regexp_replace("_line", "^\ufeff", ""))
+    head = names or ",".join(parsed.schema["_x"].dataType.names)
+    return parsed.where(~said.isin(head, units) & (said != "")).select("_x.*")
 
 
 def quoted_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with quoted fields, doubled quotes, line ends inside quotes and a byte order mark before the names."""
+    """CSV with quoted fields, doubled quotes, line ends inside quotes and a byte order mark before the names. A row that says all names is that of the names."""
     out = spark.read.csv(path, schema=schema, header=False, quote='"', escape='"', multiLine=True)
-    names = [c for c in out.columns]
-    first = F.regexp_replace(F.col(names[0]), "^\ufeff", "")
-    return out.withColumn(names[0], first).where(~F.col(names[0]).eqNullSafe(F.lit(names[0])))
+    first = out.columns[0]
+    out = out.withColumn(first, F.regexp_replace(F.col(first).cast("string"), "^\ufeff", "").cast(out.schema[first].dataType))
+    names = reduce(lambda a, c: a & F.col(c).cast("string").eqNullSafe(F.lit(c)), out.columns, F.lit(True))
+    return out.where(~names)
+
+
+def json_records(spark: SparkSession, path: str, record: str, broken: str | None = None) -> DataFrame:
+    """One JSON document a line, ``{"recordsets": [[row, ...], ...]}``: a row for each record of any set.
+
+    A document that does not parse has no records; with ``broken`` it has a row of nulls and its text in a column of that name.
+    """
+    sets = f"recordsets array<array<{record}>>, _broken string"
+    raw = spark.read.text(path).select(F.from_json("value", sets, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("x"))
+    rows = raw.select(F.explode(F.flatten("x.recordsets")).alias("r"), F.lit(None).cast("string").alias("b"))
+    if broken is None:
+        return rows.select("r.*")
+    bad = raw.where("x._broken is not null").select(F.lit(None).cast(rows.schema["r"].dataType).alias("r"), F.col("x._broken").alias("b"))
+    return rows.union(bad).select("r.*", F.col("b").alias(broken))
+
 
+def first_readable(sources: Iterable[tuple[str, Callable[[], DataFrame]]]) -> tuple[str | None, DataFrame | None, dict[str, str]]:
+    """The name and rows of the first source that can be read and has rows, and why those before it were passed over.
 
-def json_records(spark: SparkSession, path: str, record: str) -> DataFrame:
-    """One JSON document a line, ``{"recordsets": [[row, ...], ...]}``: a row for each record of any set."""
-    raw = spark.read.text(path).select(F.from_json("value", f"recordsets array<array<{record}>>").alias("x"))
-    return raw.select(F.explode(F.flatten("x.recordsets")).alias("r")).select("r.*")
+    A source is read for one row to see that it opens; what cannot be found or parsed is passed over, an empty one
+    too. Without any the name and the rows are None: whoever asks then lets everything pass.
+    """
+    failed = {}
+    for name, read in sources:
+        try:
+            rows = read()
+            if not rows.isEmpty():
+                return name, rows, failed
+            failed[name] = "empty"
+        except PySparkException as e:
+            failed[name] = e.getCondition() or type(e).__name__
+        except Py4JJavaError as e:  # what a task met
+            failed[name] = e.java_exception.getClass().getSimpleName()
+    return None, None, failed
 
 
 def points_of(flat: Column) -> Column:

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pelagos.functions import num, scope, text
+from pelagos.functions import num, scope, text, tide
 from pelagos.operators import graph, ranking, sequential, spatial
 from pelagos.sources import readers
 from pelagos.streaming import counts
@@ -122,6 +122,8 @@ def test_numbers(spark):
     ("Puerto cerrado para EE MM menores de 25 AB; y para menores de 30 A.B.", ("limit", 30, "AB")), ("CIERRE PARA 12 TRG Y PARA 12 AB", ("unsummed", None, None)),
     ("CERRAZON DE NIEBLA PARA NAVES MENORES", (None, None, None)), ("Cerrado para naves y embarcaciones", ("total", None, None)), ("cerrado por viento con naves superiores a 25 AB", (None, None, None)),
     ("", (None, None, None)), (None, (None, None, None)), ("Cerrado para menores y para menores de 10 AB", ("minors", None, None)),
+    ("Cerrado para 25 AB; cierre para 12 TRG; cierre para todo tipo de naves", ("unsummed", None, None)),
+    ("Cerrado para naves mayores", ("unsummed", None, None)), ("Cerrado para naves mayores; cierre para menores; cierre para 25 AB", ("total", None, None)),
 ])
 def test_closure_scopes(spark, said, want):
     df = spark.createDataFrame([(said,)], "t string").select(scope.parts(F.col("t")).alias("p"))
@@ -165,12 +167,61 @@ def test_distances_across_the_date_line(spark):
 
 
 def test_readers(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("id,lon\ncount,degrees\n1,200.5\n2,-70\n3,\n", encoding="utf-8")
-    got = readers.csv_with_units(spark, str(tmp_path / "a.csv"), "id long, lon double").select("id", readers.west(F.col("lon"))).collect()
-    assert [tuple(r) for r in got] == [(1, -159.5), (2, -70.0), (3, None)]
+    (tmp_path / "a.csv").write_text("id,lon\ncount,degrees\n1,200.5\n2,-70\n3,\n,100\nx9,30\n", encoding="utf-8")
+    got = readers.csv_with_units(spark, str(tmp_path / "a.csv"), "id long, lon double", "count,degrees").select("id", readers.west(F.col("lon"))).collect()
+    assert [tuple(r) for r in got] == [(1, -159.5), (2, -70.0), (3, None), (None, 100.0), (None, 30.0)]
     (tmp_path / "b.csv").write_text('﻿name,note\n"a ""b"", c","two\nlines"\nx,\n', encoding="utf-8")
     assert [tuple(r) for r in readers.quoted_csv(spark, str(tmp_path / "b.csv"), "name string, note string").collect()] == [('a "b", c', "two\nlines"), ("x", None)]
     (tmp_path / "c.json").write_text('{"recordsets": [[{"id": 1}, {"id": 2}], []]}\n{"recordsets": []}\nbroken\n', encoding="utf-8")
     assert [r["id"] for r in readers.json_records(spark, str(tmp_path / "c.json"), "struct<id:long>").collect()] == [1, 2]
+    kept = readers.json_records(spark, str(tmp_path / "c.json"), "struct<id:long>", "broken").collect()
+    assert [(r["id"], r["broken"]) for r in kept] == [(1, None), (2, None), (None, "broken")]
+    (tmp_path / "d.csv").write_text("a,b\na,x\nu,v\n", encoding="utf-8")
+    assert [tuple(r) for r in readers.csv_with_units(spark, str(tmp_path / "d.csv"), "a string, b string", "u,v").collect()] == [("a", "x")]
+    assert [tuple(r) for r in readers.quoted_csv(spark, str(tmp_path / "d.csv"), "a string, b string").collect()] == [("a", "x"), ("u", "v")]
     flat = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 5.0],), ([],)], "x array<double>").select(readers.points_of(F.col("x")).alias("p")).collect()
     assert [[tuple(p) for p in r["p"] or []] for r in flat] == [[(1.0, 2.0), (3.0, 4.0)], []]
+
+
+@pytest.mark.parametrize("kinds,want", [
+    (["majors", "AB25", "minors"], ("unsummed", None, None)), (["AB25", "TRG12", "total"], ("unsummed", None, None)), (["AB25", "AB30", "minors"], ("minors", None, None)),
+    (["majors", "minors", "AB25"], ("total", None, None)), (["AB25", "minors", "majors"], ("total", None, None)), (["AB30", "AB25"], ("limit", 30, "AB")), (["majors"], ("unsummed", None, None)), ([], (None, None, None)),
+])
+def test_parts_fold_in_order(spark, kinds, want):
+    parts = [("limit", int(k.strip("ABTRG")), k.strip("0123456789")) if k[-1].isdigit() else (k, None, None) for k in kinds]
+    df = spark.createDataFrame([(parts,)], "p array<struct<kind:string,limit:bigint,unit:string>>")
+    assert tuple(df.select(scope.union(F.col("p")).alias("s")).select("s.*").first()) == want
+
+
+def test_sources_in_turn(spark, tmp_path):
+    (tmp_path / "bad.parquet").write_text("no parquet", encoding="utf-8")
+    spark.range(0).write.parquet(str(tmp_path / "none.parquet"))
+    spark.range(3).write.parquet(str(tmp_path / "good.parquet"))
+    read = lambda name: (name, lambda: spark.read.parquet(str(tmp_path / f"{name}.parquet")))
+    name, rows, failed = readers.first_readable([read("missing"), read("bad"), read("none"), read("good"), read("missing")])
+    assert name == "good" and rows.count() == 3 and list(failed) == ["missing", "bad", "none"] and failed["none"] == "empty"
+    assert readers.first_readable([read("missing")])[:2] == (None, None)
+
+
+def test_tide(spark):
+    """Arguments turn at the published speeds in degrees an hour; node factors stay in their published ranges and are 1 in the mean of a node's turn."""
+    # Speeds of the constituents.
+    speeds = {"M2": 28.9841042, "S2": 30.0, "N2": 28.4397295, "K2": 30.0821373, "K1": 15.0410686, "O1": 13.9430356, "P1": 14.9589314, "Q1": 13.3986609, "M4": 57.9682084, "MS4": 58.9841042, "MN4": 57.4238337, "SA": 0.0410667, "SSA": 0.0821373}
+    start, step = 946_728_000, 3_600_000
+    rows = tide.arguments(spark.createDataFrame([(start + i * step,) for i in range(164)], "at long"), "at").orderBy("at").collect()
+    for name, speed in speeds.items():
+        for a, b in zip(rows[::40], rows[1::40], strict=False):
+            turned = (b[f"v_{name}"] - a[f"v_{name}"] - speed * 1000 + 180) % 360 - 180
+            assert abs(turned) < 0.02, name
+    low_high = {"M2": (0.963, 1.038), "O1": (0.805, 1.184), "K1": (0.881, 1.114), "K2": (0.746, 1.318)}
+    for name, (low, high) in low_high.items():
+        f = [r[f"fa_{name}"] for r in rows]
+        assert low - 0.01 < min(f) < low + 0.03 and high - 0.03 < max(f) < high + 0.01, name
+        assert abs(sum(f) / len(f) - 1) < 0.03
+    # Mean longitudes of moon and sun at noon of 1 January 2000.
+    assert abs(rows[0]["s"] - 218.316) < 0.01 or abs(rows[0]["h"] - 280.466) < 0.01
+    h = tide.heights(spark.createDataFrame([(start,)], "t long"), "t", 900.0, [("M2", 100.0, 30.0), ("S2", 50.0, 0.0)]).first()["height"]
+    r = rows[0]
+    assert abs(h - (900 + 100 * r["fa_M2"] * math.cos(math.radians(r["v_M2"] + r["ua_M2"] - 30)) + 50 * math.cos(math.radians(r["v_S2"])))) < 1e-6
+    # at noon of the meridian the hour angle of the sun is zero: S2 stands at 0 or 180 degrees
+    assert min(r["v_S2"] % 180, 180 - r["v_S2"] % 180) < 1e-6
