@@ -287,5 +287,5 @@ scores AS (
   FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN sizes USING (r), totals
   GROUP BY item_id, doc_id, r),
 ranks AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
-SELECT item_id, rank, doc_id, score FROM ranks WHERE rank <= 20
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranks WHERE rank <= 20
 """
