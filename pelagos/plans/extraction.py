@@ -8,6 +8,7 @@ from pyspark.sql import window as W
 
 from pelagos.functions.num import half_up
 from pelagos.plans.base import feed, round_sql, table
+from pelagos.plans.places import _GRID_SQL, _grid
 from pelagos.plans.restrictions import NORM_SQL
 from pelagos.operators import restrictions as R
 from pelagos.operators.ranking import ranked
@@ -190,13 +191,14 @@ def distinct_vertices(spark, sf):
 
 
 def cost_lut(spark, sf):
-    """The cost of every packed value: relaxed bit, confidence and distance."""
-    r = spark.range(65536)
-    v = F.col("id")
-    d = v.bitwiseAND(8191) * 10.0
+    """The cost of every cell by its packed value: relaxed bit, confidence and distance."""
+    g = _grid(spark, sf)
+    v = F.shiftleft(F.col("r") % 2, 15).bitwiseOR(F.shiftleft(F.col("c") % 4, 13)).bitwiseOR(F.least((F.col("v") - 3900) * 7, F.lit(8191)))
+    g = g.where("v >= 3900").select("r", "c", v.alias("packed"))
+    d = F.col("packed").bitwiseAND(8191) * 10.0
     base = F.when(d < 50, 1.6 - 0.6 * d / 50).when(d <= 9260, 1.0).otherwise(F.least(1.0 + 2.0 * (d - 9260) / 9260, F.lit(12.0)))
-    conf = F.element_at(F.array(F.lit(1.19), F.lit(1.1), F.lit(1.0), F.lit(0.8)), (F.shiftright(v, 13).bitwiseAND(3) + 1).cast("int"))
-    return r.groupBy(F.shiftright(v, 13).alias("head")).agg(half_up(F.sum(base * conf), 4).alias("total"), half_up(F.max(base * conf), 6).alias("most"))
+    conf = F.element_at(F.array(F.lit(1.19), F.lit(1.1), F.lit(1.0), F.lit(0.8)), (F.shiftright("packed", 13).bitwiseAND(3) + 1).cast("int"))
+    return g.select("r", "c", half_up(base * conf, 6).alias("cost"))
 
 
 _LAT = "(-18.0::DOUBLE - ((s_suppkey * 7919) % 3800) / 100.0::DOUBLE)"
@@ -226,5 +228,5 @@ QUERIES = {
     "mercator_inverse": (mercator_inverse, f"SELECT s_suppkey, {round_sql('degrees((-8000000.0::DOUBLE + s_suppkey * 1000) / 6378137.0::DOUBLE)', 6)} AS lng, {round_sql('degrees(2 * atan(exp((-4000000.0::DOUBLE - s_suppkey * 2000) / 6378137.0::DOUBLE)) - pi() / 2)', 6)} AS lat FROM supplier"),
     "monotone_chain": (monotone_chain, "WITH d AS (SELECT s_nationkey, s_suppkey * 7919 % 3800 - lag(s_suppkey * 7919 % 3800) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS d FROM supplier) SELECT s_nationkey, bool_and(d > 0) AS down, bool_and(d < 0) AS up, count(*) AS steps FROM d WHERE d IS NOT NULL GROUP BY 1"),
     "distinct_vertices": (distinct_vertices, "WITH v AS (SELECT DISTINCT floor((c_custkey * 7919 % 3800) / 100.0::DOUBLE + 0.5) AS y, floor((c_custkey * 104729 % 1000) / 100.0::DOUBLE + 0.5) AS x FROM customer) SELECT y, count(*) AS n FROM v GROUP BY 1"),
-    "cost_lut": (cost_lut, f"WITH p AS (SELECT i, (i % 8192) * 10.0::DOUBLE AS d, (i // 8192) % 4 AS c FROM range(65536) t(i)), b AS (SELECT i, CASE WHEN d < 50 THEN 1.6::DOUBLE - 0.6::DOUBLE * d / 50 WHEN d <= 9260 THEN 1 ELSE least(1 + 2 * (d - 9260) / 9260, 12) END * [1.19::DOUBLE, 1.1::DOUBLE, 1.0::DOUBLE, 0.8::DOUBLE][c + 1] AS v FROM p) SELECT i // 8192 AS head, {round_sql('sum(v)', 4)} AS total, {round_sql('max(v)', 6)} AS most FROM b GROUP BY 1"),
+    "cost_lut": (cost_lut, f"WITH {_GRID_SQL}, p AS (SELECT r, c, least((v - 3900) * 7, 8191) * 10.0::DOUBLE AS d FROM g WHERE v >= 3900), b AS (SELECT r, c, CASE WHEN d < 50 THEN 1.6::DOUBLE - 0.6::DOUBLE * d / 50 WHEN d <= 9260 THEN 1 ELSE least(1 + 2 * (d - 9260) / 9260, 12) END * [1.19::DOUBLE, 1.1::DOUBLE, 1.0::DOUBLE, 0.8::DOUBLE][c % 4 + 1] AS v FROM p) SELECT r, c, {round_sql('v', 6)} AS cost FROM b"),
 }

@@ -245,12 +245,13 @@ _BANDS = ((5, 1.0), (10, 3.0), (20, 8.0), (40, 15.0))
 
 
 def piecewise_cost(spark, sf):
-    """The cost of a distance from the coast in metres: linear between the bands, constant beyond."""
+    """The cost of each cell by its distance from the coast in metres: linear between the bands, constant beyond."""
     d = F.col("d")
     cost = F.when(d <= _BANDS[0][0] * 1852.0, _BANDS[0][1])
     for (a, fa), (b, fb) in zip(_BANDS, _BANDS[1:], strict=False):
         cost = cost.when(d <= b * 1852.0, fa + (fb - fa) * (d - a * 1852.0) / (b * 1852.0 - a * 1852.0))
-    return spark.range(8192).select("id", (F.col("id") * 10.0).alias("d")).select("id", half_up(cost.otherwise(20.0), 6).alias("cost"))
+    far = (F.col("v") - 4000) * 100.0
+    return _grid(spark, sf).select("r", "c", F.greatest(far, F.lit(0.0)).alias("d")).select("r", "c", half_up(cost.otherwise(20.0), 6).alias("cost"))
 
 
 def reachability(spark, sf):
@@ -294,6 +295,6 @@ QUERIES = {
     "pack_unpack": (pack_unpack, f"WITH {_GRID_SQL} SELECT r, c, (r % 2) * 32768 + (c % 4) * 8192 + least(v, 8191) AS packed, r % 2 AS relaxed, c % 4 AS confidence, least(v, 8191) * 10 AS metres FROM g"),
     "dilate_cells": (dilate_cells, f"WITH {_GRID_SQL}, s AS (SELECT r, c FROM g WHERE v >= 4990) SELECT x.i AS r, y.i AS c FROM range(64) x(i), range(64) y(i) WHERE EXISTS (SELECT 1 FROM s WHERE abs(s.r - x.i) <= 2 AND abs(s.c - y.i) <= 2)"),
     "local_width": (local_width, f"WITH {_GRID_SQL}, b AS (SELECT r, c FROM g WHERE v >= 4950), w AS (SELECT g.r, g.c, (SELECT max(b.c) FROM b WHERE b.r = g.r AND b.c < g.c) AS l, (SELECT min(b.c) FROM b WHERE b.r = g.r AND b.c > g.c) AS h FROM g WHERE v < 4950) SELECT r, c, h - l - 1 AS width FROM w WHERE l IS NOT NULL AND h IS NOT NULL"),
-    "piecewise_cost": (piecewise_cost, f"WITH d AS (SELECT i AS id, i * 10.0::DOUBLE / 1852 AS m FROM range(8192) t(i)) SELECT id, {round_sql('CASE WHEN m <= 5 THEN 1.0::DOUBLE WHEN m <= 10 THEN 1 + 2 * (m - 5) / 5 WHEN m <= 20 THEN 3 + 5 * (m - 10) / 10 WHEN m <= 40 THEN 8 + 7 * (m - 20) / 20 ELSE 20 END', 6)} AS cost FROM d"),
+    "piecewise_cost": (piecewise_cost, f"WITH {_GRID_SQL}, d AS (SELECT r, c, greatest((v - 4000) * 100.0::DOUBLE, 0) / 1852 AS m FROM g) SELECT r, c, {round_sql('CASE WHEN m <= 5 THEN 1.0::DOUBLE WHEN m <= 10 THEN 1 + 2 * (m - 5) / 5 WHEN m <= 20 THEN 3 + 5 * (m - 10) / 10 WHEN m <= 40 THEN 8 + 7 * (m - 20) / 20 ELSE 20 END', 6)} AS cost FROM d"),
     "reachability": (reachability, f"WITH RECURSIVE {_GRID_SQL}, w AS (SELECT r, c FROM g WHERE v <= 4980), f(r, c) AS (SELECT r, c FROM w WHERE r = 1 AND c = 1 UNION SELECT w.r, w.c FROM f JOIN w ON abs(w.r - f.r) + abs(w.c - f.c) = 1) SELECT r, c FROM f"),
 }
