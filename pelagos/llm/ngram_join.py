@@ -292,15 +292,19 @@ def _blocks(keyed: DataFrame) -> DataFrame:
     """``key``, ``node``, ``n``, ``p``, ``index`` and the block's number of nodes ``m``, of keys where two nodes can meet.
 
     Keys of rare tokens have a bounded number of nodes and are read in one go; those that may be crowded are counted first.
+    Size, place and prefix travel as one number.
     """
-    held = ["key", "node", "n", "p", "index"]
+    told = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("p").cast("long"), 1)).bitwiseOR(F.col("index").cast("long"))
+    index = F.col("told").bitwiseAND(1) == 1
     of_key = Window.partitionBy("key")
-    rare = keyed.where("not hot").repartition("key")
-    rare = rare.withColumns({"lo": F.min("node").over(of_key), "hi": F.max("node").over(of_key), "any": F.max("index").over(of_key)}).where("lo < hi and any").select(*held).distinct()
+    rare = keyed.where("not hot").select("key", "node", told.alias("told")).repartition("key")
+    rare = rare.withColumns({"lo": F.min("node").over(of_key), "hi": F.max("node").over(of_key), "any": F.max(index).over(of_key)}).where("lo < hi and any").select("key", "node", "told").distinct()
     rare = rare.withColumn("m", F.count("*").over(of_key))
-    hot = keyed.where("hot").select(*held).distinct()
-    sizes = hot.groupBy("key").agg(F.count("*").alias("m"), F.max("index").alias("any")).where("m > 1 and any").select("key", "m")
-    return stored(rare.unionByName(hot.join(sizes, "key")), "blocks")
+    hot = keyed.where("hot").select("key", "node", told.alias("told")).distinct()
+    sizes = hot.groupBy("key").agg(F.count("*").alias("m"), F.max(index).alias("any")).where("m > 1 and any").select("key", "m")
+    both = rare.unionByName(hot.join(sizes, "key"))
+    n, p = F.shiftright("told", 32).cast("int"), F.shiftright("told", 1).bitwiseAND((1 << 31) - 1).cast("int")
+    return stored(both.select("key", "node", n.alias("n"), p.alias("p"), index.alias("index"), "m"), "blocks")
 
 
 def _alike(a: Column, b: Column, percent: int) -> Column:
