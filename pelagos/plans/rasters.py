@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagos.operators import raster
+from pelagos.operators import portals, raster
 from pelagos.plans.base import lat, lat_sql, lng, lng_sql, table
 from pelagos.plans.places import _GRID_SQL, _grid
 
@@ -67,6 +67,19 @@ def corridor_route(spark: SparkSession, sf: str) -> DataFrame:
     return raster.corridor_cost(g, at(10, 10), at(55, 40), 8, 2, 32).select("cost", "via")
 
 
+def _prices(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    return li.groupBy((F.col("l_orderkey") % 64).alias("r"), (F.col("l_partkey") % 64).alias("c")).agg(F.min("l_quantity").cast("bigint").alias("w"))
+
+
+def portal_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """What ways across the grid cost, one for each nation, from portal to portal of tiles of sixteen by sixteen cells."""
+    k = F.col("n_nationkey").cast("bigint")
+    asked = table(spark, sf, "nation").select(k.alias("id"), (k * 7 % 64).alias("r0"), (k * 11 % 64).alias("c0"), (63 - k * 5 % 64).alias("r1"), (63 - k * 13 % 64).alias("c1"))
+    cells = _prices(spark, sf)
+    return portals.portal_costs(cells, portals.portal_ways(cells, 16), asked, 16)
+
+
 QUERIES = {
     "rasterise_polygons": (rasterise_polygons, f"WITH {_FILL_SQL} SELECT * FROM inside"),
     "raster_mask": (raster_mask, f"WITH {_FILL_SQL}, {_BAND_SQL} SELECT DISTINCT r, c FROM inside WHERE (r, c) NOT IN (SELECT (r, c) FROM band)"),
@@ -82,4 +95,10 @@ QUERIES = {
       f(r, c, cost) USING KEY (r, c) AS (SELECT r, c, 0::BIGINT FROM g WHERE r = 10 AND c = 10 UNION
         SELECT r, c, n.cost FROM (SELECT g.r, g.c, min(f.cost + g.v)::BIGINT AS cost FROM f, o, g WHERE g.r = f.r + o.i AND g.c = f.c + o.j GROUP BY 1, 2) n LEFT JOIN recurring.f k USING (r, c) WHERE k.cost IS NULL OR n.cost < k.cost)
       SELECT cost, 'corridor' AS via FROM f WHERE r = 55 AND c = 40"""),
+    "portal_routes": (portal_routes, """WITH RECURSIVE g AS (SELECT l_orderkey % 64 AS r, l_partkey % 64 AS c, min(l_quantity)::BIGINT AS w FROM lineitem GROUP BY 1, 2),
+      q AS (SELECT n_nationkey::BIGINT AS id, n_nationkey * 7 % 64 AS r0, n_nationkey * 11 % 64 AS c0, 63 - n_nationkey * 5 % 64 AS r1, 63 - n_nationkey * 13 % 64 AS c1 FROM nation),
+      o AS (SELECT i.i, j.i AS j FROM range(-1, 2) i(i), range(-1, 2) j(i) WHERE i.i <> 0 OR j.i <> 0),
+      f(id, r, c, cost) USING KEY (id, r, c) AS (SELECT id, g.r, g.c, 0::BIGINT FROM q JOIN g ON g.r = r0 AND g.c = c0 UNION
+        SELECT id, r, c, n.cost FROM (SELECT f.id, g.r, g.c, min(f.cost + g.w)::BIGINT AS cost FROM f, o, g WHERE g.r = f.r + o.i AND g.c = f.c + o.j GROUP BY 1, 2, 3) n LEFT JOIN recurring.f k USING (id, r, c) WHERE k.cost IS NULL OR n.cost < k.cost)
+      SELECT q.id, cost FROM q JOIN f ON f.id = q.id AND f.r = r1 AND f.c = c1"""),
 }
