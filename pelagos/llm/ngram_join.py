@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from .bytesvec import Words, binary_column, in_blocks, mix
 from .components import connected_components
 from .lookup import pair_key
-from .storage import small, stored, table
+from .storage import discard, small, stored, table
 
 SHINGLE, PERCENT = 4, 85
 #: Cells in which all shingles of all texts are counted, by hash; a task holds 4 bytes for each.
@@ -460,6 +460,7 @@ def ngram_classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
     links = roots = None
     for level in range(LEVELS + 1):
         blocks = _blocks(keyed)
+        discard(keyed)
         crowded = blocks.where(F.col("m") > block_limit)
         first = _pairs_of(blocks.where(F.col("m") <= block_limit), percent).union(_to_hubs(crowded, crowded, percent, 0)).distinct()
         pairs = held.possible(first)

@@ -46,6 +46,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that ``stored`` gave. Only for tables that nothing reads any more: what was made of them must be stored itself."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file)).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 #: Rows of up to some hundred bytes that are sent to all tasks rather than joined by a shuffle of the texts.
 SMALL_ROWS = 300_000
 
