@@ -1,13 +1,16 @@
-"""Queries on cells: filled polygons, masks, borders, straightened paths, searches in a corridor."""
+"""Queries on cells: filled polygons, masks, borders, straightened paths, searches in a corridor, waters, zones, binary files."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagos.operators import portals, raster
-from pelagos.plans.base import lat, lat_sql, lng, lng_sql, table
-from pelagos.plans.places import _GRID_SQL, _grid
+from pelagos.functions.num import half_up
+from pelagos.operators import portals, raster, waters
+from pelagos.plans.base import lat, lat_sql, lng, lng_sql, round_sql, table
+from pelagos.plans.places import _GRID_SQL, _PORTS, _grid, places
+from pelagos.sources import tiles
+from pelagos.sources.scratch import path
 
 _CELL, _BAND = 0.05, 0.12
 #: Corners of the area around a place, in turn.
@@ -80,6 +83,41 @@ def portal_routes(spark: SparkSession, sf: str) -> DataFrame:
     return portals.portal_costs(cells, portals.portal_ways(cells, 16), asked, 16)
 
 
+def bounded_water_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """The water beside each supplier's crossing, counted up to 40 cells within 8 cells of it; the crossing itself is not entered."""
+    water = _grid(spark, sf).where("(v + 3 * r + 5 * c) % 9 < 4").select("r", "c")
+    k = F.col("s_suppkey").cast("bigint")
+    anchors = table(spark, sf, "supplier").select(k.alias("id"), (k * 7 % 64).alias("r"), (k * 11 % 64).alias("c"))
+    own = anchors.select("id", F.explode(F.array("r", F.col("r") + 1)).alias("r"), (F.col("c") + 1).alias("c"))
+    seeds = waters.seeds_near(anchors, water, 2, own).join(anchors.select("id", F.col("r").alias("r0"), F.col("c").alias("c0")), "id")
+    return waters.bounded_waters(water, seeds, 8, 40, own)
+
+
+#: Lines of zones: from one turn to the next.
+_TURNS = ((0.0, 0.0), (0.7, 0.4), (0.9, -0.6))
+
+
+def zones_reaching(spark: SparkSession, sf: str) -> DataFrame:
+    """The zones (points and lines with buffers, one for each nation) that reach a port, the nearest first."""
+    n = places(spark, sf, "nation", "n_nationkey")
+    line = F.array(*(F.struct(*(F.lit(x).alias(k) for k, x in zip("abcd", (*p, *q), strict=True))) for p, q in zip(_TURNS, _TURNS[1:], strict=False)))
+    point = F.array(F.struct(*(F.lit(0.0).alias(k) for k in "abcd")))
+    parts = n.select(F.col("id").alias("zone"), "lng", "lat", F.explode(F.when(F.col("id") % 2 == 0, point).otherwise(line)).alias("s"))
+    zones = parts.select("zone", *((F.col(at) + F.col(f"s.{k}")).alias(name) for at, k, name in (("lng", "a", "x1"), ("lat", "b", "y1"), ("lng", "c", "x2"), ("lat", "d", "y2"))), (F.col("zone") % 5 * 0.1 + 0.35).alias("buffer"))
+    ports = places(spark, sf, "customer", "c_custkey").select("id", F.col("lng").alias("x"), F.col("lat").alias("y"))
+    return waters.zones_reaching(ports, zones, 0.2).select("id", "zone", "place", half_up(F.col("distance"), 6).alias("distance"))
+
+
+def raster_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid and its coarse level written as binary bands of rows and read back by ranges of rows."""
+    g = _grid(spark, sf)
+    coarse = g.groupBy(F.floor(F.col("r") / 8).alias("r"), F.floor(F.col("c") / 8).alias("c")).agg(F.max("v").alias("v"))
+    both = g.select(F.lit("grid").alias("tile"), "r", "c", "v").union(coarse.select(F.lit("grid.coarse").alias("tile"), "r", "c", "v"))
+    to = path(spark, "tiles")
+    tiles.write_tiles(both, to, {"grid": {"rows": 64, "cols": 64, "coarse_factor": 8}, "grid.coarse": {"rows": 8, "cols": 8}}, 16)
+    return tiles.read_tiles(spark, to, 4)
+
+
 QUERIES = {
     "rasterise_polygons": (rasterise_polygons, f"WITH {_FILL_SQL} SELECT * FROM inside"),
     "raster_mask": (raster_mask, f"WITH {_FILL_SQL}, {_BAND_SQL} SELECT DISTINCT r, c FROM inside WHERE (r, c) NOT IN (SELECT (r, c) FROM band)"),
@@ -101,4 +139,18 @@ QUERIES = {
       f(id, r, c, cost) USING KEY (id, r, c) AS (SELECT id, g.r, g.c, 0::BIGINT FROM q JOIN g ON g.r = r0 AND g.c = c0 UNION
         SELECT id, r, c, n.cost FROM (SELECT f.id, g.r, g.c, min(f.cost + g.w)::BIGINT AS cost FROM f, o, g WHERE g.r = f.r + o.i AND g.c = f.c + o.j GROUP BY 1, 2, 3) n LEFT JOIN recurring.f k USING (id, r, c) WHERE k.cost IS NULL OR n.cost < k.cost)
       SELECT q.id, cost FROM q JOIN f ON f.id = q.id AND f.r = r1 AND f.c = c1"""),
+    "bounded_water_sizes": (bounded_water_sizes, f"""WITH RECURSIVE {_GRID_SQL}, w AS (SELECT r, c FROM g WHERE (v + 3 * r + 5 * c) % 9 < 4),
+      a AS (SELECT s_suppkey::BIGINT AS id, s_suppkey * 7 % 64 AS r0, s_suppkey * 11 % 64 AS c0 FROM supplier),
+      s AS (SELECT id, r0, c0, r, c FROM a JOIN w ON greatest(abs(r - r0), abs(c - c0)) BETWEEN 1 AND 2 AND NOT (c = c0 + 1 AND r BETWEEN r0 AND r0 + 1) QUALIFY row_number() OVER (PARTITION BY id ORDER BY greatest(abs(r - r0), abs(c - c0)), r, c) = 1),
+      o AS (SELECT i.i, j.i AS j FROM range(-1, 2) i(i), range(-1, 2) j(i)),
+      f(id, r0, c0, r, c) AS (SELECT * FROM s UNION SELECT id, r0, c0, w.r, w.c FROM f, o, w WHERE w.r = f.r + o.i AND w.c = f.c + o.j AND greatest(abs(w.r - r0), abs(w.c - c0)) <= 8 AND NOT (w.c = c0 + 1 AND w.r BETWEEN r0 AND r0 + 1))
+      SELECT id, least(count(*), 40) AS size, count(*) >= 40 AS bounded FROM f GROUP BY id"""),
+    "zones_reaching": (zones_reaching, f"""WITH {_PORTS}, z AS (SELECT n_nationkey::BIGINT AS zone, {lng_sql('n_nationkey')} AS x, {lat_sql('n_nationkey')} AS y, n_nationkey % 5 * 0.1::DOUBLE + 0.35::DOUBLE AS buffer FROM nation),
+      e AS (SELECT zone, buffer, x + a AS x1, y + b AS y1, x + c AS x2, y + d AS y2 FROM z JOIN (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (1, 0.0::DOUBLE, 0.0::DOUBLE, 0.7::DOUBLE, 0.4::DOUBLE), (1, 0.7::DOUBLE, 0.4::DOUBLE, 0.9::DOUBLE, -0.6::DOUBLE)) v(odd, a, b, c, d) ON zone % 2 = odd),
+      t AS (SELECT p.id, p.lng, p.lat, e.*, x2 - x1 AS dx, y2 - y1 AS dy FROM p, e), u AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE greatest(0, least(1, ((lng - x1) * dx + (lat - y1) * dy) / (dx * dx + dy * dy))) END AS t FROM t),
+      d AS (SELECT id, zone, min(sqrt(power(lng - x1 - t * dx, 2) + power(lat - y1 - t * dy, 2))) AS d FROM u WHERE sqrt(power(lng - x1 - t * dx, 2) + power(lat - y1 - t * dy, 2)) <= buffer GROUP BY 1, 2)
+      SELECT id, zone, row_number() OVER (PARTITION BY id ORDER BY d, zone)::INTEGER AS place, {round_sql('d', 6)} AS distance FROM d"""),
+    "raster_files": (raster_files, f"""WITH {_GRID_SQL}, k AS (SELECT r, c, max(v) AS v FROM (SELECT r // 8 AS r, c // 8 AS c, v FROM g) GROUP BY 1, 2)
+      SELECT 'grid' AS tile, x.i AS r, y.i AS c, coalesce(v, 0)::INTEGER AS v, NULL::VARCHAR AS problem FROM range(64) x(i) CROSS JOIN range(64) y(i) LEFT JOIN g ON g.r = x.i AND g.c = y.i
+      UNION ALL SELECT 'grid.coarse', x.i, y.i, coalesce(v, 0)::INTEGER, NULL FROM range(8) x(i) CROSS JOIN range(8) y(i) LEFT JOIN k ON k.r = x.i AND k.c = y.i"""),
 }
