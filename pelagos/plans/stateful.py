@@ -11,7 +11,7 @@ from pelagos.operators import graph, sequential
 from pelagos.operators import spatial as S
 from pelagos.plans.base import haversine_sql, round_sql, table
 from pelagos.plans.places import _GRID_SQL, _LEGS_SQL, _PORTS, _STATIONS, _grid, _legs, places
-from pelagos.streaming import counts
+from pelagos.streaming import counts, ordered
 
 
 def rate_limit_anchored(spark: SparkSession, sf: str) -> DataFrame:
@@ -26,8 +26,8 @@ def circuit_breaker(spark, sf):
 
 
 def stream_tumbling_counts(spark, sf):
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
     """Daily counts that the stream has put out: of days that the watermark, two days behind the last event, has passed."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
     return counts.drained(counts.tumbling(counts.event_stream(spark, f"{sf}/event[s].parquet", schema), "2 days", "1 day"), "tumbling")
 
 
@@ -36,6 +36,18 @@ def stream_rate_limit(spark, sf):
     return counts.drained(counts.limited(counts.event_stream(spark, f"{sf}/event[s].parquet", schema), 3, 36_000.0), "limited").select("event_id", "allowed")
 
 
+def stream_text_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of another kind than the user's event before, in event time, up to two days before the last event."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return counts.drained(ordered.changes(counts.event_stream(spark, f"{sf}/event[s].parquet", schema), "user_id", "event_id", "event_type", "2 days"), "changes")
+
+
+def stream_rate_limit_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests allowed, three in ten hours that start with the first, in event time, up to two days before the last event."""
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    return counts.drained(ordered.limited(counts.event_stream(spark, f"{sf}/event[s].parquet", schema), "user_id", "event_id", 3, 36_000.0, "2 days"), "in-order").select("event_id", "allowed")
+
+
 def connected_components(spark, sf):
     """Groups of stations that steps of at most 60 km join."""
     s = places(spark, sf, "supplier", "s_suppkey")
@@ -73,6 +85,9 @@ QUERIES = {
     "circuit_breaker": (circuit_breaker, None),
     "stream_tumbling_counts": (stream_tumbling_counts, "WITH d AS (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT start::TIMESTAMP AS start, event_type, n FROM d WHERE start + INTERVAL 3 DAY <= (SELECT max(ts) FROM events)"),
     "stream_rate_limit": (stream_rate_limit, None),
+    "stream_text_changes": (stream_text_changes, """WITH d AS (SELECT user_id, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, event_type AS after FROM events WHERE date_trunc('milliseconds', ts) < (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 2 DAY)
+      SELECT * FROM d WHERE before <> after"""),
+    "stream_rate_limit_in_order": (stream_rate_limit_in_order, None),
     "connected_components": (connected_components, f"WITH RECURSIVE {_STATIONS}, l AS (SELECT a.id AS a, b.id AS b FROM s a, s b WHERE {haversine_sql('a', 'b')} <= 60), r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a AS node, min(b) AS root FROM r GROUP BY 1"),
     "grid_shortest_cost": (grid_shortest_cost, f"""WITH RECURSIVE {_GRID_SQL}, o AS (SELECT i.i, j.i AS j FROM range(-1, 2) i(i), range(-1, 2) j(i) WHERE i.i <> 0 OR j.i <> 0),
       f(r, c, cost) USING KEY (r, c) AS (SELECT r, c, 0::BIGINT FROM g WHERE r = 10 AND c = 10 UNION
