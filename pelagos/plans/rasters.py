@@ -9,6 +9,7 @@ from pelagos.functions.num import half_up
 from pelagos.operators import portals, raster, waters
 from pelagos.plans.base import lat, lat_sql, lng, lng_sql, round_sql, table
 from pelagos.plans.places import _GRID_SQL, _PORTS, _grid, places
+from pelagos.sources import published as P
 from pelagos.sources import tiles
 from pelagos.sources.scratch import path
 
@@ -118,6 +119,24 @@ def raster_files(spark: SparkSession, sf: str) -> DataFrame:
     return tiles.read_tiles(spark, to, 4)
 
 
+def coast_controls(spark: SparkSession, sf: str) -> DataFrame:
+    """Controls on the areas' outlines as written by cells of two degrees: what was read, covered, shared, fine enough and inside."""
+    edges = _edges(spark, sf)
+    centres = places(spark, sf, "supplier", "s_suppkey").select("id", F.col("lng").alias("x"), F.col("lat").alias("y"))
+    controls = {
+        "A4": P.as_read(edges.count(), ["id", "x1", "y1", "x2", "y2"]), "A4b": P.covers(centres), "A5": P.overlaps_as_declared(False, _CELL),
+        "A6": P.denser(table(spark, sf, "nation").count(), 10), "A7": P.holds(centres, 0.5),
+    }
+    return P.publish(edges, path(spark, "coast"), F.col("x1"), F.col("y1"), 2.0, controls, 16)
+
+
+def published_box(spark: SparkSession, sf: str) -> DataFrame:
+    """Sides of areas that begin within a box, from the folders of its cells of the published version."""
+    edges, to = _edges(spark, sf), path(spark, "coast")
+    P.publish(edges, to, F.col("x1"), F.col("y1"), 2.0, {"A4": P.as_read(edges.count(), ["id", "x1", "y1"])}, 16)
+    return P.published(spark, to, (-74.0, -40.0, -70.0, -30.0), 2.0).where("x1 between -74 and -70 and y1 between -40 and -30")
+
+
 QUERIES = {
     "rasterise_polygons": (rasterise_polygons, f"WITH {_FILL_SQL} SELECT * FROM inside"),
     "raster_mask": (raster_mask, f"WITH {_FILL_SQL}, {_BAND_SQL} SELECT DISTINCT r, c FROM inside WHERE (r, c) NOT IN (SELECT (r, c) FROM band)"),
@@ -153,4 +172,11 @@ QUERIES = {
     "raster_files": (raster_files, f"""WITH {_GRID_SQL}, k AS (SELECT r, c, max(v) AS v FROM (SELECT r // 8 AS r, c // 8 AS c, v FROM g) GROUP BY 1, 2)
       SELECT 'grid' AS tile, x.i AS r, y.i AS c, coalesce(v, 0)::INTEGER AS v, NULL::VARCHAR AS problem FROM range(64) x(i) CROSS JOIN range(64) y(i) LEFT JOIN g ON g.r = x.i AND g.c = y.i
       UNION ALL SELECT 'grid.coarse', x.i, y.i, coalesce(v, 0)::INTEGER, NULL FROM range(8) x(i) CROSS JOIN range(8) y(i) LEFT JOIN k ON k.r = x.i AND k.c = y.i"""),
+    "coast_controls": (coast_controls, f"""WITH {_FILL_SQL}, h AS (SELECT count(*) AS n FROM (SELECT r, c FROM inside GROUP BY 1, 2 HAVING count(*) > 1)),
+      x AS (SELECT min(least(x1, x2)) AS a, max(greatest(x1, x2)) AS b, min(least(y1, y2)) AS c, max(greatest(y1, y2)) AS d FROM e),
+      q AS (SELECT count(*) AS n FROM s JOIN x ON s.x BETWEEN a AND b AND s.y BETWEEN c AND d), ct AS (SELECT (SELECT count(*) FROM e) AS e, (SELECT count(*) FROM supplier) AS s, (SELECT count(*) FROM nation) AS n),
+      i AS (SELECT count(DISTINCT id) AS n FROM (SELECT s.id, e.id AS polygon FROM s JOIN e ON (y1 > s.y) <> (y2 > s.y) AND s.x < (x2 - x1) * (s.y - y1) / (y2 - y1) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1))
+      SELECT 'A4' AS control, true AS ok, e || ' rows, 0 broken' AS got FROM ct UNION ALL SELECT 'A4b', q.n = s, q.n || ' of ' || s || ' points in the box' FROM q, ct
+      UNION ALL SELECT 'A5', n > 0, n || ' cells in several polygons' FROM h UNION ALL SELECT 'A6', e >= n * 10, e || ' against ' || n || ' edges' FROM ct UNION ALL SELECT 'A7', i.n = s, i.n || ' of ' || s || ' points inside' FROM i, ct"""),
+    "published_box": (published_box, f"WITH {_EDGES_SQL} SELECT * FROM e WHERE x1 BETWEEN -74 AND -70 AND y1 BETWEEN -40 AND -30"),
 }
