@@ -1,4 +1,4 @@
-"""Waters beside a crossing and zones that reach a place: bounded floods from many seeds, distances to buffered points and lines."""
+"""Waters beside a crossing, their widths, and zones that reach a place: bounded floods from many seeds, runs along axes, distances to buffered points and lines."""
 
 from __future__ import annotations
 
@@ -83,6 +83,24 @@ def bounded_waters(water: DataFrame, seeds: DataFrame, margin: int, bound: int,
     return parts.groupBy("id").applyInPandas(_flood(side, bound), "id long, size long, bounded boolean")
 
 
+def least_widths(water: DataFrame, reach: int = 40) -> DataFrame:
+    """``r``, ``c``, ``width``: steps from a cell of ``water`` (``r``, ``c``) to the first cell on either side that is none, added, on the narrowest of four axes.
+
+    No side counts for more than ``reach`` steps. On each axis (row, column, two diagonals) the cells of a line form
+    runs without gaps, and a cell's steps are those to the ends of its run: one shuffle by line, one back to cells.
+    """
+    r, c = F.col("r"), F.col("c")
+    lines = ((F.lit(0).cast("long"), r, c), (F.lit(1).cast("long"), c, r), (F.lit(2).cast("long"), r - c, r), (F.lit(3).cast("long"), r + c, r))
+    axes = F.explode(F.array(*(F.struct(axis.alias("axis"), line.cast("long").alias("line"), at.cast("long").alias("at")) for axis, line, at in lines))).alias("x")
+    along = water.select("r", "c").distinct().select("r", "c", axes).select("r", "c", "x.*")
+    runs = along.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy("axis", "line").orderBy("at")))
+    run = Window.partitionBy("axis", "line", "run")
+    ahead, back = F.max("at").over(run) - F.col("at") + 1, F.col("at") - F.min("at").over(run) + 1
+    sides = runs.withColumns({"ahead": ahead, "back": back})
+    wide = F.least(F.lit(reach).cast("long"), "ahead") + F.least(F.lit(reach).cast("long"), "back")
+    return sides.groupBy("r", "c").agg(F.min(wide).alias("width"))
+
+
 def zones_reaching(points: DataFrame, zones: DataFrame, size: float) -> DataFrame:
     """``id``, ``zone``, ``distance``, ``place``: the zones whose buffer reaches a point, the nearest first (``place`` 1; ties by zone).
 

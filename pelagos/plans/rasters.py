@@ -94,6 +94,11 @@ def bounded_water_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return waters.bounded_waters(water, seeds, 8, 40, own)
 
 
+def least_width(spark: SparkSession, sf: str) -> DataFrame:
+    """How narrow the water of the grid is at each of its cells, on four axes, up to ten steps a side."""
+    return waters.least_widths(_grid(spark, sf).where("(v + 3 * r + 5 * c) % 9 < 6"), 10)
+
+
 #: Lines of zones: from one turn to the next.
 _TURNS = ((0.0, 0.0), (0.7, 0.4), (0.9, -0.6))
 
@@ -164,6 +169,9 @@ QUERIES = {
       o AS (SELECT i.i, j.i AS j FROM range(-1, 2) i(i), range(-1, 2) j(i)),
       f(id, r0, c0, r, c) AS (SELECT * FROM s UNION SELECT id, r0, c0, w.r, w.c FROM f, o, w WHERE w.r = f.r + o.i AND w.c = f.c + o.j AND greatest(abs(w.r - r0), abs(w.c - c0)) <= 8 AND NOT (w.c = c0 + 1 AND w.r BETWEEN r0 AND r0 + 1))
       SELECT id, least(count(*), 40) AS size, count(*) >= 40 AS bounded FROM f GROUP BY id"""),
+    "least_width": (least_width, f"""WITH {_GRID_SQL}, w AS (SELECT r, c FROM g WHERE (v + 3 * r + 5 * c) % 9 < 6), x AS (SELECT * FROM (VALUES (0, 0, 1), (0, 0, -1), (1, 1, 0), (1, -1, 0), (2, 1, 1), (2, -1, -1), (3, 1, -1), (3, -1, 1)) v(axis, i, j)),
+      d AS (SELECT a.r, a.c, axis, i, j, min(CASE WHEN b.r IS NULL THEN k ELSE 10 END) AS k FROM w a CROSS JOIN x CROSS JOIN range(1, 11) n(k) LEFT JOIN w b ON b.r = a.r + i * k AND b.c = a.c + j * k GROUP BY ALL), s AS (SELECT r, c, axis, sum(k) AS k FROM d GROUP BY ALL)
+      SELECT r, c, min(k)::BIGINT AS width FROM s GROUP BY 1, 2"""),
     "zones_reaching": (zones_reaching, f"""WITH {_PORTS}, z AS (SELECT n_nationkey::BIGINT AS zone, {lng_sql('n_nationkey')} AS x, {lat_sql('n_nationkey')} AS y, n_nationkey % 5 * 0.1::DOUBLE + 0.35::DOUBLE AS buffer FROM nation),
       e AS (SELECT zone, buffer, x + a AS x1, y + b AS y1, x + c AS x2, y + d AS y2 FROM z JOIN (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), (1, 0.0::DOUBLE, 0.0::DOUBLE, 0.7::DOUBLE, 0.4::DOUBLE), (1, 0.7::DOUBLE, 0.4::DOUBLE, 0.9::DOUBLE, -0.6::DOUBLE)) v(odd, a, b, c, d) ON zone % 2 = odd),
       t AS (SELECT p.id, p.lng, p.lat, e.*, x2 - x1 AS dx, y2 - y1 AS dy FROM p, e), u AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE greatest(0, least(1, ((lng - x1) * dx + (lat - y1) * dy) / (dx * dx + dy * dy))) END AS t FROM t),

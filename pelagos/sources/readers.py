@@ -46,6 +46,33 @@ def json_records(spark: SparkSession, path: str, record: str, broken: str | None
     return rows.union(bad).select("r.*", F.col("b").alias(broken))
 
 
+# How an entry of a catalogue of places stands in source code, its key alone and whole.
+_KEY = r"(?m)^\s*(\d+)\s*:"
+_ENTRY = r"""(?m)^\s*(\d+)\s*:\s*\{\s*lat:\s*(-?[\d.]+)\s*,\s*lng:\s*(-?[\d.]+)\s*,\s*nombre:\s*(?:'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)")"""
+
+
+def literal_entries(sources: DataFrame, name: str) -> DataFrame:
+    """``file``, ``key``, ``lat``, ``lng``, ``name``, ``problem``: the entries of a constant ``name`` that source code (``file``, ``text``) writes out as a literal.
+
+    A row with a ``problem`` stands for what makes a file's catalogue incomplete: the constant is not declared, not
+    closed or empty, a key is repeated, or is there without a readable entry. Whoever needs whole catalogues takes
+    files without such rows. A null text declares nothing.
+    """
+    start = F.instr(F.coalesce("text", F.lit("")), f"const {name} = {{")
+    rest = sources.select("file", F.when(start > 0, F.expr("substring(text, {})".format(f"instr(text, 'const {name} = {{')"))).alias("rest"))
+    end = F.instr("rest", "\n};")
+    cut = rest.select("file", "rest", F.when(end > 0, F.substring("rest", F.lit(1), end)).alias("block"))
+    cut = cut.withColumn("keys", F.regexp_extract_all("block", F.lit(_KEY), 1)).withColumn("problem", F.when(F.col("rest").isNull(), "not declared").when(F.col("block").isNull(), "not closed").when(F.size("keys") == 0, "no entries"))
+    whole = cut.where("problem is not null").select("file", F.lit(None).cast("long").alias("key"), *(F.lit(None).cast(t).alias(n) for n, t in (("lat", "double"), ("lng", "double"), ("name", "string"))), "problem")
+    part = lambda i: F.regexp_extract(F.col("entry"), _ENTRY, i)
+    read = cut.where("problem is null").select("file", F.explode(F.regexp_extract_all("block", F.lit(_ENTRY), 0)).alias("entry"))
+    read = read.select("file", part(1).cast("long").alias("key"), part(2).try_cast("double").alias("lat"), part(3).try_cast("double").alias("lng"), F.concat(part(4), part(5)).alias("name"))
+    keys = cut.where("problem is null").select("file", F.explode("keys").alias("key")).groupBy("file", F.col("key").cast("long").alias("key")).agg(F.count("*").alias("n"))
+    met = keys.join(read, ["file", "key"], "left")
+    problem = F.when(F.col("n") > 1, "repeated key").when(F.col("lat").isNull() | F.col("lng").isNull() | F.col("name").isNull(), "unreadable")
+    return met.select("file", "key", "lat", "lng", "name", problem.alias("problem")).distinct().union(whole)
+
+
 def first_readable(sources: Iterable[tuple[str, Callable[[], DataFrame]]]) -> tuple[str | None, DataFrame | None, dict[str, str]]:
     """The name and rows of the first source that can be read and has rows, and why those before it were passed over.
 

@@ -5,7 +5,7 @@ import json
 import numpy as np
 import pytest
 
-from pelagos.sources import tiles
+from pelagos.sources import readers, tiles
 
 
 def test_round_trip(spark, tmp_path):
@@ -40,3 +40,23 @@ def test_cells_without_a_place(spark, tmp_path, row):
     with pytest.raises(Exception, match="no place for cell"):
         tiles.write_tiles(spark.createDataFrame([row], "tile string, r long, c long, v long"), str(tmp_path), {"a": {"rows": 3, "cols": 2}})
     assert not list(tmp_path.glob("*.meta.json"))
+
+
+def test_literal_entries(spark):
+    whole = """const OTHER = { 1: { lat: 9, lng: 9, nombre: 'no' } };
+const PLACES = {
+  // bays
+  12: { lat: -41.5, lng: -72.9, nombre: 'Bahía "Uno"', extra: 1 },
+  13:
+    { lat: -42, lng: 73.25, nombre: "O'Higgins" },
+  14: { lat: 1.5, lng: 2, nombre: 'l\\'Ile' },
+};
+  15: { lat: 1, lng: 2, nombre: 'after' },
+"""
+    twice = "const PLACES = {\n 1: { lat: 1, lng: 2, nombre: 'a' },\n 1: { lat: 3, lng: 4, nombre: 'b' },\n 2: { lng: 2, nombre: 'a' },\n 3: { lat: 1.2.3, lng: 2, nombre: 'a' },\n};"
+    files = [("whole", whole), ("twice", twice), ("none", "const PLACE = {}"), ("open", "const PLACES = {\n 1: {"), ("empty", "const PLACES = {\n};"), ("null", None)]
+    rows = readers.literal_entries(spark.createDataFrame(files, "file string, text string"), "PLACES").collect()
+    of = lambda f: sorted((tuple(r)[1:] for r in rows if r["file"] == f), key=repr)
+    assert of("whole") == [(12, -41.5, -72.9, 'Bahía "Uno"', None), (13, -42.0, 73.25, "O'Higgins", None), (14, 1.5, 2.0, "l\\'Ile", None)]
+    assert of("twice") == [(1, 1.0, 2.0, "a", "repeated key"), (1, 3.0, 4.0, "b", "repeated key"), (2, None, None, None, "unreadable"), (3, None, 2.0, "a", "unreadable")]
+    assert [of(f)[0][-1] for f in ("none", "open", "empty", "null")] == ["not declared", "not closed", "no entries", "not declared"] and len(rows) == 11

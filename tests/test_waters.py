@@ -74,3 +74,16 @@ def test_zones_reaching(spark):
     got = waters.zones_reaching(spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(zones, "zone long, x1 double, y1 double, x2 double, y2 double, buffer double"), 0.5)
     assert sorted((r["id"], r["zone"], r["place"]) for r in got.collect()) == sorted(want)
     assert {zone for k, zone, _ in want if k == 900} >= {50, 51} and not any(zone == 52 for _, zone, _ in want)
+
+
+@pytest.mark.parametrize("share", [0.5, 0.95])
+def test_least_widths(spark, share):
+    rng = random.Random(share)
+    water = {(r, c) for r in range(-9, 21) for c in range(-9, 21) if rng.random() < share} | {(100, 100)}
+
+    def steps(r, c, i, j):
+        return next((k for k in range(1, 8) if (r + i * k, c + j * k) not in water), 7)
+
+    want = {(r, c): min(steps(r, c, i, j) + steps(r, c, -i, -j) for i, j in ((0, 1), (1, 0), (1, 1), (1, -1))) for r, c in water}
+    got = waters.least_widths(spark.createDataFrame([*water, (100, 100)], "r long, c long"), 7)
+    assert {(r["r"], r["c"]): r["width"] for r in got.collect()} == want and want[100, 100] == 2
