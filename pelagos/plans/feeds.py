@@ -170,6 +170,16 @@ def grid_extents(spark, sf):
     return g.select("c_nationkey", "ox", "oy", F.ceil((F.col("x2") - F.col("ox")) / 50).alias("cols"), F.ceil((F.col("oy") - F.col("y1")) / 50).alias("rows"))
 
 
+def literal_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    """Catalogues of fifty suppliers each, written out in source code: their entries, and what is wrong with those that do not read."""
+    k = F.col("s_suppkey").cast("bigint")
+    place = F.concat(F.lit("lat: "), lat("s_suppkey").cast("string"), F.when(k % 7 == 0, ", lon: ").otherwise(", lng: "), lng("s_suppkey").cast("string"))
+    entry = F.concat(F.lit("  "), k.cast("string"), F.lit(": { "), place, F.lit(", nombre: '"), F.col("s_name"), F.lit("' },\n"))
+    lines = table(spark, sf, "supplier").groupBy(F.floor(k / 50).alias("file")).agg(F.array_join(F.sort_array(F.collect_list(entry)), "").alias("lines"))
+    sources = lines.select("file", F.concat(F.lit("const BAYS = {\n"), "lines", F.when(F.col("file") % 5 == 1, "").otherwise("};\n")).alias("text"))
+    return readers.literal_entries(sources, "BAYS")
+
+
 def hour_index(spark, sf):
     """Of a user's readings of a day the one of the current hour, or the last that there is; the hour is that of the day's last reading."""
     day = W_.partitionBy("user_id", "day")
@@ -241,6 +251,9 @@ def tsv_lines(spark, sf):
 
 _TWO = f"o AS (SELECT o_orderkey, {lat_sql('o_custkey')} AS y1, {lng_sql('o_custkey')} AS x1, {lat_sql('o_orderkey')} AS y2, {lng_sql('o_orderkey')} AS x2 FROM orders)"
 QUERIES = {
+    "literal_catalogue": (literal_catalogue, f"""WITH s AS (SELECT s_suppkey::BIGINT AS key, s_suppkey::BIGINT // 50 AS file, s_name, {lat_sql('s_suppkey')} AS lat, {lng_sql('s_suppkey')} AS lng FROM supplier)
+      SELECT file, key, CASE WHEN key % 7 <> 0 THEN lat END AS lat, CASE WHEN key % 7 <> 0 THEN lng END AS lng, CASE WHEN key % 7 <> 0 THEN s_name END AS name, CASE WHEN key % 7 = 0 THEN 'unreadable' END AS problem FROM s WHERE file % 5 <> 1
+      UNION ALL SELECT DISTINCT file, NULL, NULL, NULL, NULL, 'not closed' FROM s WHERE file % 5 = 1"""),
     "tide_arguments": (tide_arguments, _tide_sql()),
     "closure_scope": (closure_scope, _closure_sql()),
     "tile_select": (tile_select, f"WITH c AS (SELECT c_custkey, {lat_sql('c_custkey')} AS lat FROM customer), t(name, a, b, i) AS (VALUES " + ", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE, {i})" for i, (n, a, b) in enumerate(_TILES)) + "), k AS (SELECT c_custkey, name, row_number() OVER (PARTITION BY c_custkey ORDER BY least(b - lat, lat - a) DESC, i) AS k FROM c JOIN t ON lat BETWEEN a AND b) SELECT c.c_custkey, k.name AS tile FROM c LEFT JOIN k ON c.c_custkey = k.c_custkey AND k.k = 1"),
