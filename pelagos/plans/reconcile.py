@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from pelagos.functions import text as T
+from pelagos.operators import names
 from pelagos.plans.base import table
 from pelagos.plans.restrictions import norm_sql
 
@@ -99,6 +100,15 @@ def name_match_status(spark, sf):
     return p.join(k, "key").groupBy(F.when(F.col("n") == 1, "SI").when(F.col("n") <= 12, "DUDOSO").otherwise("NO").alias("status")).agg(F.count("*").alias("parts"))
 
 
+def name_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Each supplier's water among those named after parts: as it is, without its noun, or only alike."""
+    known = table(spark, sf, "part").select(F.col("p_partkey").cast("bigint").alias("k"), F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 150).cast("string")).alias("name"), "p_name")
+    kind = F.col("s_suppkey") % 4
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("bigint").alias("id"), (F.col("s_suppkey").cast("bigint") * 2).alias("k"), kind.alias("kind")).join(known, "k")
+    name = F.when(F.col("kind") == 0, F.col("name")).when(F.col("kind") == 1, F.concat(F.lit("Laguna "), "name")).when(F.col("kind") == 2, F.concat(F.lit("Lago "), "p_name", F.lit("es"))).otherwise(F.concat("name", F.lit(" qqqq")))
+    return names.name_matches(s.select("id", name.alias("name")), known.select("name"))
+
+
 def token_mention_join(spark, sf):
     """Benchmark items whose first three words all occur in a document."""
     words = lambda t: F.array_distinct(F.array_remove(F.split(F.lower(t), r"\s+"), ""))
@@ -226,6 +236,12 @@ QUERIES = {
     "merge_origins": (merge_origins, "WITH u AS (SELECT c_nationkey AS id, 'customer' AS src, CASE WHEN c_custkey % 5 = 0 THEN c_name END AS name, c_custkey AS ord FROM customer UNION ALL SELECT s_nationkey, 'supplier', s_name, s_suppkey + 10000000 FROM supplier) SELECT id, string_agg(DISTINCT src, '+' ORDER BY src) AS origins, arg_min(name, ord) FILTER (WHERE name IS NOT NULL) AS name FROM u GROUP BY 1"),
     "source_agreement": (source_agreement, "WITH b AS (SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN 1 WHEN n_chars % 5 <> 0 THEN 0 END AS b, true AS in_b FROM documents WHERE doc_id % 3 <> 0), a AS (SELECT doc_id, quality AS a, true AS in_a FROM labels) SELECT CASE WHEN in_a IS NULL OR in_b IS NULL THEN 'missing' WHEN a IS NULL OR b IS NULL THEN 'null' WHEN a = b THEN 'agree' ELSE 'disagree' END AS state, count(*) AS n FROM a FULL JOIN b USING (doc_id) GROUP BY 1"),
     "two_key_match": (two_key_match, "WITH s AS (SELECT s_suppkey, s_name, s_suppkey % 97 AS p FROM supplier), o AS (SELECT p, count(*) AS n, min(s_suppkey) AS x FROM s GROUP BY 1) SELECT c_custkey, coalesce(s.s_suppkey, CASE WHEN n = 1 THEN x END) AS supplier, CASE WHEN s.s_suppkey IS NOT NULL THEN 'name' WHEN n = 1 THEN 'phone' WHEN n > 1 THEN 'phone shared' ELSE 'unknown' END AS how FROM customer LEFT JOIN s ON s_name = 'Supplier#' || lpad((c_custkey % 2000)::VARCHAR, 9, '0') LEFT JOIN o ON o.p = c_custkey % 97"),
+    "name_candidates": (name_candidates, """WITH k AS (SELECT p_partkey::BIGINT AS k, p_name || ' ' || (p_partkey % 150) AS name, p_name FROM part), u AS (SELECT upper(name) AS key, count(*) AS n FROM k GROUP BY 1),
+      a AS (SELECT s_suppkey::BIGINT AS id, upper(CASE s_suppkey % 4 WHEN 0 THEN name WHEN 1 THEN 'Laguna ' || name WHEN 2 THEN 'Lago ' || p_name || 'es' ELSE name || ' qqqq' END) AS key FROM supplier JOIN k ON k.k = s_suppkey * 2),
+      h AS (SELECT a.id, a.key, x.n AS whole, y.n AS part FROM a LEFT JOIN u x ON x.key = a.key LEFT JOIN u y ON y.key = regexp_replace(a.key, '^[^ ]+ ', '')),
+      t AS (SELECT id, key, coalesce(whole, part, 0) AS hits, CASE WHEN whole IS NOT NULL THEN 'exact' WHEN part IS NOT NULL THEN 'bare' END AS via, list_transform(list_filter(string_split(key, ' '), lambda w: len(w) > 3 AND w NOT IN ('LAGO', 'LAGUNA', 'RIO')), lambda w: w[1:6]) AS w FROM h),
+      c AS (SELECT id, sum(n)::BIGINT AS n FROM t JOIN u ON hits = 0 AND len(w) > 0 AND len(list_filter(w, lambda x: NOT contains(u.key, x))) = 0 GROUP BY 1)
+      SELECT id, CASE WHEN hits = 1 THEN 'SI' WHEN hits > 1 THEN 'DUDOSO' ELSE 'NO' END AS status, via, hits, coalesce(n, 0)::BIGINT AS candidates FROM t LEFT JOIN c USING (id)"""),
     "name_match_status": (name_match_status, f"WITH k AS (SELECT {norm_sql('p_type')} AS key, count(*) AS n FROM part GROUP BY 1) SELECT CASE WHEN n = 1 THEN 'SI' WHEN n <= 12 THEN 'DUDOSO' ELSE 'NO' END AS status, sum(n)::BIGINT AS parts FROM k GROUP BY 1"),
     "token_mention_join": (token_mention_join, r"""WITH b AS (SELECT item_id, i, w FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS l FROM benchmark), LATERAL (SELECT unnest(l) AS w, generate_subscripts(l, 1) AS i)), f AS (SELECT item_id, w, min(i) AS i FROM b GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY min(i)) <= 3),
       d AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM documents), k AS (SELECT item_id, doc_id, count(*) AS k FROM f JOIN d USING (w) GROUP BY 1, 2), n AS (SELECT item_id, count(*) AS n FROM f GROUP BY 1)
