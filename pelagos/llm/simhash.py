@@ -14,7 +14,9 @@ from .storage import small, stored, table
 
 BITS = 64
 _ALL = (1 << 64) - 1
-#: The pipeline's stage: words of a shingle, similarity of the shingle sets.
+#: Words of a fingerprint's shingle and the bits in which linked fingerprints differ at most.
+SHINGLE, RADIUS = 3, 2
+#: The pipeline's stage, beyond fingerprints: words of a shingle, similarity of the shingle sets.
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 #: One text in so many is sampled for common shingles, those in so many of its texts count as common, and so many are kept.
 SAMPLE, SAMPLE_COMMON, MOST_COMMON = 16, 8, 200_000
@@ -54,7 +56,7 @@ def fingerprint_of(text: bytes, shingle: int) -> int:
     return majority(shingle_hashes(text, shingle))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Adds ``_fp`` (long) to ``doc_id`` and ``_th``, a hash of the text. A null text counts as empty; its fingerprint is 0."""
     kind = docs.schema["doc_id"].dataType
     plain = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_t"))
@@ -99,7 +101,7 @@ def _balls(fp: Column, radius: int) -> Column:
         holes, lambda i: F.struct(i.alias("hole"), x.bitwiseAND(F.element_at(masks, i + 1)).alias("key")))))
 
 
-def close_pairs(fps: DataFrame, radius: int = 2, segments: int = 5, block_limit: int = 32) -> DataFrame:
+def close_pairs(fps: DataFrame, radius: int = RADIUS, segments: int = 5, block_limit: int = 32) -> DataFrame:
     """Links ``a``, ``b`` that connect all fingerprints (column ``fp``, distinct) within ``radius`` bits, and no others.
 
     Pigeonring: cut into ``segments`` parts on a ring, two fingerprints within the radius have a part from which
@@ -142,7 +144,14 @@ def close_pairs(fps: DataFrame, radius: int = 2, segments: int = 5, block_limit:
     return paired.union(starred).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, segments: int = 5) -> DataFrame:
+def _rooted(nodes: DataFrame, radius: int, segments: int = 5) -> DataFrame:
+    """``nodes`` (``_fp``, distinct) with ``root``, the smallest fingerprint reachable over links."""
+    links = close_pairs(nodes.select(F.col("_fp").alias("fp")), radius, segments)
+    joined = nodes.join(connected_components(links), F.col("_fp") == F.col("node"), "left")
+    return joined.withColumn("root", F.coalesce("root", "_fp")).drop("node")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, segments: int = 5) -> DataFrame:
     """``doc_id``, ``_th``, ``fingerprint``, ``component_id`` (the smallest doc_id reachable over links) per row of ``docs``.
 
     Fingerprints within ``radius`` bits link; equal ones are one node. Null text counts as empty, empty texts
@@ -150,9 +159,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, segments
     """
     fps = stored(fingerprints(docs, shingle), "fingerprints")
     nodes = stored(fps.groupBy("_fp").agg(F.min("doc_id").alias("first")), "nodes")
-    links = close_pairs(nodes.select(F.col("_fp").alias("fp")), radius, segments)
-    joined = nodes.join(connected_components(links), F.col("_fp") == F.col("node"), "left")
-    rooted = joined.select("_fp", "first", F.coalesce("root", "_fp").alias("root"))
+    rooted = _rooted(nodes, radius, segments)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("_fp", "component_id")
     return fps.join(named, "_fp").select(
@@ -198,21 +205,21 @@ def _prefix(held: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarr
 
 
 def _sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``doc_id``, ``_th``, and of the text's set of shingles ``_node`` and ``_check`` (halves of its digest), ``_n`` (its size) and, null but for the first row of a task that has the set, ``_keys`` (its prefix), ``_parts`` (how many hashes lie in each part of their range, a byte each; null where one has more) and ``_bits`` (in which of 512 parts of another order any lies)."""
+    """``doc_id``, ``_th``, ``_fp`` (the fingerprint of the text, as in ``fingerprints``), and of the text's set of shingles ``_node`` and ``_check`` (halves of its digest), ``_n`` (its size) and, null but for the first row of a task that has the set, ``_keys`` (its prefix), ``_parts`` (how many hashes lie in each part of their range, a byte each; null where one has more) and ``_bits`` (in which of 512 parts of another order any lies)."""
     plain = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_t"))
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
 
     def run(batches):
         seen: set[int] = set()
         for b in batches:
-            known: dict[bytes, tuple[int, int, int]] = {}
+            known: dict[bytes, tuple[int, int, int, int]] = {}
             out, keys, parts, bits = [], [], [], []
             for t in binary_column(b, "_t"):
                 prefix = part = bit = None
                 if t not in known:
                     held = np.unique(np.array(shingle_hashes(t, shingle), dtype=np.uint64))
                     digest = xxhash.xxh3_128_intdigest(held.tobytes())
-                    known[t] = digest & _ALL, digest >> 64, len(held)
+                    known[t] = digest & _ALL, digest >> 64, len(held), fingerprint_of(t, SHINGLE)
                     if known[t][0] not in seen and len(held):
                         seen.add(known[t][0])
                         prefix = _prefix(held, common.value, similarity).view(np.int64)
@@ -223,12 +230,12 @@ def _sketches(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 keys.append(prefix)
                 parts.append(part)
                 bits.append(bit)
-            node, check = (pa.array(np.array([x[i] for x in out], dtype=np.uint64).view(np.int64)) for i in (0, 1))
+            node, check, fp = (pa.array(np.array([x[i] for x in out], dtype=np.uint64).view(np.int64)) for i in (0, 1, 3))
             cols = [pa.array([x[2] for x in out], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(parts, pa.binary()), pa.array(bits, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), node, check, *cols], names=["doc_id", "_th", "_node", "_check", "_n", "_keys", "_parts", "_bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, node, check, *cols], names=["doc_id", "_th", "_fp", "_node", "_check", "_n", "_keys", "_parts", "_bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return plain.mapInArrow(run, f"doc_id {kind}, _th long, _node long, _check long, _n int, _keys array<bigint>, _parts binary, _bits array<bigint>")
+    return plain.mapInArrow(run, f"doc_id {kind}, _th long, _fp long, _node long, _check long, _n int, _keys array<bigint>, _parts binary, _bits array<bigint>")
 
 
 def _needed(a: Column, b: Column, similarity: float) -> Column:
@@ -288,10 +295,21 @@ def _alike(docs: DataFrame, nodes: DataFrame, parts: DataFrame, pairs: DataFrame
     return stored(both.select("a", "b", "ta", "tb").mapInArrow(decide, "a long, b long"), "links")
 
 
-def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY, block_limit: int = 16) -> DataFrame:
+def _fingerprint_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Links ``a``, ``b`` of the ``_node`` of ``rows`` that connect those whose fingerprints are connected within ``radius`` bits."""
+    held = stored(rows.select("_node", "_fp").distinct(), "fingerprints")
+    grouped = held.join(_rooted(held.select("_fp").distinct(), radius), "_fp").select("_node", "root")
+    first = grouped.groupBy("root").agg(F.min("_node").alias("b"))
+    return grouped.join(first, "root").where("_node <> b").select(F.col("_node").alias("a"), "b").distinct()
+
+
+def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY, block_limit: int = 16, radius: int = 0) -> DataFrame:
     """``doc_id``, ``_th``, ``component_id`` per row: texts whose shingle sets have a Jaccard similarity of ``similarity`` link.
 
-    Such texts differ in ten of 64 bits on average, which no short list of fingerprint segments can promise to
+    With a ``radius`` texts also link where their fingerprints (``fingerprints``) differ in so many bits at most,
+    through the ring's segments as in ``near_duplicates``; what those join need not meet again in crowded blocks.
+
+    Texts alike as sets differ in ten of 64 bits on average, which no short list of fingerprint segments can promise to
     find. So pairs meet through prefixes: of a set x in one order of all shingles, rare ones first, the first
     |x| - ceil(0.8 |x|) + 1, of which two sets that are alike share one. A pair is left out where what follows the
     key that it shares cannot be enough, which loses none: at the first key shared it is. The others are decided on
@@ -338,6 +356,8 @@ def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: flo
 
     starred = ordered(large.join(hubs_of(large, 0), "key").select(F.col("hub.x").alias("a"), F.col("x").alias("b")))
     links = _alike(docs, nodes, parts, stored(pairs.union(starred).distinct(), "pairs"), shingle, similarity)
+    if radius:
+        links = stored(links.union(_fingerprint_links(rows, radius)), "links")
     room, before = HUB_WORK * met.count(), None
     bits = stored(rows.where("_keys is not null").select("_node", F.col("_bits").alias("bits")).dropDuplicates(["_node"]), "bits")
     while True:
@@ -371,10 +391,11 @@ def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: flo
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id, once where its row is repeated.
 
-    Copies are texts of a similarity of 0.8 or more on five-word shingles, and what they reach. Rows without a
-    doc_id stay where their group has no doc_id at all.
+    Copies are texts whose SimHash fingerprints differ in two bits or fewer, as in ``near_duplicates``, those of a
+    similarity of 0.8 or more on five-word shingles, which fingerprints so close cannot all find, and what they
+    reach. Rows without a doc_id stay where their group has no doc_id at all.
     """
-    groups = stored(similar_texts(docs), "groups")
+    groups = stored(similar_texts(docs, radius=RADIUS), "groups")
     keys = groups.groupBy("doc_id", "_th").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id"))
     lost = keys.where("not (doc_id <=> component_id)")
     twice = keys.where("doc_id <=> component_id and n > 1")

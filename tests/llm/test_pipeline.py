@@ -300,3 +300,19 @@ def test_digests_that_collide_drop_no_text(spark, monkeypatch):
     rng = random.Random(1)
     docs = spark.createDataFrame([(i, " ".join(f"v{rng.randrange(10**6)}" for _ in range(40))) for i in range(5)], "doc_id long, text string")
     assert simhash.near_duplicate_stage(spark, docs.coalesce(1), "").count() == 5
+
+
+def test_stage_keeps_one_text_of_close_fingerprints(spark):
+    """Texts whose fingerprints are within two bits are copies in the stage, also where their shingle sets are less alike than 0.8."""
+    rng = random.Random(11)
+    say = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(3):
+        line = say(31)  # an odd number of shingles, repeated so often that they decide every bit
+        texts += [" ".join(line * 40 + say(25)) for _ in "ab"]
+        a, b = (simhash.fingerprint_of(t.encode(), 3) for t in texts[-2:])
+        assert (a ^ b).bit_count() <= 2
+    alone = [" ".join(say(80)) for _ in range(4)]
+    assert set(similar_components(texts + alone).values()) == set(range(10))
+    docs = spark.createDataFrame(list(enumerate(texts + alone)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in simhash.near_duplicate_stage(spark, docs, "").collect()} == {0, 2, 4, 6, 7, 8, 9}
