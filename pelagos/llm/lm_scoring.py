@@ -14,8 +14,8 @@ from .lookup import Lookup
 from .storage import stored, table
 from .toxicity import remainder
 
-#: Grams of one shard of the tree, and words whose counts all tasks hold: both bound what is sent to a task.
-SHARD_GRAMS, FREQUENT_WORDS = 800_000, 1_000_000
+#: Grams of one shard of the tree (which passes through the driver), shards that a task holds at once, and words whose counts all tasks hold: these bound what is sent to a task.
+SHARD_GRAMS, SHARDS_AT_ONCE, FREQUENT_WORDS = 200_000, 4, 1_000_000
 #: Grams of one part of the tree as it is built.
 PART_GRAMS = 200_000
 BLOCK_BYTES = 1 << 20
@@ -156,14 +156,15 @@ def context_tree(counts: DataFrame, depth: int = DEPTH, part_grams: int = PART_G
     part_of = spark.range(1 << 16).select("id", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("p")).orderBy("id").toArrow().column("p").to_numpy()
     for s in range(shards):
         tables = list(top)
+        mine = built.where(F.col("part").isin(list(range(s, parts, shards)))).select("depth", "keys", "lengths").toArrow()
+        rows = list(zip(mine.column("depth").to_pylist(), mine.column("keys"), mine.column("lengths"), strict=True))
         for d in range(2, depth + 1):
-            mine = built.where((F.pmod("part", F.lit(shards)) == s) & (F.col("depth") == d)).select("keys", "lengths").toArrow()
-            keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in mine.column("keys"))])
-            lengths = np.concatenate([np.zeros((0, 8), np.float32), *(np.frombuffer(x.as_buffer(), np.float32).reshape(-1, 8) for x in mine.column("lengths"))])
-            del mine
+            keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for at, x, _ in rows if at == d)])
+            lengths = np.concatenate([np.zeros((0, 8), np.float32), *(np.frombuffer(x.as_buffer(), np.float32).reshape(-1, 8) for at, _, x in rows if at == d)])
             order = np.argsort(keys)
             tables.append((keys[order], lengths[order]))
             del keys, lengths, order
+        del mine, rows
         yield s, shards, Tree(tables), (part_of % shards if shards > 1 else None)
 
 
@@ -192,12 +193,16 @@ def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, part_grams: int =
     del got
     plain = docs.select("doc_id", F.xxhash64("text").alias("_th"), F.col("text").cast("binary").alias("_t"))
     fields = ["doc_id", "_th", "n_tokens", "n_known", "base", "n_bytes", "score", "rare"]
-    parts = None
+    parts, held, passes = None, [], 0
     for shard, shards, rows, part_of in context_tree(tree, depth, part_grams, shard_grams):
-        held = spark.sparkContext.broadcast((rows, part_of, common if shard == 0 else None))
-
-        def run(batches, held=held, shard=shard):
-            rows, part_of, common = held.value
+        held.append((shard, spark.sparkContext.broadcast((rows, part_of, common if shard == 0 else None))))
+        del rows
+        if len(held) < SHARDS_AT_ONCE and shard + 1 < shards:
+            continue
+
+        def run(batches, held=tuple(held)):
+            sent = [(shard, *x.value) for shard, x in held]
+            first, common = sent[0][0] == 0, sent[0][3]
             for b in batches:
                 texts = binary_column(b, "_t")
                 out = {c: np.zeros(len(texts), dtype=np.int64) for c in ("n_tokens", "n_known", "n_bytes")} | {c: np.zeros(len(texts)) for c in ("base", "score")}
@@ -205,7 +210,7 @@ def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, part_grams: int =
                 for i, j in in_blocks(texts, BLOCK_BYTES):
                     w = Words(texts[i:j])
                     key, doc = grams(w, j - i, depth)
-                    if shard == 0:
+                    if first:
                         out["n_tokens"][i:j] = w.count + 1
                         out["n_bytes"][i:j] = np.bincount(doc, minlength=j - i)
                         at = common.find(np.append(w.hash, np.full(j - i, END)))
@@ -219,10 +224,10 @@ def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, part_grams: int =
                         if few.any():
                             rare.append(w.hash[few].view(np.int64))
                             sizes[i:j] = np.bincount(w.doc[few], minlength=j - i)
-                    if part_of is not None:
-                        mine = part_of[_unit(key, depth)] == shard
-                        key, doc = key[mine], doc[mine]
-                    out["score"][i:j] = np.bincount(doc, weights=rows.log10(key), minlength=j - i)
+                    place = None if sent[0][2] is None else sent[0][2][_unit(key, depth)]
+                    for shard, rows, _, _ in sent:
+                        mine = slice(None) if place is None else place == shard
+                        out["score"][i:j] += np.bincount(doc[mine], weights=rows.log10(key[mine]), minlength=j - i)
                 cols = [pa.array(out[c]) for c in ("n_tokens", "n_known", "base", "n_bytes", "score")]
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rare)))
@@ -230,11 +235,14 @@ def scores(docs: DataFrame, learn: Column, depth: int = DEPTH, part_grams: int =
 
         ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _th long, n_tokens long, n_known long, base double, n_bytes long, score double, rare array<bigint>"
         part = stored(plain.mapInArrow(run, ddl), "lm-scores")
-        parts = part if parts is None else parts.union(part)
+        parts, passes = part if parts is None else parts.union(part), passes + 1
+        for _, x in held:
+            x.destroy()
+        held = []
     each = parts.groupBy("doc_id", "_th").agg(
         F.count("*").alias("_n"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "n_bytes", "score"))
     )
-    each = each.withColumn("_copies", (F.col("_n") / shards).cast("long"))
+    each = each.withColumn("_copies", (F.col("_n") / passes).cast("long"))
     if least > 1:
         few = words.where((F.col("c") < least) & ~is_end)
         tail = parts.select("doc_id", "_th", F.explode("rare").alias("k")).join(few, "k")

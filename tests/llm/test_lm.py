@@ -114,3 +114,20 @@ def test_nothing_to_learn_from(spark):
 def test_crc_remainder(spark):
     r = spark.createDataFrame([(1234,), (None,)], "doc_id long").select(lm_scoring.remainder(F.col("doc_id"), 7).alias("r")).collect()
     assert [x["r"] for x in r] == [zlib.crc32(b"1234") % 7, 0]
+
+
+def test_driver_holds_one_small_shard_at_a_time(spark, monkeypatch):
+    """Shards are sent one by one, several are scored in one pass, and none stays on the driver after its pass."""
+    sent, gone = [], []
+    kind = type(spark.sparkContext.broadcast(0))
+    plain, destroy = type(spark.sparkContext).broadcast, kind.destroy
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, v: (sent.append(plain(self, v)), sent[-1])[1])
+    monkeypatch.setattr(kind, "destroy", lambda self, *a: (gone.append(self), destroy(self, *a))[1])
+    docs = spark.createDataFrame(corpus(4), "doc_id long, text string")
+    passes = []
+    keep = lm_scoring.stored
+    monkeypatch.setattr(lm_scoring, "stored", lambda df, name: (passes.append(name), keep(df, name))[1])
+    lm_scoring.scores(docs, F.lit(True), 3, 20, 20).collect()
+    shards = len(sent) - 1  # the first is what stands above the parts
+    assert shards > 4 and passes.count("lm-scores") == -(-shards // lm_scoring.SHARDS_AT_ONCE) and len(gone) == shards
+    assert lm_scoring.SHARD_GRAMS * 48 * 4 < 50e6
