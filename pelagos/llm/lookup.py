@@ -1,17 +1,13 @@
-"""Sums of table values over the keys of each text, with the table dealt into shards of a bounded size."""
+"""Tables of values by key that tasks hold."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .bytesvec import mix
 
-#: Rows of one shard, which passes through the driver: 12 bytes each. A task holds so many shards at once, about 50 MB however large the table is.
-SHARD_ROWS, SHARDS_AT_ONCE = 1_000_000, 4
+#: Rows of a table that passes through the driver to all tasks at most: 12 bytes each.
+SHARD_ROWS = 1_000_000
 
 
 class Lookup:
@@ -53,22 +49,3 @@ def pair_key(*parts: np.ndarray) -> np.ndarray:
     for p in parts[1:]:
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + p)
     return key
-
-
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each key: from its low bits, as the places in a table come from its high ones."""
-    return ((keys & np.uint64(0xFFFFFFFF)) % np.uint64(shards)).astype(np.int64)
-
-
-def in_shards(table: DataFrame, shard_rows: int = SHARD_ROWS) -> Iterator[tuple[int, int, Lookup]]:
-    """``table``: ``k`` (long, distinct), ``w`` (double). One shard after the other: its number, how many there are, its rows.
-
-    The number of shards follows the table, so each holds about ``shard_rows`` rows at any size.
-    """
-    shards = max(1, -(-table.count() // shard_rows))
-    low = F.col("k").bitwiseAND(F.lit(0xFFFFFFFF))
-    for s in range(shards):
-        rows = table.where(F.pmod(low, F.lit(shards)) == s).select("k", F.col("w").cast("float")).toArrow()
-        yield s, shards, Lookup(
-            rows.column("k").to_numpy().view(np.uint64), rows.column("w").to_numpy().astype(np.float32)
-        )

@@ -9,11 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytesvec import Words, binary_column, in_blocks
-from .lookup import SHARD_ROWS, SHARDS_AT_ONCE, in_shards, pair_key, shard_of
-from .storage import stored, table
+from .lookup import SHARD_ROWS, Lookup, pair_key
+from .storage import discard, small, stored, table
 
-#: About so many bytes of trusted text are fitted on at most, shared by the languages: the model's size has a bound.
-FIT_BYTES = 5_000_000
 #: A language's threshold is this quantile of the perplexities of its trusted documents.
 QUANTILE = 0.97
 #: What a short text's perplexity may exceed it by: 10 to the power MARGIN / sqrt(tokens), from the spread of one token.
@@ -90,7 +88,8 @@ def fit(trusted: DataFrame) -> tuple[DataFrame, float]:
     """The interpolated modified Kneser-Ney trigram model of the texts as a table ``k``, ``w``, and the log10 probability of an unknown word.
 
     The log10 probability of a text is the sum of the table's values over its one-, two- and three-word keys:
-    each key holds what it adds to the estimate of the next lower order, plus its own back-off weight.
+    each key holds what it adds to the estimate of the next lower order, plus its own back-off weight. The tables
+    of counts are deleted once the model is written.
     """
     c3 = stored(trigram_counts(trusted), "trigrams")
     c2 = c3.groupBy("v", "w").agg(F.count("*").alias("types"), F.sum("c").alias("uses"))
@@ -121,64 +120,97 @@ def fit(trusted: DataFrame) -> tuple[DataFrame, float]:
         .union(ctx2.select(_key("u", "v").alias("k"), F.log10(F.col("left") / F.col("total")).alias("w")))
         .union(p3.select(_key("u", "v", "w").alias("k"), F.log10((F.col("c") - _cut(d3)) / F.col("total") / low3 + 1).alias("w")))
     )
-    return stored(rows.groupBy("k").agg(F.sum("w").alias("w")), "model"), float(np.log10(unknown))
+    model = stored(rows.groupBy("k").agg(F.sum("w").alias("w")), "model")
+    for counts in (c3, c2, c1, p2):
+        discard(counts)
+    return model, float(np.log10(unknown))
+
+
+def _text_key(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
+def _looked_up(docs: DataFrame, model: DataFrame, unknown: float, names: tuple[str, str]) -> DataFrame:
+    """``with_log_probability`` under a model small enough to be sent to all tasks."""
+    at = docs.columns.index("text")
+    schema = docs.withColumns({names[0]: F.lit(0).cast("long"), names[1]: F.lit(0).cast("double")}).schema
+    rows = model.select("k", F.col("w").cast("float")).toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast(Lookup(rows.column("k").to_numpy().view(np.uint64), rows.column("w").to_numpy().astype(np.float32)))
+
+    def run(batches):
+        known = sent.value
+        for b in batches:
+            texts = [x or b"" for x in b.column(at).cast(pa.binary()).to_pylist()]
+            sums, sizes = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
+            for i, j in in_blocks(texts, BLOCK_BYTES):
+                for keys, of, one in _occurrences(texts[i:j]):
+                    w = known.get(keys, unknown if one else 0.0)
+                    if one:  # a start is never predicted, so it is never an unknown word
+                        w = np.where(keys == START, known.get(np.array([START]), 0.0)[0], w)
+                        sizes[i:j] = np.bincount(of[keys != START], minlength=j - i)
+                    sums[i:j] += np.bincount(of, weights=w, minlength=j - i)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes), pa.array(sums)], schema=pa.schema([*b.schema, (names[0], pa.int64()), (names[1], pa.float64())]))
+
+    return docs.mapInArrow(run, schema)
+
+
+def _occurrences(texts: list[bytes]):
+    """One-, two- and three-word keys of a block of texts: the keys, the text of each, and whether they are single words."""
+    seq, doc, _ = padded(texts)
+    two, three = doc[1:] == doc[:-1], doc[2:] == doc[:-2]
+    yield seq[1:][two], doc[1:][two], True  # the first start is a context of pairs only
+    yield pair_key(seq[:-1], seq[1:])[two], doc[1:][two], False
+    yield pair_key(seq[:-2], seq[1:-1], seq[2:])[three], doc[2:][three], False
+
+
+def _joined(docs: DataFrame, model: DataFrame, unknown: float, names: tuple[str, str]) -> DataFrame:
+    """``with_log_probability`` under a model of any size: the keys of all texts are joined with it, their values summed by text.
+
+    Equal texts are summed together and share the sums: each has one end.
+    """
+    plain = docs.select(_text_key(docs).alias("_th"), F.col("text").cast("binary").alias("_t"))
+
+    def run(batches):
+        for b in batches:
+            texts, names = binary_column(b, "_t"), b.column(0).to_numpy()
+            for i, j in in_blocks(texts, BLOCK_BYTES):
+                for keys, of, one in _occurrences(texts[i:j]):
+                    cols = [pa.array(names[i:j][of]), pa.array(keys.view(np.int64)), pa.array((keys != START) & one)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["_th", "k", "one"])
+
+    met = plain.mapInArrow(run, "_th long, k long, one boolean").join(model, "k", "left")
+    ends = F.count_if(F.col("one") & (F.col("k") == _signed(END)))
+    value = F.coalesce("w", F.when(F.col("one"), F.lit(unknown)).otherwise(F.lit(0.0)))
+    sums = met.groupBy("_th").agg(ends.alias("ends"), F.count_if("one").alias("n"), F.sum(value).alias("p"))
+    key = _fresh(docs, "text_key")[0]
+    sums = stored(sums.select(F.col("_th").alias(key), (F.col("n") / F.col("ends")).cast("long").alias(names[0]), (F.col("p") / F.col("ends")).alias(names[1])), "log-probabilities")
+    return docs.withColumn(key, _text_key(docs)).join(sums, key, "left").select(*docs.columns, *names)
 
 
 def with_log_probability(docs: DataFrame, model: DataFrame, unknown: float, names: tuple[str, str], shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``docs`` with two more columns: the tokens (words and one end) of ``text`` and its log10 probability.
 
-    The model is joined by shards: each step adds what some of them have of a text's keys. Steps follow one
-    another in one pass over the texts, which are not shuffled.
+    A model of at most ``shard_rows`` rows is sent to all tasks. A larger one is joined, so that nothing of it
+    passes through the driver and the work grows with the texts.
     """
-    at = docs.columns.index("text")
-    out = docs.withColumns({names[0]: F.lit(0).cast("long"), names[1]: F.lit(0).cast("double")})
-    schema = out.schema
-    held = []
-    for shard, shards, rows in in_shards(model, shard_rows):
-        held.append((shard, docs.sparkSession.sparkContext.broadcast(rows)))
-        del rows
-        if len(held) < SHARDS_AT_ONCE and shard + 1 < shards:
-            continue
-
-        def run(batches, held=tuple(held), shards=shards):
-            for b in batches:
-                texts = [x or b"" for x in b.column(at).cast(pa.binary()).to_pylist()]
-                sums, sizes = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
-                for i, j in in_blocks(texts, BLOCK_BYTES):
-                    seq, doc, count = padded(texts[i:j])
-                    sizes[i:j] = count + 1
-                    one = np.concatenate([[False], doc[1:] == doc[:-1]])  # the first start is a context of pairs only
-                    two, three = doc[1:] == doc[:-1], doc[2:] == doc[:-2]
-                    for keys, of, least in (
-                        (seq[one], doc[one], unknown),
-                        (pair_key(seq[:-1], seq[1:])[two], doc[1:][two], 0.0),
-                        (pair_key(seq[:-2], seq[1:-1], seq[2:])[three], doc[2:][three], 0.0),
-                    ):
-                        place = shard_of(keys, shards)
-                        for shard, known in held:
-                            mine = place == shard
-                            found, whose = keys[mine], of[mine]
-                            w = known.value.get(found, least)
-                            if least:  # a start is never predicted, so it is never an unknown word
-                                w = np.where(found == START, known.value.get(np.array([START]), 0.0)[0], w)
-                            sums[i:j] += np.bincount(whose, weights=w, minlength=j - i)
-                cols = b.columns[:-2] + [pa.array(sizes), pa.array(sums + b.column(b.num_columns - 1).to_numpy())]
-                yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
-
-        out, held = out.mapInArrow(run, schema), []
-    return out
+    by = _looked_up if model.limit(shard_rows + 1).count() <= shard_rows else _joined
+    return by(docs, model, unknown, names)
 
 
-def split_trusted(docs: DataFrame, labels: DataFrame, fit_bytes: int = FIT_BYTES) -> tuple[DataFrame, DataFrame]:
+def split_trusted(docs: DataFrame, labels: DataFrame, fit_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Of the documents that ``labels`` calls good: those to fit on, and those held out for the thresholds.
 
-    Two in three may be fitted on: of each language as large a share, drawn by a hash of the id, as makes its
-    part of ``fit_bytes``, which is even but for languages that have less; what those leave goes to the others. Texts are not shuffled for it: the keys are joined, then the chosen ones looked up.
+    By a hash of the id two in three are fitted on and one in three is held out: each serves for the counts or for
+    the thresholds, none is left out. With ``fit_bytes`` only as large a share of each language's two in three is
+    fitted on as makes its part of it, which is even but for languages that have less; what those leave goes to the others. Texts are not shuffled for it: the keys are joined, then the chosen ones looked up.
     """
     good = labels.where("quality = 1").select("doc_id").distinct()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(3_000_000))
     keys = docs.where("text is not null").select("doc_id", "lang", F.octet_length("text").alias("n"), draw.alias("draw"))
     keys = stored(keys.join(good, "doc_id", "left_semi"), "trusted")
+    held = docs.join(stored(keys.where("draw < 1000000").select("doc_id").distinct(), "held"), "doc_id", "left_semi")
+    if fit_bytes is None:
+        return docs.join(stored(keys.where("draw >= 1000000").select("doc_id").distinct(), "fit"), "doc_id", "left_semi"), held
     sizes = keys.where("draw >= 1000000").groupBy("lang").agg(F.sum("n").alias("n"))
     # languages with less than an even part leave the rest to the others: a level up to which each is filled
     order = Window.orderBy("n", "lang")
@@ -191,8 +223,7 @@ def split_trusted(docs: DataFrame, labels: DataFrame, fit_bytes: int = FIT_BYTES
     drawn = keys.alias("k").join(F.broadcast(share).alias("s") if langs <= 1000 else share.alias("s"), F.col("k.lang").eqNullSafe(F.col("s.lang")))
     drawn = drawn.where((F.col("draw") >= 1_000_000) & (F.col("draw") - 1_000_000 < F.col("share") * 2_000_000)).select("doc_id")
     picked = stored(drawn.distinct(), "fit")
-    held = stored(keys.where("draw < 1000000").select("doc_id").distinct(), "held")
-    return docs.join(picked, "doc_id", "left_semi"), docs.join(held, "doc_id", "left_semi")
+    return docs.join(picked, "doc_id", "left_semi"), held
 
 
 def _fresh(docs: DataFrame, *names: str) -> list[str]:
@@ -206,7 +237,7 @@ def _fresh(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def classify(docs: DataFrame, labels: DataFrame, fit_bytes: int = FIT_BYTES, quantile: float = QUANTILE, margin: float = MARGIN, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, list[str]]:
+def classify(docs: DataFrame, labels: DataFrame, fit_bytes: int | None = None, quantile: float = QUANTILE, margin: float = MARGIN, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, list[str]]:
     """``docs`` with five more columns, and their names: tokens, log10 probability, perplexity, threshold, keep.
 
     A language's threshold is the ``quantile`` of the perplexities of its held-out trusted documents, or of all
@@ -242,5 +273,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps."""
-    out, names = classify(docs, table(spark, sf_dir, "labels"))
-    return out.where(F.col(names[-1])).select(*docs.columns)
+    key = _fresh(docs, "text_key")[0]
+    out, names = classify(docs.select("doc_id", "lang", "text"), table(spark, sf_dir, "labels"))
+    lost = out.where(~F.col(names[-1])).select("doc_id", "lang", _text_key(out).alias("_th")).distinct()
+    lost = stored(lost, "lost")
+    keyed = docs.withColumn(key, _text_key(docs))
+    same = keyed["doc_id"].eqNullSafe(lost["doc_id"]) & keyed["lang"].eqNullSafe(lost["lang"]) & (keyed[key] == lost["_th"])
+    return keyed.join(small(lost), same, "left_anti").select(*docs.columns)

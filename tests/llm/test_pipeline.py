@@ -316,3 +316,21 @@ def test_stage_keeps_one_text_of_close_fingerprints(spark):
     assert set(similar_components(texts + alone).values()) == set(range(10))
     docs = spark.createDataFrame(list(enumerate(texts + alone)), "doc_id long, text string").repartition(3)
     assert {r["doc_id"] for r in simhash.near_duplicate_stage(spark, docs, "").collect()} == {0, 2, 4, 6, 7, 8, 9}
+
+
+def test_all_trusted_text_counts(spark):
+    """Beyond the former bound of 5 MB each trusted document is fitted on or held out for the thresholds."""
+    docs = spark.range(80).selectExpr("id doc_id", "repeat(concat('w', id, ' '), 30000) text", "'en' lang")
+    labels = docs.selectExpr("doc_id", "1 quality", "0 toxic")
+    fitted, held = (rows.selectExpr("doc_id", "octet_length(text) n").collect() for rows in quality.split_trusted(docs, labels))
+    assert sum(r["n"] for r in fitted) > 5_500_000
+    assert sorted(r["doc_id"] for r in fitted + held) == list(range(80))
+
+
+def test_joined_scores_of_repeated_and_empty_texts(spark):
+    """A model of any size gives what one that is sent to the tasks gives, also for copies and texts without words."""
+    rows = [(1, "a b c"), (2, "a b c"), (1, "a b c"), (3, None), (4, ""), (5, "x a a b"), (None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, unknown = quality.fit(spark.createDataFrame([("a b c",), ("a b d",), ("",)], "text string"))
+    got = [Counter((r["doc_id"], r["text"], r["n"], round(r["p"], 4)) for r in quality.with_log_probability(docs, model, unknown, ("n", "p"), size).collect()) for size in (10**6, 1)]
+    assert got[0] == got[1] and sum(got[0].values()) == 7 and {r[0]: r[2] for r in got[0]} == {1: 4, 2: 4, 3: 1, 4: 1, 5: 5, None: 1}
