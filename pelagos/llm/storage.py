@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,19 +40,59 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: its lineage ends there."""
+@contextmanager
+def lean_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it the files that a query shuffled are deleted when it has ended, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def stored(df: DataFrame, name: str, lean: bool = False, by: list[str] | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: its lineage ends there.
+
+    ``lean``: with ``lean_shuffles``. ``by``: in folders by these columns, which can be discarded one by one.
+    """
     path = shared_path(df.sparkSession, name)
     small_batches(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    with lean_shuffles(df.sparkSession) if lean else nullcontext():
+        df.write.option("compression", "zstd").partitionBy(*by or []).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a table that ``stored`` gave. Only for tables that nothing reads any more: what was made of them must be stored itself."""
+class Bucketed:
+    """A table in the shared folder, dealt by ``key`` into ``buckets``: what is dealt alike meets it without a shuffle of it."""
+
+    def __init__(self, spark: SparkSession, name: str, key: str, buckets: int):
+        self.spark, self.key, self.buckets = spark, key, buckets
+        self.path, self.table = shared_path(spark, name), f"{name}_{uuid.uuid4().hex}"
+
+    def add(self, rows: DataFrame) -> None:
+        small_batches(self.spark)
+        out = rows.repartition(self.buckets, self.key).write.option("compression", "zstd").option("path", self.path)
+        with lean_shuffles(self.spark):
+            out.bucketBy(self.buckets, self.key).mode("append").format("parquet").saveAsTable(self.table)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.table).withMetadata(self.key, {"table": self.table})
+
+
+def drop_bucketed(df: DataFrame) -> None:
+    """Drops a table that ``Bucketed`` gave, and its files, as ``discard`` does."""
+    name = next(m["table"] for m in (f.metadata for f in df.schema.fields) if "table" in m)
+    discard(df)
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def discard(df: DataFrame, part: str = "") -> None:
+    """Deletes the files of a table that ``stored`` gave, or those of its folder ``part``. Only for what nothing reads any more: what was made of it must be stored itself."""
     spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file)).getParent()
+    for path in {file.rpartition("/")[0] for file in df.inputFiles() if f"{part}/" in file}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(path))
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
