@@ -361,7 +361,7 @@ def _dealt_keys(rows: DataFrame, buckets: int) -> DataFrame:
 def _met(docs: DataFrame, model: DataFrame, unknown: float, names: tuple[str, str]) -> Callable[[DataFrame], DataFrame]:
     """``scorer`` for a model of any size: the keys of all texts go to the model's buckets, one slice of the texts after the other.
 
-    Equal texts are summed together and share the sums: each has one end.
+    A bucket's sums by text travel in packed rows, as a text has keys in most buckets. Equal texts are summed together and share the sums: each has one end.
     """
     buckets = model.select("buckets").first()[0]
 
@@ -376,12 +376,18 @@ def _met(docs: DataFrame, model: DataFrame, unknown: float, names: tuple[str, st
             at = np.cumsum(sizes) - sizes
             ends, n = ((np.add.reduceat(x.astype(np.int64), at) if one else np.zeros(len(at), np.int64)) for x in (keys == END, keys != START))
             found.append((_column(rows, "names", np.int64), ends, n, np.add.reduceat(_values(known, keys, one, unknown), at)))
-        if not found:
-            return pa.table({"_th": pa.array([], pa.int64()), "ends": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "p": pa.array([], pa.float64())})
-        text, ends, n, p = (np.concatenate(x) for x in zip(*found, strict=True))
+        found = [np.concatenate(x) for x in zip(*found, strict=True)] or [np.empty(0, np.int64)] * 4
+        text, sums = added(*found)
+        used, cols = _dealt(_bucket(text.view(np.uint64), buckets), [text, *sums])
+        return pa.table([pa.array(used), *cols], names=["of", "text", "ends", "n", "p"])
+
+    def added(text: np.ndarray, *parts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         text, of = np.unique(text, return_inverse=True)
-        sums = [np.bincount(of, weights=x, minlength=len(text)) for x in (ends, n, p)]
-        return pa.table({"_th": text, "ends": sums[0].astype(np.int64), "n": sums[1].astype(np.int64), "p": sums[2]})
+        return text, [np.bincount(of, weights=x, minlength=len(text)) for x in parts]
+
+    def add_up(t: pa.Table) -> pa.Table:
+        text, (ends, n, p) = added(_column(t, "text", np.int64), *(_column(t, x, np.float64) for x in ("ends", "n", "p")))
+        return pa.table([pa.array(text), pa.array((n / ends).round().astype(np.int64)), pa.array(p / ends)], names=[key, *names])
 
     plain = docs.select(_text_key(docs).alias("_th"), F.col("text").cast("binary").alias("_t"))
     key = _fresh(docs, "text_key")[0]
@@ -389,9 +395,8 @@ def _met(docs: DataFrame, model: DataFrame, unknown: float, names: tuple[str, st
     slices = _pieces(_bytes(docs), SLICES)
     for i in range(slices):
         dealt = _dealt_keys(plain.where(F.pmod("_th", F.lit(slices)) == i), buckets)
-        met = dealt.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(look_up, "_th long, ends long, n long, p double")
-        sums = met.groupBy("_th").agg(*[F.sum(x).alias(x) for x in ("ends", "n", "p")])
-        sums = sums.select(F.col("_th").alias(key), (F.col("n") / F.col("ends")).cast("long").alias(names[0]), (F.col("p") / F.col("ends")).alias(names[1]))
+        met = dealt.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(look_up, "of int, text binary, ends binary, n binary, p binary")
+        sums = met.groupBy("of").applyInArrow(add_up, f"`{key}` long, `{names[0]}` long, `{names[1]}` double")
         parts.append(stored(sums, "log-probabilities", lean=True))
     sums = reduce(DataFrame.union, parts)
     return lambda rows: rows.withColumn(key, _text_key(rows)).join(sums, key, "left").select(*rows.columns, *names)
