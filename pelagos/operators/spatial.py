@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -54,10 +56,47 @@ def nearest(left: DataFrame, right: DataFrame, within_km: float, radius: float =
     return close.union(within(left.join(close, "id", "left_anti"), right, within_km, radius))
 
 
+def _first_look(sites: DataFrame, within_km: float) -> float:
+    """Kilometres, ``within_km`` at most, within which sites have a few others: as many as there are in the cells that they lie in, not in the mean cell."""
+    km = within_km
+    while True:
+        high = km / _KM_PER_DEGREE
+        cells = sites.groupBy(F.floor(F.col("lat") / high), F.floor(F.col("lng") * F.cos(F.radians("lat")) / high)).agg(F.count("*").cast("double").alias("n"))
+        crowd = cells.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 1.0
+        if crowd <= 16:
+            return km
+        km *= (8 / (math.pi * crowd)) ** 0.5
+
+
+def _two(seats: DataFrame, sites: DataFrame, km: float) -> DataFrame:
+    """Per ``lat``, ``lng`` of ``seats`` the nearest of ``sites`` within the distance, ``km`` to it and to the next (``second``, null if there is none)."""
+    a = seats.select(F.struct("lat", "lng").alias("id"), "lat", "lng")
+    b = sites.select(F.struct("other", "several").alias("id"), "lat", "lng")
+    w = W.Window.partitionBy("lat", "lng").orderBy("km", "other")
+    pairs = radius_join(a, b, km).select("id.*", "other.*", "km").withColumns({"k": F.row_number().over(w), "next": F.lead("km").over(w)})
+    return pairs.where("k = 1").select("lat", "lng", "other", "km", F.when(F.col("several"), F.col("km")).otherwise(F.col("next")).alias("second"))
+
+
 def nearest_two(left: DataFrame, right: DataFrame, within_km: float) -> DataFrame:
-    """Per ``id`` the nearest place, its distance and that of the next (null if there is none)."""
+    """Per ``id`` the nearest place, its distance and that of the next (null if there is none).
+
+    Places at one point are looked for and looked at once. The first look goes as far as a few places are, by how
+    crowded they lie; points that have two there are done, the others look three times as far each time, so in dense
+    parts few of the pairs within the distance are formed.
+    """
+    seats = written(left.select("lat", "lng").distinct(), "seats")
+    sites = written(right.groupBy("lat", "lng").agg(F.min("id").alias("other"), (F.count("*") > 1).alias("several")), "sites")
+    found, km = None, _first_look(sites, within_km)
+    while km * 2 < within_km:
+        close = written(_two(seats, sites, km).where("second is not null"), "nearest")
+        seats = seats.join(close, ["lat", "lng"], "left_anti")
+        found = close if found is None else found.union(close)
+        km *= 3
+    last = _two(seats, sites, within_km)
+    found = last if found is None else found.union(last)
+    # an id at several points has the two nearest of all of them
     w = W.Window.partitionBy("id").orderBy("km", "other")
-    ranked = radius_join(left, right, within_km).withColumns({"k": F.row_number().over(w), "second": F.lead("km").over(w)})
+    ranked = left.select("id", "lat", "lng").join(found, ["lat", "lng"]).withColumns({"k": F.row_number().over(w), "second": F.least("second", F.lead("km").over(w))})
     return ranked.where("k = 1").select("id", "other", "km", "second")
 
 

@@ -29,6 +29,29 @@ def test_radius_join(spark, km, low, high):
     assert got == {(x[0], y[0]) for x in a for y in b if haversine(x[1:], y[1:]) <= km}
 
 
+def test_nearest_two(spark, monkeypatch):
+    """Crowded and lonely places, several at one point, ids at several points, places without a point: few of the pairs within the distance are formed."""
+    rng = random.Random(5)
+    crowd = lambda n, lat, wide: [(lat + rng.uniform(0, wide), -70 + rng.uniform(0, wide)) for _ in range(n)]
+    b = list(enumerate([*crowd(500, -30, 0.5), *crowd(200, -30.2, 0.01), *crowd(20, -31, 9), (-45.0, -70.0), (-50.0, -70.0), (-50.0, -70.0)]))
+    b += [(k + 1000, at) for k, at in b[100:150]] + [(5000, (None, None)), (5001, (None, -70.0))]
+    a = list(enumerate([*crowd(300, -30, 0.5), *crowd(50, -30.2, 0.01), *crowd(30, -31, 9), (-45.0, -70.0), (-45.3, -70.0), (-50.4, -70.0), (-60.0, -70.0), b[120][1], (None, -70.0)]))
+    a += [(k, at) for k, at in a[:20]] + [(k + 400, at) for k, at in a[20:40]] + [(1, (-50.4, -70.0)), (2, (-45.0, -70.0))]
+    want = {}
+    for i, p in a:
+        want.setdefault(i, []).extend((km, o) for o, q in b if p[0] and q[0] and (km := haversine(p, q)) <= 200)
+    want = {i: (*sorted(near)[:2], None)[:2] for i, near in want.items() if near}
+    formed, join = [], spatial.radius_join
+    monkeypatch.setattr(spatial, "radius_join", lambda *x: formed.append((df := join(*x)).count()) or df)
+    left, right = (spark.createDataFrame([(k, *at) for k, at in x], "id long, lat double, lng double") for x in (a, b))
+    got = {r["id"]: r for r in spatial.nearest_two(left, right, 200.0).collect()}
+    assert got.keys() == want.keys() and {i: r["other"] for i, r in got.items()} == {i: x[0][1] for i, x in want.items()}
+    for i, (first, second) in want.items():
+        assert got[i]["km"] == pytest.approx(first[0]) and (got[i]["second"] == pytest.approx(second[0]) if second else got[i]["second"] is None)
+    assert {len(x) - x.count(None) for x in want.values()} == {1, 2} and sum(formed) < 60 * len(a)
+    assert spatial.nearest_two(left, right.limit(0), 200.0).collect() == [] and spatial.nearest_two(left.limit(0), right, 200.0).collect() == []
+
+
 def test_overlaps_and_unions(spark):
     rng = random.Random(3)
     rows = [(g, i, float(a), float(a + rng.randint(0, 12))) for g in range(4) for i, a in enumerate(rng.choices(range(60), k=25))]
