@@ -32,8 +32,8 @@ def fill(edges: DataFrame, size: float) -> DataFrame:
     return spans.select("id", "r", F.explode(_centres(F.col("x"), F.col("to"), size)).alias("c"))
 
 
-def near_lines(lines: DataFrame, distance: float, size: float) -> DataFrame:
-    """``id``, ``r``, ``c`` of the cells whose centre is within ``distance`` of a segment of ``lines`` (``id``, ``x1``, ``y1``, ``x2``, ``y2``).
+def _beside(lines: DataFrame, distance: float, size: float) -> DataFrame:
+    """``lines`` with ``r``, ``c`` of the cells whose centre is within ``distance`` of the segment.
 
     In each row only the columns beside the part of the segment that lies within the distance of it are tried.
     """
@@ -44,7 +44,26 @@ def near_lines(lines: DataFrame, distance: float, size: float) -> DataFrame:
     a, b = F.coalesce(x_at(y - distance), "x1"), F.coalesce(x_at(y + distance), "x2")
     cells = rows.withColumn("c", F.explode(_centres(F.least(a, b) - distance - size, F.greatest(a, b) + distance + size, size)))
     d = segment_distance((F.col("c") + 0.5) * size, y, F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    return cells.where(d <= distance).select("id", "r", "c").distinct()
+    return cells.where(d <= distance)
+
+
+def near_lines(lines: DataFrame, distance: float, size: float) -> DataFrame:
+    """``id``, ``r``, ``c`` of the cells whose centre is within ``distance`` of a segment of ``lines`` (``id``, ``x1``, ``y1``, ``x2``, ``y2``)."""
+    return _beside(lines, distance, size).select("id", "r", "c").distinct()
+
+
+def mask(edges: DataFrame, distance: float, size: float) -> DataFrame:
+    """``r``, ``c`` of the cells within any polygon whose centre is not within ``distance`` of any outline.
+
+    Both kinds of cells are grouped together, each task's first: how many cells polygons have is not seen by sizes of
+    files, so that a join could have them all sent through the driver, and a small file's edges are dealt out for it.
+    Sides that outlines have in common are looked at once.
+    """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = ["x1", "y1", "x2", "y2"]
+    held = fill(edges.repartition(parts, "id", *side), size).select("r", "c", F.lit(False).alias("near"))
+    beside = _beside(edges.select(side).repartition(parts, *side).distinct(), distance, size).select("r", "c", F.lit(True))
+    return held.union(beside).groupBy("r", "c").agg(F.bool_or("near").alias("near")).where("not near").select("r", "c")
 
 
 def border_cells(edges: DataFrame, distance: float, size: float) -> DataFrame:

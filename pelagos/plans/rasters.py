@@ -42,9 +42,7 @@ def rasterise_polygons(spark: SparkSession, sf: str) -> DataFrame:
 
 def raster_mask(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of any area that are not near any outline."""
-    edges = _edges(spark, sf)
-    held = raster.fill(edges, _CELL).select("r", "c").distinct()
-    return held.join(raster.near_lines(edges, _BAND, _CELL).select("r", "c"), ["r", "c"], "left_anti")
+    return raster.mask(_edges(spark, sf), _BAND, _CELL)
 
 
 def border_gap_overlap(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 
 from pelagos.operators import raster
 from pelagos.operators.graph import grid_costs
+from pelagos.plans import rasters
 
 
 def sees(a, b, walls):
@@ -76,6 +77,25 @@ def test_near_lines(spark):
     assert sorted(map(tuple, raster.near_lines(df, 0.71, 0.2).collect())) == sorted(want)
 
 
+def test_mask(spark):
+    """Stars, some of them twice or with a side in common, and a ring with a hole: cells within any of them and not near any outline."""
+    rng = random.Random(4)
+    rings = [(k, [(5 + math.cos(t) * (d := rng.uniform(2, 5)), 5 + math.sin(t) * d) for t in (i * math.tau / 9 for i in range(9))]) for k in range(3)]
+    rings += [(k + 10, ring) for k, ring in rings[:2]] + [(20, [(10, 0), (18, 0), (18, 8), (10, 8)]), (20, [(12, 2), (12, 5), (16, 5), (16, 2)]), (21, [(18, 0), (23, 0), (18, 8)])]
+    edges = spark.createDataFrame([(k, *map(float, e)) for k, *e in edges_of(rings)], "id long, x1 double, y1 double, x2 double, y2 double")
+    held, band = raster.fill(edges, 0.25), raster.near_lines(edges, 0.6, 0.25)
+    want = {(r["r"], r["c"]) for r in held.collect()} - {(r["r"], r["c"]) for r in band.collect()}
+    got = [*map(tuple, raster.mask(edges, 0.6, 0.25).collect())]
+    assert sorted(got) == sorted(want) and len(want) > 100
+    assert raster.mask(edges.limit(0), 0.6, 0.25).collect() == []
+
+
+def test_mask_is_not_sent_through_the_driver(spark, capsys):
+    """Cells of a small file are many: with a join, Spark would go by the file's size."""
+    rasters.raster_mask(spark, "/root/testdata/sf0.001").explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
 def test_border_of_rectangles(spark):
     """Two rectangles apart by 0.4 and one that laps over by 0.2: gap and overlap along ten units of border."""
     rings = [(1, [(0, 0), (4, 0), (4, 10), (0, 10)]), (2, [(4.4, 0), (8, 0), (8, 10), (4.4, 10)]), (3, [(7.8, 0), (12, 0), (12, 10), (7.8, 10)])]
